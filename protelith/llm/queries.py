@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
-from . import simhash
+from . import packing, sharding, simhash
 
 QUERIES = {
     "op1_simhash": simhash.query,
+    "op3_sharding": sharding.query,
+    "op8_packing": packing.query,
 }
 
 SQL: dict[str, str] = {}
