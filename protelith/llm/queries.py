@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from . import packing, sharding, simhash
+from . import packing, sharding, simhash, suffixes
 
 QUERIES = {
     "op1_simhash": simhash.query,
     "op3_sharding": sharding.query,
     "op8_packing": packing.query,
+    "op10_suffixes": suffixes.query,
 }
 
 SQL: dict[str, str] = {}
