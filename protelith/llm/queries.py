@@ -2,13 +2,17 @@
 
 from __future__ import annotations
 
-from . import packing, sharding, simhash, suffixes
+from . import decontaminate, packing, sharding, simhash, suffixes, urlfilter
 
 QUERIES = {
     "op1_simhash": simhash.query,
     "op3_sharding": sharding.query,
+    "op4_decontaminate": decontaminate.query,
     "op8_packing": packing.query,
+    "op9_urlfilter": urlfilter.query,
     "op10_suffixes": suffixes.query,
 }
 
-SQL: dict[str, str] = {}
+SQL: dict[str, str] = {
+    "op9_urlfilter": urlfilter.SQL,
+}
