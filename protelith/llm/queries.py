@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from . import decontaminate, packing, sharding, simhash, suffixes, urlfilter
+from . import decontaminate, packing, sharding, simhash, suffixes, toxicity, urlfilter
 
 QUERIES = {
     "op1_simhash": simhash.query,
     "op3_sharding": sharding.query,
     "op4_decontaminate": decontaminate.query,
+    "op6_toxicity": toxicity.query,
     "op8_packing": packing.query,
     "op9_urlfilter": urlfilter.query,
     "op10_suffixes": suffixes.query,
