@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
-from . import decontaminate, packing, sharding, simhash, suffixes, toxicity, urlfilter
+from . import decontaminate, packing, quality, rules, sharding, simhash, suffixes, toxicity, urlfilter
 
 QUERIES = {
     "op1_simhash": simhash.query,
+    "op2_rules": rules.query,
     "op3_sharding": sharding.query,
     "op4_decontaminate": decontaminate.query,
     "op6_toxicity": toxicity.query,
+    "op7_quality": quality.query,
     "op8_packing": packing.query,
     "op9_urlfilter": urlfilter.query,
     "op10_suffixes": suffixes.query,
