@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from . import decontaminate, packing, quality, rules, sharding, simhash, suffixes, toxicity, urlfilter
+from . import decontaminate, licenses, packing, quality, rules, sharding, simhash, suffixes, toxicity, urlfilter
 
 QUERIES = {
     "op1_simhash": simhash.query,
     "op2_rules": rules.query,
     "op3_sharding": sharding.query,
     "op4_decontaminate": decontaminate.query,
+    "op5_licenses": licenses.query,
     "op6_toxicity": toxicity.query,
     "op7_quality": quality.query,
     "op8_packing": packing.query,
@@ -17,5 +18,6 @@ QUERIES = {
 }
 
 SQL: dict[str, str] = {
+    "op5_licenses": licenses.SQL,
     "op9_urlfilter": urlfilter.SQL,
 }
