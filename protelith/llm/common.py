@@ -24,6 +24,11 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def small_batches(spark: SparkSession, rows: int = 1000) -> None:
+    """Sets the session's Arrow batches to ``rows``: whole texts in batches of the default size take much memory on both sides."""
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", rows)
+
+
 def components(edges: DataFrame, left: str = "a", right: str = "b", max_rounds: int = 60) -> DataFrame:
     """(node, root) for every node of ``edges``; root is the smallest node reachable.
 

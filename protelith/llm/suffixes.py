@@ -6,34 +6,35 @@ the same distance from their start. Here the cover is content-defined: of the 31
 cover's property, and it samples 6 % of the positions where the smallest arithmetic cover for this
 length (6 of 31 residues) takes 19 %. The steps are those of difference-cover suffix sorting:
 
-1. name the sampled grams and find the names held by more than one document (names in one document can't match);
+0. of equal texts only the one with the smallest doc_id takes part: the others are removed whole;
+1. name the sampled grams and find the names held by more than one text (other names can't match);
 2. for those, take the text around each sample, which holds all strings whose sample it is;
 3. in each range of names sort the strings and compare neighbours: of equal strings the smallest
    doc_id stays, all others are removed.
 
-Samples and strings travel as packed arrays, one row for each task's flush and range of names, and each
+Samples and strings travel as packed arrays, one row for each task's flush and range of names (answers: for
+each range and home of the texts they go back to), and each
 flush keeps one entry for equal samples, so a passage shared by very many documents arrives once a
-flush. Strings are compared by two 64-bit hashes (over 100 effective bits).
+flush. Whatever text is shuffled is compressed before. Strings are compared by two 64-bit hashes (over 100 effective bits).
 
 Rows: null texts count as empty; a null doc_id is neither smaller nor larger than another, so such rows
 neither lose nor cause removals; rows with equal doc_id never remove from each other; repeated rows are
 treated alike. Texts of any length are cut into overlapping segments. Extra columns stay.
 """
 
-from __future__ import annotations
-
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut
+from .common import cut, small_batches
 
 MATCH, GRAM = 50, 20
-CHUNK = 1 << 20  # bytes hashed at a time
-FLUSH = 12 << 20  # bytes of text for each packed flush
-NAMES_PER_RANGE, STRINGS_PER_RANGE = 1 << 20, 1 << 17
+CHUNK = 1 << 19  # bytes hashed at a time
+FLUSH = 8 << 20  # bytes of text for each packed flush
+NAMES_PER_RANGE, STRINGS_PER_RANGE = 1 << 20, 1 << 15
 U64 = np.uint64
 K1, K2, K3 = (U64(k) for k in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9))
 ONE, HIGH, LOW = U64(1), U64(0xFFFFFFFF00000000), U64(0xFFFFFFFF)
@@ -111,12 +112,26 @@ def _by(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return order, np.flatnonzero(np.r_[True, s[1:] != s[:-1]]) if len(s) else np.empty(0, np.int64)
 
 
-def _per_doc(doc: np.ndarray, name: np.ndarray) -> list[tuple[int, bytes]]:
-    order, at = _by(doc)
-    return [(int(doc[rows[0]]), np.unique(name[rows]).tobytes()) for rows in np.split(order, at[1:])] if len(doc) else []
+def _by_home(version: np.ndarray, name: np.ndarray, homes: int) -> list[tuple[int, bytes, bytes, bytes]]:
+    """Each text's distinct names, packed with those of all texts that share its home."""
+    out = []
+    if not len(version):
+        return out
+    order = np.lexsort((name, version))
+    version, name = version[order], name[order]
+    once = np.r_[True, (version[1:] != version[:-1]) | (name[1:] != name[:-1])]
+    version, name = version[once], name[once]
+    home = (version.view(U64) % U64(homes)).astype(np.int64)
+    order, at = _by(home)
+    for rows in np.split(order, at[1:]):
+        v = version[rows]
+        cuts = np.flatnonzero(np.r_[True, v[1:] != v[:-1]])
+        out.append((int(home[rows[0]]), name[rows].tobytes(), v[cuts].tobytes(), np.diff(np.r_[cuts, len(v)]).astype(np.int32).tobytes()))
+    return out
 
 
-SAMPLES = "bucket long, doc_id long, names binary, docs binary, counts binary"
+SAMPLES = "bucket long, home long, names binary, versions binary, counts binary"
+FOUND = "home long, names binary, versions binary, counts binary"
 
 
 def _sampler(ranges: int):
@@ -127,7 +142,7 @@ def _sampler(ranges: int):
         doc_sorted = doc[order]
         many = np.minimum.reduceat(doc_sorted, at) != np.maximum.reduceat(doc_sorted, at)
         known = order[np.repeat(many, size)]
-        out = [(d % ranges, d, n, None, None) for d, n in _per_doc(doc[known], name[known])]
+        out = [(home, *packed) for home, *packed in ((h, h, *rest) for h, *rest in _by_home(doc[known], name[known], ranges))]
         first = order[at]
         sent = np.where(many, name[first], name[first] ^ ONE)  # the lowest bit says: found in several documents
         back = np.argsort(first, kind="stable")
@@ -165,20 +180,34 @@ def _table(rows: list[tuple], schema: str) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(c, kinds[k]) for c, (_, k) in zip(columns, fields)], [n for n, _ in fields])
 
 
-def _shared(group: pd.DataFrame) -> pd.DataFrame:
-    """Names of one range that several documents hold, for each document."""
-    done = group[group["doc_id"].notna()]
-    rest = group[group["doc_id"].isna()]
-    out = list(zip(done["doc_id"].astype("int64"), done["names"]))
-    if len(rest):
-        name = np.concatenate([np.frombuffer(x, U64) for x in rest["names"]])
-        doc = np.concatenate([np.repeat(np.frombuffer(d, np.int64), np.frombuffer(c, np.int32)) for d, c in zip(rest["docs"], rest["counts"])])
-        order, at = _by(name | ONE)
-        doc_sorted = doc[order]
-        many = (np.minimum.reduceat(doc_sorted, at) != np.maximum.reduceat(doc_sorted, at)) | np.logical_or.reduceat((name[order] & ONE) == ONE, at)
-        found = order[np.repeat(many, np.diff(np.r_[at, len(name)]))]
-        out += _per_doc(doc[found], name[found] | ONE)
-    return pd.DataFrame(out, columns=["doc_id", "names"])
+def _unpacked(versions, counts) -> np.ndarray:
+    return np.concatenate([np.repeat(np.frombuffer(v, np.int64), np.frombuffer(c, np.int32)) for v, c in zip(versions, counts)])
+
+
+def _shared(ranges: int):
+    """Names of one range that several texts hold, packed by the texts' homes; there are as many homes as ranges."""
+    def run(group: pd.DataFrame) -> pd.DataFrame:
+        ready = group["home"].notna()
+        out = [(int(h), *packed) for h, *packed in group.loc[ready, ["home", "names", "versions", "counts"]].itertuples(index=False)]
+        rest = group[~ready]
+        if len(rest):
+            name = np.concatenate([np.frombuffer(x, U64) for x in rest["names"]])
+            doc = _unpacked(rest["versions"], rest["counts"])
+            order, at = _by(name | ONE)
+            doc_sorted = doc[order]
+            many = (np.minimum.reduceat(doc_sorted, at) != np.maximum.reduceat(doc_sorted, at)) | np.logical_or.reduceat((name[order] & ONE) == ONE, at)
+            found = order[np.repeat(many, np.diff(np.r_[at, len(name)]))]
+            out += _by_home(doc[found], name[found] | ONE, ranges)
+        return pd.DataFrame(out, columns=[c.split()[0] for c in FOUND.split(", ")])
+
+    return run
+
+
+def _gathered(group: pd.DataFrame) -> pd.DataFrame:
+    """The shared names of each text of a home."""
+    version, name = _unpacked(group["versions"], group["counts"]), np.concatenate([np.frombuffer(x, U64) for x in group["names"]])
+    order, at = _by(version)
+    return pd.DataFrame([(int(version[rows[0]]), np.unique(name[rows]).tobytes()) for rows in np.split(order, at[1:])], columns=["version", "names"])
 
 
 _powers: dict = {}
@@ -202,12 +231,19 @@ def _substrings(data: np.ndarray, s: np.ndarray, e: np.ndarray, which: int) -> n
     return h ^ (h >> U64(29))
 
 
-STRINGS = "bucket long, docs binary, versions binary, firsts binary, sizes binary, body binary"
+PAIRS = "home long, docs binary, versions binary, starts binary, ends binary"
+STRINGS = "bucket long, home long, docs binary, versions binary, firsts binary, sizes binary, body binary, ends binary"
+
+
+def _pack(texts: pd.Series) -> pd.Series:
+    pack = zstandard.ZstdCompressor(level=1).compress
+    return pd.Series([pack(t) for t in texts], dtype=object)
 
 
 def _stringer(ranges: int):
     """Around each shared sample, the text that holds its strings; what an equal text in the same flush already decides goes out as spans."""
     def flush(held):
+        pack = zstandard.ZstdCompressor(level=1).compress
         parts = list(zip(*held))
         name, doc, version, first, size, c1, c2 = (np.concatenate(x) for x in parts[:7])
         body = np.concatenate(parts[7])
@@ -219,23 +255,26 @@ def _stringer(ranges: int):
         lost = order[doc[order] > least]
         kept = np.sort(order[doc[order] == least])
         out = []
-        if len(lost):
-            out += [(d % ranges, np.int64(d).tobytes(), np.int64(v).tobytes(), spans, None, None) for d, v, spans in _spans(doc[lost], version[lost], first[lost], first[lost] + size[lost])]
+        for home, *packed in _spans_by_home(doc[lost], version[lost], first[lost], first[lost] + size[lost], ranges):
+            out.append((home, home, *packed[:3], None, None, packed[3]))
         bucket = ((name[kept] >> ONE) % U64(ranges)).astype(np.int64)
         by, at = _by(bucket)
         for rows in np.split(by, at[1:]):
             r = kept[rows]
             take = np.repeat(begin[r] - (np.cumsum(size[r]) - size[r]), size[r]) + np.arange(size[r].sum())
-            out.append((int(bucket[rows[0]]), doc[r].tobytes(), version[r].tobytes(), first[r].tobytes(), size[r].astype(np.uint8).tobytes(), body[take].tobytes()))
+            out.append((int(bucket[rows[0]]), None, doc[r].tobytes(), version[r].tobytes(), first[r].tobytes(), size[r].astype(np.uint8).tobytes(), pack(body[take].tobytes()), None))
         return _table(out, STRINGS)
 
     def run(batches):
         held, size = [], 0
-        for batch in batches:
+        unpack = zstandard.ZstdDecompressor().decompress
+        for whole, at in ((b, i) for b in batches for i in range(0, b.num_rows, 1000)):
+            batch = whole.slice(at, 1000)
             ids, versions = (batch.column(i).to_numpy(zero_copy_only=False) for i in (0, 1))
-            wanted = [np.frombuffer(x, U64) for row in batch.column(3).to_pylist() for x in row]
+            texts = pa.array([unpack(t) for t in batch.column(2).to_pylist()], pa.large_binary())
+            wanted = [np.frombuffer(x, U64) for x in batch.column(3).to_pylist()]
             wanted = np.unique(np.concatenate(wanted)) if wanted else np.empty(0, U64)
-            for data, starts, ends, rows, base in chunks(batch.column(2)):
+            for data, starts, ends, rows, base in chunks(texts):
                 name, i, first, last = cover(data, starts, ends)
                 if not len(name):
                     continue
@@ -260,13 +299,26 @@ SPANS = "doc_id long, version long, spans binary"
 
 
 def _spans(doc, version, start, end) -> list[tuple[int, int, bytes]]:
-    """Merged [start, end) of each document, packed."""
+    """Merged [start, end) of each text, packed."""
     order = np.lexsort((start, version, doc))
     doc, version, start, end = doc[order], version[order], start[order], end[order]
     cuts = np.flatnonzero(np.r_[True, (doc[1:] != doc[:-1]) | (version[1:] != version[:-1])])
     return [(int(doc[i]), int(version[i]), merged(start[i:j], end[i:j]).tobytes()) for i, j in zip(cuts, np.r_[cuts[1:], len(doc)])]
 
 
+def _spans_by_home(doc, version, start, end, homes: int) -> list[tuple[int, bytes, bytes, bytes, bytes]]:
+    """[start, end) of texts, packed by the texts' homes."""
+    home = (version.view(U64) % U64(homes)).astype(np.int64)
+    order, at = _by(home)
+    return [(int(home[rows[0]]), *(x[rows].tobytes() for x in (doc, version, start, end))) for rows in np.split(order, at[1:])] if len(home) else []
+
+
+def _merged_spans(group: pd.DataFrame) -> pd.DataFrame:
+    """The spans of each text of a home."""
+    columns = (np.concatenate([np.frombuffer(x, np.int64) for x in group[c]]) for c in ("docs", "versions", "starts", "ends"))
+    return pd.DataFrame(_spans(*columns), columns=["doc_id", "version", "spans"])
+
+
 def merged(start: np.ndarray, end: np.ndarray) -> np.ndarray:
     """Maximal runs, as rows (start, end), of intervals sorted by start."""
     top = np.maximum.accumulate(end)
@@ -274,59 +326,78 @@ def merged(start: np.ndarray, end: np.ndarray) -> np.ndarray:
     return np.stack([start[new], top[np.r_[new[1:] - 1, len(top) - 1]]], 1).astype(np.int64)
 
 
-def _compare(group: pd.DataFrame) -> pd.DataFrame:
+def _compare(homes: int):
     """Sorts all strings of a range of names and compares neighbours."""
-    ready = group["body"].isna()
-    out = [(int.from_bytes(d, "little", signed=True), int.from_bytes(v, "little", signed=True), s)
-           for d, v, s in group.loc[ready, ["docs", "versions", "firsts"]].itertuples(index=False)]
-    g = group[~ready]
-    if len(g):
-        doc, version, first = (np.concatenate([np.frombuffer(x, np.int64) for x in g[c]]) for c in ("docs", "versions", "firsts"))
-        size = np.concatenate([np.frombuffer(x, np.uint8) for x in g["sizes"]]).astype(np.int64)
-        body = np.frombuffer(b"".join(g["body"]), np.uint8)
-        strings, begin = size - MATCH + 1, np.cumsum(size) - size
-        entry = np.repeat(np.arange(len(size)), strings)
-        step = np.arange(len(entry)) - np.repeat(np.cumsum(strings) - strings, strings)
-        at = begin[entry] + step
-        h1, h2 = (_substrings(body, at, at + MATCH, k) for k in (0, 1))
-        order = np.argsort(h1, kind="stable")
+    def run(group: pd.DataFrame) -> pd.DataFrame:
+        ready = group["home"].notna()
+        out = [(int(h), *packed) for h, *packed in group.loc[ready, ["home", "docs", "versions", "firsts", "ends"]].itertuples(index=False)]
+        g = group[~ready]
+        if len(g):
+            out += _spans_by_home(*_lost(g), homes)
+        return pd.DataFrame(out, columns=[c.split()[0] for c in PAIRS.split(", ")])
+
+    return run
+
+
+def _lost(g: pd.DataFrame) -> tuple[np.ndarray, ...]:
+    """doc_id, version, start, end of the runs that an earlier document holds."""
+    doc, version, first = (np.concatenate([np.frombuffer(x, np.int64) for x in g[c]]) for c in ("docs", "versions", "firsts"))
+    size = np.concatenate([np.frombuffer(x, np.uint8) for x in g["sizes"]]).astype(np.int64)
+    unpack = zstandard.ZstdDecompressor().decompress
+    body = np.frombuffer(b"".join(unpack(x) for x in g["body"]), np.uint8)
+    strings, begin = size - MATCH + 1, np.cumsum(size) - size
+    entry = np.repeat(np.arange(len(size)), strings)
+    step = np.arange(len(entry)) - np.repeat(np.cumsum(strings) - strings, strings)
+    at = begin[entry] + step
+    h1, h2 = (_substrings(body, at, at + MATCH, k) for k in (0, 1))
+    order = np.argsort(h1, kind="stable")
+    a, b = h1[order], h2[order]
+    if np.any((a[1:] == a[:-1]) & (b[1:] != b[:-1])):
+        order = np.lexsort((h2, h1))
         a, b = h1[order], h2[order]
-        if np.any((a[1:] == a[:-1]) & (b[1:] != b[:-1])):
-            order = np.lexsort((h2, h1))
-            a, b = h1[order], h2[order]
-        new = np.flatnonzero(np.r_[True, (a[1:] != a[:-1]) | (b[1:] != b[:-1])])
-        d = doc[entry[order]]
-        lost = np.zeros(len(entry), bool)
-        lost[order] = d > np.repeat(np.minimum.reduceat(d, new), np.diff(np.r_[new, len(d)]))
-        hit = np.flatnonzero(lost)
-        if len(hit):
-            e, s = entry[hit], step[hit]
-            run = np.flatnonzero(np.r_[True, (e[1:] != e[:-1]) | (s[1:] != s[:-1] + 1)])
-            stop = np.r_[run[1:] - 1, len(hit) - 1]
-            out += _spans(doc[e[run]], version[e[run]], first[e[run]] + s[run], first[e[run]] + s[stop] + MATCH)
-    return pd.DataFrame(out, columns=["doc_id", "version", "spans"])
-
-
-def repeated_spans(docs: DataFrame) -> DataFrame:
-    """doc_id, version (a hash of the text), spans (packed pairs of 64-bit offsets): the bytes to remove, in one or more rows a document.
-
-    ``docs`` has doc_id long (not null) and text binary (not null).
+    new = np.flatnonzero(np.r_[True, (a[1:] != a[:-1]) | (b[1:] != b[:-1])])
+    d = doc[entry[order]]
+    lost = np.zeros(len(entry), bool)
+    lost[order] = d > np.repeat(np.minimum.reduceat(d, new), np.diff(np.r_[new, len(d)]))
+    hit = np.flatnonzero(lost)
+    if len(hit):
+        e, s = entry[hit], step[hit]
+        run = np.flatnonzero(np.r_[True, (e[1:] != e[:-1]) | (s[1:] != s[:-1] + 1)])
+        stop = np.r_[run[1:] - 1, len(hit) - 1]
+        return doc[e[run]], version[e[run]], first[e[run]] + s[run], first[e[run]] + s[stop] + MATCH
+    none = np.empty(0, np.int64)
+    return none, none, none, none
+
+
+def repeated_spans(rows: DataFrame) -> DataFrame:
+    """doc_id, version, spans (packed pairs of 64-bit offsets) and whole (true: the text has an earlier copy): the bytes to
+    remove.
+
+    ``rows`` has doc_id long, version and check long (hashes of the text), text binary and packed binary (the text compressed),
+    none null.
     """
-    rows = docs.where(F.octet_length("text") >= MATCH).select("doc_id", "text", F.xxhash64("text").alias("version"))
+    rows = rows.where(F.octet_length("text") >= MATCH)
+    firsts = cut(rows.groupBy("version", "check").agg(F.min("doc_id").alias("first")))
     size = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     ranges = max(1, round(size / 16 / NAMES_PER_RANGE))
-    samples = rows.select("doc_id", "text").mapInArrow(_sampler(ranges), SAMPLES)
-    names = cut(samples.groupBy("bucket").applyInPandas(_shared, "doc_id long, names binary"))
+    samples = rows.select("version", "text").mapInArrow(_sampler(ranges), SAMPLES)
+    found = samples.groupBy("bucket").applyInPandas(_shared(ranges), FOUND)
+    names = cut(found.groupBy("home").applyInPandas(_gathered, "version long, names binary"))
     ranges = max(1, round((names.agg(F.sum(F.octet_length("names"))).first()[0] or 0) / 8 / STRINGS_PER_RANGE))
-    wanted = names.groupBy("doc_id").agg(F.collect_list("names").alias("names"))
-    strings = rows.join(wanted, "doc_id").select("doc_id", "version", "text", "names").mapInArrow(_stringer(ranges), STRINGS)
-    return cut(strings.groupBy("bucket").applyInPandas(_compare, SPANS))
+    wanted = names.join(firsts, "version").select(F.col("first").alias("doc_id"), "version", "check", "names")
+    strings = rows.select("doc_id", "version", "check", "packed").join(wanted, ["doc_id", "version", "check"]).select("doc_id", "version", "packed", "names")
+    pairs = strings.mapInArrow(_stringer(ranges), STRINGS).groupBy("bucket").applyInPandas(_compare(ranges), PAIRS)
+    spans = cut(pairs.groupBy("home").applyInPandas(_merged_spans, SPANS))
+    copies = rows.select("doc_id", "version", "check").join(firsts, ["version", "check"]).where("doc_id > first")
+    return spans.withColumn("whole", F.lit(False)).unionByName(
+        copies.select("doc_id", "version", F.lit(None).cast("binary").alias("spans"), F.lit(True).alias("whole")))
 
 
 def _kept(texts: pd.Series, spans: pd.Series) -> pd.DataFrame:
+    """What is left of the texts that lose something; None for the others."""
     removed, runs, kept = [], [], []
     for text, packed in zip(texts, spans):
-        if packed is None or not len(packed):
+        if text is None:
             removed.append(0), runs.append(0), kept.append(None)
             continue
         s = np.concatenate([np.frombuffer(x, np.int64).reshape(-1, 2) for x in packed])
@@ -335,31 +406,31 @@ def _kept(texts: pd.Series, spans: pd.Series) -> pd.DataFrame:
         removed.append(int((s[:, 1] - s[:, 0]).sum())), runs.append(len(s))
         ends = [0, *s[:, 1].tolist()]
         kept.append(b"".join(text[a:b] for a, b in zip(ends, [*s[:, 0].tolist(), len(text)])))
-    return pd.DataFrame({"n_removed": removed, "n_spans": runs, "kept": kept})
+    return pd.DataFrame({"n_removed": removed, "n_spans": runs, "kept": pd.Series(kept, dtype=object)})
 
 
 def remove_repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """``docs`` with _n_bytes, _n_removed, _n_spans and _kept (binary: what is left of each text)."""
+    """``docs`` without its text, with _n_bytes, _n_removed, _n_spans and _kept (binary: what is left of the text)."""
     body = F.coalesce(F.col(text).cast("binary"), F.lit(b""))
-    spans = repeated_spans(docs.where(F.col(doc_id).isNotNull()).select(F.col(doc_id).cast("long").alias("doc_id"), body.alias("text")))
-    spans = spans.groupBy(F.col("doc_id").alias("_d"), F.col("version").alias("_v")).agg(F.collect_list("spans").alias("_spans"))
-    keep = F.pandas_udf("n_removed long, n_spans long, kept binary")(_typed(_kept))
-    keyed = docs.withColumn("_version", F.xxhash64(body))
+    packed = F.pandas_udf(_pack, "binary")(body)
+    version, check = F.xxhash64(body), F.xxhash64(F.lit(MATCH), body)
+    rows = docs.where(F.col(doc_id).isNotNull()).select(
+        F.col(doc_id).cast("long").alias("doc_id"), version.alias("version"), check.alias("check"), body.alias("text"), packed.alias("packed"))
+    spans = repeated_spans(rows).groupBy(F.col("doc_id").alias("_d"), F.col("version").alias("_v")).agg(
+        F.collect_list("spans").alias("_spans"), F.max("whole").alias("_whole"))
+    keyed = docs.withColumns({"_version": version, "_text": body, "_n_bytes": F.octet_length(body).cast("long")}).drop(text)
+    keep = F.pandas_udf(_kept, "n_removed long, n_spans long, kept binary")
+    some, whole = F.size("_spans") > 0, F.coalesce("_whole", F.lit(False))
     return (keyed.join(spans, (keyed[doc_id] == spans["_d"]) & (keyed["_version"] == spans["_v"]), "left")
-            .withColumn("_cut", F.when(F.col("_spans").isNotNull(), keep(body, F.col("_spans"))))
-            .withColumns({"_n_bytes": F.octet_length(body).cast("long"), "_n_removed": F.coalesce("_cut.n_removed", F.lit(0).cast("long")),
-                          "_n_spans": F.coalesce("_cut.n_spans", F.lit(0).cast("long")), "_kept": F.coalesce("_cut.kept", body)})
-            .drop("_version", "_d", "_v", "_spans", "_cut"))
-
-
-def _typed(f):
-    def kept(texts: pd.Series, spans: pd.Series) -> pd.DataFrame:
-        return f(texts, spans)
-
-    return kept
+            .withColumn("_cut", keep(F.when(some & ~whole, F.col("_text")), F.when(some & ~whole, F.col("_spans"))))
+            .withColumns({"_n_removed": F.when(whole, F.col("_n_bytes")).otherwise(F.col("_cut.n_removed")),
+                          "_n_spans": F.when(whole, F.lit(1).cast("long")).otherwise(F.col("_cut.n_spans")),
+                          "_kept": F.when(whole, F.lit(b"")).otherwise(F.coalesce("_cut.kept", "_text"))})
+            .drop("_version", "_text", "_d", "_v", "_spans", "_whole", "_cut"))
 
 
 def query(spark, sf_dir: str) -> DataFrame:
+    small_batches(spark)
     return remove_repeats(spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")).select(
         "doc_id", F.col("_n_bytes").alias("n_bytes"), F.col("_n_removed").alias("n_removed"), F.col("_n_spans").alias("n_spans"),
         F.sha2("_kept", 256).alias("kept_sha256"))
