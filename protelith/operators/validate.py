@@ -56,7 +56,7 @@ def masks_without_residues(records: DataFrame) -> DataFrame:
 def route_sets(records: DataFrame, column: str = "set") -> DataFrame:
     """Adds role: train, val, pred or test, and set_name: the test set's name."""
     name = set_name(F.col(column))
-    return records.withColumn("set_name", name).withColumn("role", F.when(name.isin("train", "val", "pred"), name).otherwise("test"))
+    return records.withColumn("set_name", name).withColumn("role", F.when(name.isin("train", "val", "pred"), name).when(name.isNotNull(), "test"))
 
 
 def missing_roles(records: DataFrame, needed: tuple[str, ...] = ("train", "test")) -> DataFrame:

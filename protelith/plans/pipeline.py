@@ -75,7 +75,7 @@ def splitting(c: Context) -> Context:
 def training(c: Context) -> Context:
     inside = c.samples.where("role in ('train', 'val')")
     predictions = fit_predict(inside, c.samples.where("role not in ('train', 'val')"), is_classification(c.config["protocol"]), c.config["seed"])
-    return replace(c, predictions=predictions)
+    return replace(c, predictions=predictions.cache())  # metrics, baselines and intervals all read them
 
 
 def testing(c: Context) -> Context:

@@ -48,13 +48,11 @@ def write_fasta(records: DataFrame, path: str) -> None:
 
 
 def filter_fasta(spark: SparkSession, source: str, target: str, predicate: Column) -> tuple[int, int]:
-    """Writes the records for which ``predicate`` holds; how many were kept, of how many. One pass over the source."""
-    from pyspark.sql import Observation
-
-    seen = Observation()
-    records = read_fasta(spark, source).observe(seen, F.count_if(predicate).alias("kept"), F.count(F.lit(1)).alias("all"))
+    """Writes the records for which ``predicate`` holds; how many were kept, of how many."""
+    records = read_fasta(spark, source)
+    counts = records.agg(F.count_if(predicate).alias("kept"), F.count(F.lit(1)).alias("n")).first()
     write_fasta(records.where(predicate), target)
-    return seen.get["kept"], seen.get["all"]
+    return counts["kept"], counts["n"]
 
 
 def from_sequences(spark: SparkSession, sequences: "list[str] | dict[str, str]") -> DataFrame:
