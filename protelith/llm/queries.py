@@ -18,6 +18,7 @@ QUERIES = {
 }
 
 SQL: dict[str, str] = {
+    "op2_rules": rules.SQL,
     "op5_licenses": licenses.SQL,
     "op9_urlfilter": urlfilter.SQL,
 }

@@ -155,4 +155,45 @@ def _counted_all(texts: pd.Series) -> pd.DataFrame:
 
 
 def query(spark, sf_dir: str) -> DataFrame:
-    return judged(spark.read.parquet(f"{sf_dir}/documents.parquet"))
+    found = judged(spark.read.parquet(f"{sf_dir}/documents.parquet"))
+    return found.withColumns({c: F.round(c, 6) for c in ("char_distance", "word_distance")})
+
+
+def _sql() -> str:
+    """The same in SQL, with a row for each text and histogram bin."""
+    classes = ("[a-z]", "[A-Z]", r"[\x20\x09\x0B-\x0D]", r"\x0A", "[.,]", "[#*$%&|<>]", r"[\x21-\x2F\x3A-\x40\x5B-\x60\x7B-\x7E]", r"[^\x09-\x0D\x20-\x7E]")
+    counts = [f"len(regexp_extract_all(text, '{c}'))" for c in classes]
+    at = {n: i for i, n in enumerate(CLASSES)}
+    counts[at["mark"]] += f" - {counts[at['period_comma']]} - {counts[at['symbol']]}"
+    upper, lower = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
+    common = "[" + ", ".join(f"'{w}'" for w in COMMON) + "]"
+    n, m = len(CLASSES), len(COMMON)
+    return rf"""
+WITH d AS (SELECT doc_id, coalesce(lang, '') AS lang, coalesce(text, '') AS text FROM documents),
+w AS (SELECT doc_id, lang, text, regexp_extract_all(text, '[^\x20\x09-\x0D]+') AS w,
+  list_filter(string_split(text, chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')) AS l FROM d),
+g AS (SELECT doc_id, i, w[i] || ' ' || w[i + 1] || ' ' || w[i + 2] AS gram FROM (SELECT doc_id, w, unnest(range(1, len(w) - 1)) AS i FROM w)),
+again AS (SELECT doc_id, count(DISTINCT i + k) AS n FROM (SELECT *, count(*) OVER (PARTITION BY doc_id, gram) AS c FROM g), (VALUES (0), (1), (2)) t(k) WHERE c > 1 GROUP BY doc_id),
+base AS MATERIALIZED (SELECT *, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed FROM (
+  SELECT w.doc_id, lang, text, len(w) AS n_words, coalesce(list_sum(list_transform(w, lambda x: length(x))), 0)::BIGINT AS word_chars,
+    len(regexp_extract_all(text, '[#*$%&|<>]')) AS n_symbols, len(l) - len(list_distinct(l)) AS n_dup_lines, coalesce(n, 0) AS n_repeat_words
+  FROM w LEFT JOIN again USING (doc_id))),
+chars AS (SELECT doc_id, 0 AS h, unnest(range(0, {n})) AS k, unnest([{", ".join(counts)}]) AS c FROM base),
+tokens AS (SELECT doc_id, coalesce(list_position({common}, t), {m + 1}) - 1 AS k FROM (SELECT doc_id, unnest(regexp_extract_all(translate(text, '{upper}', '{lower}'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')) AS t FROM base)),
+bins AS (SELECT doc_id, h, k, c FROM chars UNION ALL SELECT doc_id, 1, k, count(*) FROM tokens GROUP BY ALL),
+p AS MATERIALIZED (SELECT doc_id, h, k, c / nullif(sum(c) OVER (PARTITION BY doc_id, h), 0) AS p, sum(c) OVER (PARTITION BY doc_id, h) AS n FROM bins),
+good AS (SELECT doc_id, lang FROM base WHERE NOT base_failed),
+sizes AS (SELECT lang, count(*) AS n FROM good GROUP BY lang),
+own AS (SELECT lang, h, k, sum(p) / any_value(s.n) AS q FROM good JOIN sizes s USING (lang) JOIN p USING (doc_id) WHERE lang <> '' AND s.n >= {MIN_DOCS} GROUP BY lang, h, k),
+pooled AS (SELECT h, k, sum(p) / (SELECT count(*) FROM good) AS q FROM good JOIN p USING (doc_id) GROUP BY h, k),
+q AS (SELECT doc_id, h, k, q FROM base JOIN own USING (lang) UNION ALL SELECT doc_id, h, k, q FROM base, pooled WHERE lang NOT IN (SELECT lang FROM own)),
+both_sides AS (SELECT doc_id, h, k, coalesce(p.p, 0) AS p, coalesce(q.q, 0) AS q FROM q FULL JOIN p USING (doc_id, h, k)),
+parts AS (SELECT doc_id, h, sqrt(greatest(0, sum(CASE WHEN p > 0 THEN p * log2(2 * p / (p + q)) ELSE 0 END + CASE WHEN q > 0 THEN q * log2(2 * q / (p + q)) ELSE 0 END) / 2)) AS x FROM both_sides GROUP BY ALL),
+sums AS (SELECT doc_id, max(n) FILTER (h = 0) AS chars, max(n) FILTER (h = 1) AS words FROM p GROUP BY doc_id),
+found AS (SELECT base.*, CASE WHEN chars >= {MIN_CHARS} THEN a.x ELSE 0 END AS cd, CASE WHEN words >= {MIN_WORDS} THEN b.x ELSE 0 END AS wd
+  FROM base LEFT JOIN sums USING (doc_id) LEFT JOIN parts a ON a.doc_id = base.doc_id AND a.h = 0 LEFT JOIN parts b ON b.doc_id = base.doc_id AND b.h = 1)
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, round(cd, 6) AS char_distance, round(wd, 6) AS word_distance,
+  NOT base_failed AND cd <= {MAX_CHAR_DISTANCE} AND wd <= {MAX_WORD_DISTANCE} AS kept FROM found"""
+
+
+SQL = _sql()

@@ -1,6 +1,7 @@
 import re
 from collections import Counter
 
+import duckdb
 import numpy as np
 import pytest
 
@@ -34,6 +35,15 @@ def test_counts_of_odd_texts(text):
     assert rules.counted(text)[:5] == brute(text)
 
 
+def test_matches_sql(spark):
+    con = duckdb.connect()
+    con.sql(f"create view documents as select * from '{MEDIUM}/documents.parquet'")
+    rel = con.execute(rules.SQL)
+    names = [c[0] for c in rel.description]
+    want = sorted((dict(zip(names, r)) for r in rel.fetchall()), key=lambda r: r["doc_id"])
+    assert [r.asDict() for r in rules.query(spark, MEDIUM).orderBy("doc_id").collect()] == want
+
+
 def test_distance():
     p, q = np.array([[1.0, 0.0], [0.5, 0.5]]), np.array([[0.0, 1.0], [0.5, 0.5]])
     assert rules.distances(p, q).tolist() == [1.0, 0.0]
