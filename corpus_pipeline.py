@@ -14,20 +14,24 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from protelith.llm import decontaminate, packing, simhash, suffixes, toxicity
+from protelith.llm.common import small_batches
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the toxicity network rejects go."""
+    small_batches(spark)
     return toxicity.drop_toxic(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each group of near-duplicates the document with the smallest doc_id stays."""
+    small_batches(spark)
     return simhash.drop_near_duplicates(docs)
 
 
 def remove_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Strings that an earlier document holds are cut out; documents of which nothing is left go."""
+    small_batches(spark)
     cut = suffixes.remove_repeats(docs)
     text = F.col("_kept").cast("string")
     whole = F.translate(F.make_valid_utf8(text), "\ufffd", "")  # a cut may leave part of a character
@@ -43,6 +47,7 @@ def drop_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The pieces of the documents' token ids, each with its sequence and offset."""
+    small_batches(spark)
     return packing.pack(docs)
 
 

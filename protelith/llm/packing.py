@@ -26,7 +26,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import cut
+from .common import cut, release
 
 TIERS = (256, 512, 1024, 2048)
 END_ID = 1
@@ -81,6 +81,7 @@ def pieces(docs: DataFrame, window: int = 2048, vocabulary: str = "byte_bpe_50k"
             made = pd.DataFrame(out, columns=["doc_id", "start", "length", "ids_crc32", "doc_tokens", "part", "k"])
             made["doc_id"] = made["doc_id"].astype("Int64")
             yield made
+            release()
 
     return docs.select(F.col("doc_id").cast("long"), "text").mapInPandas(cut_up, PIECES)
 

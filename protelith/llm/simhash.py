@@ -19,7 +19,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import components, cut
+from .common import components, cut, release
 
 LOWER = bytes.maketrans(bytes(range(65, 91)), bytes(range(97, 123)))
 BLOCK = 1 << 15  # shingles counted at a time
@@ -58,7 +58,9 @@ def fingerprint(text: str | None, shingle: int = 4, lanes: int = 1) -> list[int]
 def with_fingerprints(docs: DataFrame, shingle: int = 4, lanes: int = 1, text: str = "text", out: str = "fp") -> DataFrame:
     @F.pandas_udf("array<long>")
     def of(texts: pd.Series) -> pd.Series:
-        return pd.Series([fingerprint(t, shingle, lanes) for t in texts])
+        found = pd.Series([fingerprint(t, shingle, lanes) for t in texts], dtype=object)
+        release()
+        return found
 
     return docs.withColumn(out, of(text))
 

@@ -29,7 +29,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, small_batches
+from .common import cut, release, small_batches
 
 MATCH, GRAM = 50, 20
 CHUNK = 1 << 19  # bytes hashed at a time
@@ -167,8 +167,11 @@ def _sampler(ranges: int):
                 if size >= FLUSH and held:
                     yield flush(held)
                     held, size = [], 0
+                    release()
         if held:
             yield flush(held)
+        del held
+        release()
 
     return run
 
@@ -198,6 +201,8 @@ def _shared(ranges: int):
             many = (np.minimum.reduceat(doc_sorted, at) != np.maximum.reduceat(doc_sorted, at)) | np.logical_or.reduceat((name[order] & ONE) == ONE, at)
             found = order[np.repeat(many, np.diff(np.r_[at, len(name)]))]
             out += _by_home(doc[found], name[found] | ONE, ranges)
+            del name, doc, doc_sorted, order, at, found
+        release()
         return pd.DataFrame(out, columns=[c.split()[0] for c in FOUND.split(", ")])
 
     return run
@@ -289,8 +294,11 @@ def _stringer(ranges: int):
                 if size >= FLUSH and held:
                     yield flush(held)
                     held, size = [], 0
+                    release()
         if held:
             yield flush(held)
+        del held
+        release()
 
     return run
 
@@ -334,6 +342,7 @@ def _compare(homes: int):
         g = group[~ready]
         if len(g):
             out += _spans_by_home(*_lost(g), homes)
+        release()
         return pd.DataFrame(out, columns=[c.split()[0] for c in PAIRS.split(", ")])
 
     return run
@@ -410,7 +419,10 @@ def _kept(texts: pd.Series, spans: pd.Series) -> pd.DataFrame:
 
 
 def remove_repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """``docs`` without its text, with _n_bytes, _n_removed, _n_spans and _kept (binary: what is left of the text)."""
+    """``docs`` without its text, with _n_bytes, _n_removed, _n_spans and _kept (binary: what is left of the text).
+
+    Columns of ``docs`` with these four names are replaced.
+    """
     body = F.coalesce(F.col(text).cast("binary"), F.lit(b""))
     packed = F.pandas_udf(_pack, "binary")(body)
     version, check = F.xxhash64(body), F.xxhash64(F.lit(MATCH), body)
@@ -418,15 +430,17 @@ def remove_repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text")
         F.col(doc_id).cast("long").alias("doc_id"), version.alias("version"), check.alias("check"), body.alias("text"), packed.alias("packed"))
     spans = repeated_spans(rows).groupBy(F.col("doc_id").alias("_d"), F.col("version").alias("_v")).agg(
         F.collect_list("spans").alias("_spans"), F.max("whole").alias("_whole"))
-    keyed = docs.withColumns({"_version": version, "_text": body, "_n_bytes": F.octet_length(body).cast("long")}).drop(text)
+    digest = ("_n_bytes", "_n_removed", "_n_spans", "_kept")
+    others = [c for c in docs.columns if c not in (text, *digest)]
+    keyed = docs.select(F.struct(*others).alias("row"), F.col(doc_id).cast("long").alias("key"), version.alias("version"), body.alias("body"), F.octet_length(body).cast("long").alias("size"))
     keep = F.pandas_udf(_kept, "n_removed long, n_spans long, kept binary")
     some, whole = F.size("_spans") > 0, F.coalesce("_whole", F.lit(False))
-    return (keyed.join(spans, (keyed[doc_id] == spans["_d"]) & (keyed["_version"] == spans["_v"]), "left")
-            .withColumn("_cut", keep(F.when(some & ~whole, F.col("_text")), F.when(some & ~whole, F.col("_spans"))))
-            .withColumns({"_n_removed": F.when(whole, F.col("_n_bytes")).otherwise(F.col("_cut.n_removed")),
-                          "_n_spans": F.when(whole, F.lit(1).cast("long")).otherwise(F.col("_cut.n_spans")),
-                          "_kept": F.when(whole, F.lit(b"")).otherwise(F.coalesce("_cut.kept", "_text"))})
-            .drop("_version", "_text", "_d", "_v", "_spans", "_whole", "_cut"))
+    return (keyed.join(spans, (keyed["key"] == spans["_d"]) & (keyed["version"] == spans["_v"]), "left")
+            .withColumn("cut", keep(F.when(some & ~whole, F.col("body")), F.when(some & ~whole, F.col("_spans"))))
+            .select(*[F.col(f"row.`{c}`") for c in others], F.col("size").alias("_n_bytes"),
+                    F.when(whole, F.col("size")).otherwise(F.col("cut.n_removed")).alias("_n_removed"),
+                    F.when(whole, F.lit(1).cast("long")).otherwise(F.col("cut.n_spans")).alias("_n_spans"),
+                    F.when(whole, F.lit(b"")).otherwise(F.coalesce("cut.kept", "body")).alias("_kept")))
 
 
 def query(spark, sf_dir: str) -> DataFrame:

@@ -18,19 +18,22 @@ without labels of both kinds every score is 0; extra columns stay.
 
 import re
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .common import release
+
 WORD = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
 LENGTH, STRIDE = 32, 24
 LEAST = 4  # documents that a word of the vocabulary is in
 MAX_TOXIC, MAX_CLEAN, MAX_WINDOWS, FOLDS = 700, 1400, 32, 4
 VOCABULARY, GRAMS, WORD_DIM, CHAR_DIM, HIDDEN, ATTEND = 20_000, 1 << 15, 4, 4, 8, 8
-CACHE = 200_000  # words kept in a task
+CACHE = 150_000  # words kept in a task
+STEP = 500  # documents scored at a time
 SEED = 20240517
 CAUTION = 4
 
@@ -60,8 +63,9 @@ class Inputs:
     documents from all labels; else the network would trust words that it has seen in one document.
     """
 
-    def __init__(self, documents: list[set[str]], toxic: np.ndarray):
+    def __init__(self, documents: Iterable[set[str]], toxic: np.ndarray):
         toxic = np.asarray(toxic, bool)
+        runs_of: dict[str, np.ndarray] = {}
         seen, runs = [Counter() for _ in range(FOLDS)], np.zeros((2, FOLDS, GRAMS))
         bad, n = [Counter() for _ in range(FOLDS)], np.zeros((2, FOLDS))
         for i, (words, is_bad) in enumerate(zip(documents, toxic)):
@@ -69,7 +73,10 @@ class Inputs:
             seen[f].update(words)
             if is_bad:
                 bad[f].update(words)
-            g = np.unique([t for w in words for t in grams_of(w)]).astype(int)
+            for w in words:
+                if w not in runs_of:
+                    runs_of[w] = np.array(grams_of(w), np.int32)
+            g = np.unique(np.concatenate([runs_of[w] for w in words]))
             runs[int(is_bad), f, g] += 1
             n[int(is_bad), f] += 1
         total = sum(seen, Counter())
@@ -168,12 +175,19 @@ def project(p, ids, flat, starts, size, fixed):
     return x, x @ p["Wf"] + p["cf"], x @ p["Wb"] + p["cb"]
 
 
+def picked(rows, used: np.ndarray):
+    """Of (ids, flat runs, starts, sizes) of n words and the fixed inputs of a row per word and fold, the rows ``used``."""
+    ids, flat, starts, size, fixed = rows
+    word = used % len(ids)
+    ids, starts, size = ids[word], starts[word], size[word]
+    begin = np.cumsum(size) - size
+    return ids, flat[np.repeat(starts - begin, size) + np.arange(size.sum())], begin, size, fixed[used]
+
+
 def gradients(p, rows, grid: np.ndarray, y: np.ndarray):
     """Gradients of the log loss for windows ``grid`` [B, L] of word rows."""
     used, where = np.unique(grid, return_inverse=True)
-    ids, flat, starts, size, fixed = rows
-    pick = np.repeat(starts[used] - (np.cumsum(size[used]) - size[used]), size[used]) + np.arange(size[used].sum())
-    own = ids[used], flat[pick], np.cumsum(size[used]) - size[used], size[used], fixed[used]
+    own = picked(rows, used)
     x, gf, gb = project(p, *own)
     where = where.reshape(grid.shape).T
     f, saved_f = recur(gf[where], p["Uf"], True)
@@ -217,28 +231,32 @@ def _by_length(grids: list[np.ndarray]):
     return [np.flatnonzero(sizes == n) for n in np.unique(sizes)]
 
 
-def fit(documents: list[list[list[str]]], toxic: list[bool], rounds: int = 3, epochs: int = 4, seed: int = SEED) -> dict:
-    """The network from documents, each a list of windows of words."""
+def fit(documents: list[list[str]], toxic: list[bool], rounds: int = 3, epochs: int = 4, seed: int = SEED) -> dict:
+    """The network from documents, each a list of windows of words joined by blanks."""
     toxic = np.array(toxic, bool)
     if not toxic.any() or toxic.all():
         return {}
-    inputs = Inputs([{w for win in d for w in win} for d in documents], toxic)
-    words = sorted({w for d in documents for win in d for w in win})
-    number = {w: i for i, w in enumerate(words)}
+    number: dict[str, int] = {}
+    grids = [np.array([number.setdefault(w, len(number)) for w in win.split(" ")], np.int32) for d in documents for win in d]
+    ends = np.cumsum([len(d) for d in documents])
+    words = list(number)
+    inputs = Inputs(({words[j] for j in np.unique(np.concatenate(grids[a:b]))} for a, b in zip([0, *ends[:-1]], ends)), toxic)
     one = inputs.rows(words)
-    count = len(words)
-    rows = (*(np.tile(x, FOLDS) for x in (one[0], one[1])), np.concatenate([one[2] + f * len(one[1]) for f in range(FOLDS)]),
-            np.tile(one[3], FOLDS), np.concatenate([inputs.fixed(*one[:4], f) for f in range(FOLDS)]))
-    grids = [np.array([number[w] for w in win]) + i % FOLDS * count for i, d in enumerate(documents) for win in d]
+    rows = (one[0], one[1].astype(np.int32), *one[2:4], np.concatenate([inputs.fixed(*one[:4], f) for f in range(FOLDS)]))
+    del number, words, one
     doc = np.repeat(np.arange(len(documents)), [len(d) for d in documents])
     starts = np.flatnonzero(np.r_[True, doc[1:] != doc[:-1]])
+    grids = [g + i % FOLDS * len(rows[0]) for g, i in zip(grids, doc)]
     r, p = np.random.default_rng(seed), fresh(len(inputs.index) + 1, seed)
     moments = {k: (np.zeros_like(v), np.zeros_like(v)) for k, v in p.items()}
     groups, step = _by_length(grids), 0
     score = np.array([rows[4][g, 0].max() for g in grids])
 
     def scored():
-        x, gf, gb = project(p, *rows)
+        gf, gb = (np.empty((len(rows[4]), 3 * HIDDEN), np.float32) for _ in "fb")
+        for i in range(0, len(gf), 1 << 14):
+            used = np.arange(i, min(i + (1 << 14), len(gf)))
+            _, gf[used], gb[used] = project(p, *picked(rows, used))
         out = np.empty(len(grids), np.float32)
         for g in groups:
             out[g] = logits(p, (gf, gb), np.stack([grids[i] for i in g]))
@@ -300,7 +318,7 @@ def train(docs: DataFrame, labels: DataFrame, use: Column | None = None, doc_id:
         return {}
     found = found.drop_duplicates().sort_values(["doc_id", "words"], kind="stable")
     groups = found.groupby("doc_id", sort=True)
-    return fit([[w.split(" ") for w in g] for g in groups["words"].agg(list)], (groups["toxic"].max() == 1).tolist())
+    return fit(groups["words"].agg(list).tolist(), (groups["toxic"].max() == 1).tolist())
 
 
 class Scorer:
@@ -349,19 +367,25 @@ class Scorer:
         return np.where(np.isinf(top), 0.0, sigmoid(top.astype(np.float64) - self.shift))
 
 
-def with_scores(docs: DataFrame, model: dict, text: str = "text", out: str = "score") -> DataFrame:
+def score_column(docs: DataFrame, model: dict, text: str = "text") -> Column:
     if not model:
-        return docs.withColumn(out, F.lit(0.0))
+        return F.lit(0.0)
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     @F.pandas_udf("double")
     def scores(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         scorer = Scorer(shared.value)
         for texts in batches:
-            step = 1000
-            yield pd.Series(np.concatenate([scorer.score(texts.iloc[i:i + step].tolist()) for i in range(0, len(texts), step)]) if len(texts) else np.empty(0))
+            yield pd.Series(np.concatenate([scorer.score(texts.iloc[i:i + STEP].tolist()) for i in range(0, len(texts), STEP)]) if len(texts) else np.empty(0))
+            release()
+        scorer.clear()
+        release()
+
+    return scores(F.col(text))
 
-    return docs.withColumn(out, scores(F.col(text)))
+
+def with_scores(docs: DataFrame, model: dict, text: str = "text", out: str = "score") -> DataFrame:
+    return docs.withColumn(out, score_column(docs, model, text))
 
 
 def remainder(modulus: int, doc_id: str = "doc_id") -> Column:
@@ -371,7 +395,7 @@ def remainder(modulus: int, doc_id: str = "doc_id") -> Column:
 def drop_toxic(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """The rows of ``docs`` that score under 0.5."""
     model = train(docs, labels, remainder(5) != 0)
-    return with_scores(docs, model, out="_score").where("_score < 0.5").drop("_score")
+    return docs.where(score_column(docs, model) < 0.5)
 
 
 def query(spark, sf_dir: str) -> DataFrame:
