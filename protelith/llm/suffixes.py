@@ -33,7 +33,9 @@ from .common import cut, release, small_batches
 
 MATCH, GRAM = 50, 20
 CHUNK = 1 << 19  # bytes hashed at a time
-FLUSH = 8 << 20  # bytes of text for each packed flush
+FLUSH = 8 << 20  # bytes of text for each packed flush of names
+STRING_FLUSH = 3 << 20  # and of strings
+BLOCK = 4096  # stretches of text hashed at a time
 NAMES_PER_RANGE, STRINGS_PER_RANGE = 1 << 20, 1 << 15
 U64 = np.uint64
 K1, K2, K3 = (U64(k) for k in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9))
@@ -291,7 +293,7 @@ def _stringer(ranges: int):
                     held.append((name, ids[rows[i]], versions[rows[i]], first - starts[i] + base[i], length,
                                  _substrings(data, first, end, 0), _substrings(data, first, end, 1), data[take]))
                 size += len(data)
-                if size >= FLUSH and held:
+                if size >= STRING_FLUSH and held:
                     yield flush(held)
                     held, size = [], 0
                     release()
@@ -358,7 +360,13 @@ def _lost(g: pd.DataFrame) -> tuple[np.ndarray, ...]:
     entry = np.repeat(np.arange(len(size)), strings)
     step = np.arange(len(entry)) - np.repeat(np.cumsum(strings) - strings, strings)
     at = begin[entry] + step
-    h1, h2 = (_substrings(body, at, at + MATCH, k) for k in (0, 1))
+    h1, h2 = np.empty(len(at), U64), np.empty(len(at), U64)
+    last = np.cumsum(strings)
+    for i in range(0, len(size), BLOCK):
+        j = min(i + BLOCK, len(size))
+        part = slice(last[i] - strings[i], last[j - 1])
+        some, here = body[begin[i]:begin[j - 1] + size[j - 1]], at[part] - begin[i]
+        h1[part], h2[part] = (_substrings(some, here, here + MATCH, k) for k in (0, 1))
     order = np.argsort(h1, kind="stable")
     a, b = h1[order], h2[order]
     if np.any((a[1:] == a[:-1]) & (b[1:] != b[:-1])):
