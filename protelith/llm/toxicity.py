@@ -32,7 +32,7 @@ LENGTH, STRIDE = 32, 24
 LEAST = 4  # documents that a word of the vocabulary is in
 MAX_TOXIC, MAX_CLEAN, MAX_WINDOWS, FOLDS = 700, 1400, 32, 4
 VOCABULARY, GRAMS, WORD_DIM, CHAR_DIM, HIDDEN, ATTEND = 20_000, 1 << 15, 4, 4, 8, 8
-CACHE = 150_000  # words kept in a task
+CACHE = 200_000  # words kept in a task
 STEP = 500  # documents scored at a time
 SEED = 20240517
 CAUTION = 4
@@ -46,14 +46,23 @@ def windows(n: int) -> list[int]:
     return [*starts, n - LENGTH]
 
 
-def grams_of(word: str) -> list[int]:
-    """Hashes of the runs of three to five characters of a word with its ends marked."""
-    c = [94, *map(ord, word), 36]
-    n, two = len(c), [a * 31 + b for a, b in zip(c, c[1:])]
-    three = [(x * 31 + y) % 1_000_003 for x, y in zip(two, c[2:])]
-    four = [(x * 31 + y) % 1_000_003 for x, y in zip(three, c[3:])]
-    five = [(x * 31 + y) % 1_000_003 for x, y in zip(four, c[4:])]
-    return [x * 7 % GRAMS for x in three] + [x * 11 % GRAMS for x in four] + [x * 13 % GRAMS for x in five if n > 4]
+def grams_of(words: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Hashes of the runs of three to five characters of each word with its ends marked: flat, each word's start and size."""
+    c = np.frombuffer("".join(f"^{w}$" for w in words).encode("utf-32-le"), "<u4").astype(np.int64)
+    length = np.array([len(w) + 2 for w in words])
+    ends = np.repeat(np.cumsum(length), length)
+    word = np.repeat(np.arange(len(words)), length)
+    run, of, found = c[:-1] * 31 + c[1:], [], []
+    for k, factor in ((3, 7), (4, 11), (5, 13)):
+        if len(c) < k:
+            break
+        run = (run[:-1] * 31 + c[k - 1:]) % 1_000_003
+        inside = np.flatnonzero(np.arange(len(run)) + k <= ends[:len(run)])
+        of.append(word[inside])
+        found.append(run[inside] * factor % GRAMS)
+    of, found = np.concatenate(of), np.concatenate(found)
+    size = np.bincount(of, minlength=len(words))
+    return found[np.argsort(of, kind="stable")], np.cumsum(size) - size, size
 
 
 class Inputs:
@@ -65,7 +74,6 @@ class Inputs:
 
     def __init__(self, documents: Iterable[set[str]], toxic: np.ndarray):
         toxic = np.asarray(toxic, bool)
-        runs_of: dict[str, np.ndarray] = {}
         seen, runs = [Counter() for _ in range(FOLDS)], np.zeros((2, FOLDS, GRAMS))
         bad, n = [Counter() for _ in range(FOLDS)], np.zeros((2, FOLDS))
         for i, (words, is_bad) in enumerate(zip(documents, toxic)):
@@ -73,10 +81,7 @@ class Inputs:
             seen[f].update(words)
             if is_bad:
                 bad[f].update(words)
-            for w in words:
-                if w not in runs_of:
-                    runs_of[w] = np.array(grams_of(w), np.int32)
-            g = np.unique(np.concatenate([runs_of[w] for w in words]))
+            g = np.unique(grams_of(list(words))[0])
             runs[int(is_bad), f, g] += 1
             n[int(is_bad), f] += 1
         total = sum(seen, Counter())
@@ -100,9 +105,7 @@ class Inputs:
     def rows(self, words: list[str], fold: int | None = None):
         """Vocabulary indexes, flat character runs with their word's start and size, fixed inputs."""
         ids = np.array([self.index.get(w, 0) for w in words], np.int64)
-        grams = [grams_of(w) for w in words]
-        size = np.array([len(g) for g in grams])
-        flat, starts = np.concatenate(grams).astype(np.int64), np.cumsum(size) - size
+        flat, starts, size = grams_of(words)
         return ids, flat, starts, size, self.fixed(ids, flat, starts, size, fold)
 
     def fixed(self, ids, flat, starts, size, fold: int | None):
