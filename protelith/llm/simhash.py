@@ -20,6 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import components, cut, release
+from .similar import similar_components
 
 LOWER = bytes.maketrans(bytes(range(65, 91)), bytes(range(97, 123)))
 BLOCK = 1 << 15  # shingles counted at a time
@@ -102,14 +103,14 @@ def near_duplicates(docs: DataFrame, shingle: int = 4, max_bits: int = 4, lanes:
     return prints.join(roots, "fp").select("doc_id", "fp", "component_id")
 
 
-def drop_near_duplicates(docs: DataFrame, shingle: int = 5, max_bits: int = 11, lanes: int = 2, doc_id: str = "doc_id",
-                         text: str = "text") -> DataFrame:
+def drop_near_duplicates(docs: DataFrame, shingle: int = 5, similarity: float = 0.8, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """The rows of ``docs`` whose doc_id is the smallest of its component, one row for each; rows without an id stay.
 
-    Eleven of 128 bits stand for a similarity of about 0.93 over five-word shingles.
+    Components are those of all pairs of at least the similarity over word shingles, exactly: fingerprints of
+    128 bits could be enumerated up to eleven differing bits only, a similarity of about 0.93.
     """
-    found = near_duplicates(docs.where(F.col(doc_id).isNotNull()), shingle, max_bits, lanes, doc_id, text)
-    lose = found.where("doc_id <> component_id").select(F.col("doc_id").alias("_lost")).distinct()
+    known = docs.where(F.col(doc_id).isNotNull()).select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"))
+    lose = similar_components(known, shingle, similarity).where("doc_id <> component_id").select(F.col("doc_id").alias("_lost")).distinct()
     kept = docs.join(lose, docs[doc_id] == lose["_lost"], "left_anti")
     return kept
 

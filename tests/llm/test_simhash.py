@@ -4,9 +4,9 @@ import numpy as np
 import xxhash
 from pyspark.sql import functions as F
 
-from protelith.llm import common, simhash
+from protelith.llm import common, simhash, similar
 
-from .conftest import SMALL
+from .conftest import MEDIUM, SMALL
 
 
 def brute_fingerprint(text, k=4):
@@ -92,3 +92,68 @@ def test_stage_leaves_unlike_documents(spark):
     docs = spark.createDataFrame([(5, " ".join(words)), (3, " ".join(near)), (9, " ".join(words)), (4, " ".join(reversed(words)))], "doc_id long, text string")
     assert sorted(r.doc_id for r in simhash.drop_near_duplicates(docs).collect()) == [3, 4]
     assert docs.select(F.count("*")).first()[0] == 4
+
+
+def brute_similar(docs, k=5):
+    """The kept ids by comparing every pair of shingle sets that share a shingle."""
+    sets, holders = {}, defaultdict(list)
+    for i, t in docs:
+        words = "".join(c.lower() if "A" <= c <= "Z" else c for c in t or "").encode().split()
+        sets[i] = {tuple(words[j:j + k]) for j in range(len(words) - k + 1)} or ({tuple(words)} if words else set())
+        for g in sets[i]:
+            holders[g].append(i)
+    shared, pairs = defaultdict(int), set()
+    for ids in holders.values():
+        for n, a in enumerate(ids):
+            for b in ids[n + 1:]:
+                shared[min(a, b), max(a, b)] += 1
+    for (a, b), o in shared.items():
+        if 5 * o >= 4 * (len(sets[a]) + len(sets[b]) - o):
+            pairs.add((a, b))
+    blank = sorted(i for i in sets if not sets[i])
+    return sets, pairs | set(zip(blank, blank[1:]))
+
+
+def closed(ids, pairs):
+    root = {i: i for i in ids}
+
+    def find(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    for a, b in pairs:
+        low, high = sorted((find(a), find(b)))
+        root[high] = low
+    return {i: find(i) for i in ids}
+
+
+def test_stage_reaches_all_pairs_of_four_fifths(spark):
+    docs = spark.read.parquet(f"{MEDIUM}/documents.parquet")
+    sets, pairs = brute_similar([(r.doc_id, r.text) for r in docs.collect()])
+    got = {r.doc_id: r.component_id for r in similar.similar_components(docs.select("doc_id", "text")).collect()}
+    assert {(1, 255), (255, 278), (255, 615), (643, 770), (709, 944), (582, 875)} <= pairs
+    assert got == closed(sets, pairs)
+    assert {r.doc_id for r in simhash.drop_near_duplicates(docs).select("doc_id").collect()} == {i for i, c in got.items() if i == c}
+
+
+def test_one_word_in_fifty(spark):
+    words = [f"w{i}" for i in range(50)]
+    one, two = words.copy(), words.copy()
+    one[25], two[20], two[30] = "x", "y", "z"
+    docs = spark.createDataFrame([(1, " ".join(words)), (2, " ".join(one)), (3, " ".join(two))], "doc_id long, text string")
+    assert sorted(r.doc_id for r in simhash.drop_near_duplicates(docs).collect()) == [1, 3]
+
+
+def test_chains_over_groups_are_closed(spark):
+    """Members that only meet a later one of a group, and groups that only their members link."""
+    rng = np.random.default_rng(3)
+    rows, words = [], [f"w{i}" for i in range(60)]
+    for i in rng.permutation(40).tolist():
+        rows.append((i, " ".join(words)))
+        words = words.copy()
+        words[int(rng.integers(60))] = f"v{i}"
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    sets, pairs = brute_similar(rows)
+    got = {r.doc_id: r.component_id for r in similar.similar_components(docs).collect()}
+    assert got == closed(sets, pairs) and len(set(got.values())) < 40
