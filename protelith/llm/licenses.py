@@ -45,6 +45,8 @@ TEMPLATES = (
     ("all-rights-reserved", "copyright [c] <6> all rights reserved"),
 )
 HINT = re.compile(rb"licen[cs]|apache|copyright|permi(?:ssion|tted)|redistribut|\bcc\b|mozilla public")
+#: HINT, and "cc" as a word of the scan, to which an underscore is a separator: every text with a phrase or a template has it.
+WORDING = re.compile(HINT.pattern + rb"|(?<![a-z0-9\x80-\xff])cc(?![a-z0-9\x80-\xff])")
 _lower = bytes.maketrans(bytes(range(65, 91)), bytes(range(97, 123)))
 _word = np.ones(256, bool)
 _word[[*range(0x00, 0x30), *range(0x3A, 0x61), *range(0x7B, 0x80)]] = False
@@ -122,7 +124,7 @@ def scanned(text: str | None, automaton: Automaton) -> tuple:
     raw = (text or "").encode("utf-8", "replace").translate(_lower)
     inside = _word[np.frombuffer(raw, np.uint8)]
     n = int(np.count_nonzero(inside[1:] & ~inside[:-1])) + int(len(inside) and inside[0])
-    if not HINT.search(raw):
+    if not WORDING.search(raw):
         return n, 0, None, None, "", "", 0.0
     tokens = _words.findall(raw)
     places, base = [], set()
@@ -137,7 +139,7 @@ def scanned(text: str | None, automaton: Automaton) -> tuple:
                 places.append(i)
                 base.add(label)
     met = automaton.labels(tokens)
-    score = 1.0 if met else 0.8 if base else 0.2
+    score = 1.0 if met else 0.8 if base else 0.2 if HINT.search(raw) else 0.0
     return (n, len(places), min(places, default=None), max(places, default=None), ",".join(sorted(base)), ",".join(sorted(base | met)), score)
 
 

@@ -33,3 +33,10 @@ def test_places(spark):
 
 def test_edge_cases(spark, edge, empty):
     assert licenses.scan(edge).count() == 12 and licenses.scan(empty).count() == 0
+
+
+def test_underscores_separate_words():
+    scanned = lambda t: licenses.scanned(t, licenses.Automaton())
+    assert scanned("shared under cc_by_nc terms") == (6, 1, 2, 2, "cc-by-nc", "cc-by-nc", 0.8)
+    assert scanned("_cc by nc_") == (3, 1, 0, 0, "cc-by-nc", "cc-by-nc", 0.8)
+    assert scanned("a_cc_b") == (3, 0, None, None, "", "", 0.0)  # as in the SQL
