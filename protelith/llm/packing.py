@@ -34,13 +34,14 @@ PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long,
 _encoders: dict = {}
 
 
-def encoder(vocabulary: str = "byte_bpe_50k"):
+def encoder(vocabulary: str = "byte_bpe_50k", added: bool = False):
     """text -> uint32 ids of the public byte-level vocabulary.
 
     tiktoken reads the same vocabulary as the tokenizers file and gives the same ids several times
-    faster; a text that it refuses goes through tokenizers.
+    faster; a text that it refuses goes through tokenizers. With ``added``, texts that hold an added
+    token of that file go through it with its defaults, and give that token's id; else it is plain text.
     """
-    if vocabulary not in _encoders:
+    if (vocabulary, added) not in _encoders:
         import public_tokenizers as P
         import tiktoken
         from tokenizers import Tokenizer
@@ -49,26 +50,28 @@ def encoder(vocabulary: str = "byte_bpe_50k"):
             ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, lines)}
         fast = tiktoken.Encoding(vocabulary, pat_str=P.PATTERN, mergeable_ranks=ranks, special_tokens={})
         slow: list = []
+        tokens = [t.content for t in Tokenizer.from_file(P.path(f"{vocabulary}.json")).get_added_tokens_decoder().values()] if added else []
 
         def encode(text: str) -> np.ndarray:
-            try:
-                return np.array(fast.encode_ordinary(text), np.uint32)
-            except BaseException as refused:  # its Rust part panics on some very long runs
-                if isinstance(refused, (KeyboardInterrupt, SystemExit, MemoryError)):
-                    raise
-                if not slow:
-                    slow.append(Tokenizer.from_file(P.path(f"{vocabulary}.json")))
-                    slow[0].encode_special_tokens = True
-                return np.array(slow[0].encode(text, add_special_tokens=False).ids, np.uint32)
+            if not any(t in text for t in tokens):
+                try:
+                    return np.array(fast.encode_ordinary(text), np.uint32)
+                except BaseException as refused:  # its Rust part panics on some very long runs
+                    if isinstance(refused, (KeyboardInterrupt, SystemExit, MemoryError)):
+                        raise
+            if not slow:
+                slow.append(Tokenizer.from_file(P.path(f"{vocabulary}.json")))
+                slow[0].encode_special_tokens = not added
+            return np.array(slow[0].encode(text, add_special_tokens=False).ids, np.uint32)
 
-        _encoders[vocabulary] = encode
-    return _encoders[vocabulary]
+        _encoders[vocabulary, added] = encode
+    return _encoders[vocabulary, added]
 
 
 def pieces(docs: DataFrame, window: int = 2048, vocabulary: str = "byte_bpe_50k") -> DataFrame:
     """A row for each piece: full windows, then the rest; k numbers a task's pieces of equal length."""
     def cut_up(batches):
-        encode, part, seen = encoder(vocabulary), TaskContext.get().partitionId(), defaultdict(int)
+        encode, part, seen = encoder(vocabulary, added=True), TaskContext.get().partitionId(), defaultdict(int)
         for batch in batches:
             out = []
             for doc_id, text in zip(batch["doc_id"], batch["text"]):

@@ -65,3 +65,13 @@ def test_edge_cases(spark, edge, empty):
     tokenizer = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
     tokenizer.encode_special_tokens = True
     assert [packing.encoder()(t).tolist() for t in odd] == [tokenizer.encode(t, add_special_tokens=False).ids for t in odd]
+
+
+def test_added_tokens_have_their_ids(spark):
+    tokenizer = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
+    odd = ["a<|endoftext|>b", "<|endoftext|>", "x <|endoftext|> <|endoftext|>y", "<|endoftext", "plain"]
+    want = [tokenizer.encode(t, add_special_tokens=False).ids for t in odd]
+    assert want[0] == [64, 50256, 65] and [packing.encoder(added=True)(t).tolist() for t in odd] == want
+    docs = spark.createDataFrame(list(enumerate(odd)), "doc_id long, text string")
+    assert {r.doc_id: (r.doc_tokens, r.ids_crc32) for r in packing.pack(docs).collect()} == {
+        i: (len(ids) + 1, zlib.crc32(np.array([*ids, 1], "<u4").tobytes())) for i, ids in enumerate(want)}
