@@ -1,16 +1,18 @@
 """Quality rules: base counts, and divergence from language references.
 
 Each text gives a histogram over character classes and one over frequent function words (and the rest).
-The reference of a language is the mean of the proportions of all its documents that pass the base
-rules; a text fails if the Jensen-Shannon distance (the square root of the divergence, base 2) of either
+The reference of a language is the mean of the proportions of its documents that pass the base
+rules, drawn towards the mean of all languages as if ``PRIOR`` documents of that mean were added: a language with few documents
+has nearly the pooled reference, one with many nearly its own, without a step between. A text fails if the Jensen-Shannon
+distance (the square root of the divergence, base 2) of either
 histogram from its language's reference exceeds the limit. Guards: the character histogram counts from
-``MIN_CHARS`` characters on, the word histogram from ``MIN_WORDS`` words on. Languages with fewer than
-``MIN_DOCS`` passing documents, and rows without a language, are compared with the reference of all documents.
+``MIN_CHARS`` characters on, the word histogram from ``MIN_WORDS`` words on. Rows without a language are compared with the pooled reference.
 
 Texts are read once: counts and histograms go to the shared checkpoint folder, references and verdicts come from there.
 
-Rows: a null or empty text has no words, fails the base rules and is not kept; repeated rows are
-judged alike, each counting in the reference; an empty table gives an empty result.
+Rows: a null or empty text has no words, fails the base rules and is not kept; texts of any length are counted whole; repeated
+rows and equal texts are judged alike, each counting in the reference; a distance equal to its limit passes; extra columns
+are left out; an empty table gives an empty result.
 """
 
 import re
@@ -23,7 +25,7 @@ from pyspark.sql import functions as F
 
 from .common import cut
 
-MIN_CHARS, MIN_WORDS, MIN_DOCS = 200, 50, 20
+MIN_CHARS, MIN_WORDS, PRIOR = 200, 50, 20
 MAX_CHAR_DISTANCE, MAX_WORD_DISTANCE = 0.13, 0.36
 CLASSES = ("lower", "upper", "space", "newline", "period_comma", "symbol", "mark", "other_letter")
 #: Frequent function words of four languages.
@@ -128,9 +130,9 @@ def judged(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", lang: st
     pooled = np.array([of_all.get(k, 0.0) for k in range(WIDTH + 1)])
     pooled = (pooled[1:] / max(1.0, pooled[0])).tolist()
     packed = F.map_from_entries(F.collect_list(F.struct("k", "v")))
-    refs = (spread.groupBy("lang", "k").agg(F.sum("v").alias("v")).groupBy("lang").agg(packed.alias("m"))
-            .where(F.col("m")[0] >= MIN_DOCS).where("lang <> ''")
-            .select("lang", F.transform(F.sequence(F.lit(1), F.lit(WIDTH)), lambda k: F.col("m")[k] / F.col("m")[0]).alias("reference")))
+    prior = F.lit(pooled)
+    refs = (spread.where("lang <> ''").groupBy("lang", "k").agg(F.sum("v").alias("v")).groupBy("lang").agg(packed.alias("m"))
+            .select("lang", F.transform(F.sequence(F.lit(1), F.lit(WIDTH)), lambda k: (F.col("m")[k] + PRIOR * prior[k - 1]) / (F.col("m")[0] + PRIOR)).alias("reference")))
 
     def measure(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         k = len(CLASSES)
@@ -183,9 +185,10 @@ tokens AS (SELECT doc_id, coalesce(list_position({common}, t), {m + 1}) - 1 AS k
 bins AS (SELECT doc_id, h, k, c FROM chars UNION ALL SELECT doc_id, 1, k, count(*) FROM tokens GROUP BY ALL),
 p AS MATERIALIZED (SELECT doc_id, h, k, c / nullif(sum(c) OVER (PARTITION BY doc_id, h), 0) AS p, sum(c) OVER (PARTITION BY doc_id, h) AS n FROM bins),
 good AS (SELECT doc_id, lang FROM base WHERE NOT base_failed),
-sizes AS (SELECT lang, count(*) AS n FROM good GROUP BY lang),
-own AS (SELECT lang, h, k, sum(p) / any_value(s.n) AS q FROM good JOIN sizes s USING (lang) JOIN p USING (doc_id) WHERE lang <> '' AND s.n >= {MIN_DOCS} GROUP BY lang, h, k),
-pooled AS (SELECT h, k, sum(p) / (SELECT count(*) FROM good) AS q FROM good JOIN p USING (doc_id) GROUP BY h, k),
+sizes AS (SELECT lang, count(*) AS n FROM good WHERE lang <> '' GROUP BY lang),
+pooled AS (SELECT h, k, coalesce(sum(p), 0) / (SELECT count(*) FROM good) AS q FROM good JOIN p USING (doc_id) GROUP BY h, k),
+summed AS (SELECT lang, h, k, sum(p) AS s FROM good JOIN p USING (doc_id) GROUP BY lang, h, k),
+own AS (SELECT sizes.lang, h, k, (coalesce(s, 0) + {PRIOR} * q) / (n + {PRIOR}) AS q FROM sizes CROSS JOIN pooled LEFT JOIN summed USING (lang, h, k)),
 q AS (SELECT doc_id, h, k, q FROM base JOIN own USING (lang) UNION ALL SELECT doc_id, h, k, q FROM base, pooled WHERE lang NOT IN (SELECT lang FROM own)),
 both_sides AS (SELECT doc_id, h, k, coalesce(p.p, 0) AS p, coalesce(q.q, 0) AS q FROM q FULL JOIN p USING (doc_id, h, k)),
 parts AS (SELECT doc_id, h, sqrt(greatest(0, sum(CASE WHEN p > 0 THEN p * log2(2 * p / (p + q)) ELSE 0 END + CASE WHEN q > 0 THEN q * log2(2 * q / (p + q)) ELSE 0 END) / 2)) AS x FROM both_sides GROUP BY ALL),

@@ -55,8 +55,27 @@ def test_keeps_good_and_drops_junk(spark):
     assert share[1] > 0.97 and share[0] < 0.15
 
 
+def test_references_change_smoothly_with_size(spark):
+    """A language of 19, 20 or 21 documents has nearly the same reference; brute force in numpy."""
+    texts = {"xx": " ".join(f"alpha{i % 40} the of" for i in range(40)), "en": " ".join(f"Beta{i}, zu{i} der und" for i in range(40))}
+    seen = []
+    for n in (19, 20, 21):
+        rows = [(i, texts["xx"], "xx") for i in range(n)] + [(100 + i, texts["en"], "en") for i in range(80)] + [(999, texts["en"], "xx"), (1000, texts["en"], None)]
+        got = {r.doc_id: r.word_distance for r in rules.judged(spark.createDataFrame(rows, "doc_id long, text string, lang string")).collect()}
+        p = {k: rules._proportions(np.frombuffer(rules.counted(t)[5], "<i4")[None])[0] for k, t in texts.items()}
+        pooled = (n * p["xx"] + 82 * p["en"]) / (n + 82)
+        own = (n * p["xx"] + p["en"] + rules.PRIOR * pooled) / (n + 1 + rules.PRIOR)
+        k = len(rules.CLASSES)
+        assert abs(got[999] - rules.distances(p["en"][None, k:], own[None, k:])[0]) < 1e-12
+        assert abs(got[1000] - rules.distances(p["en"][None, k:], pooled[None, k:])[0]) < 1e-12
+        seen.append(got[999])
+    assert max(seen) - min(seen) < 0.02
+
+
 def test_edge_cases(spark, edge, empty):
     got = rules.judged(edge).collect()
     assert len(got) == 12 and not any(r.kept for r in got if r.n_words < 50)
+    long = {r.doc_id: r.n_words for r in got if r.doc_id in (6, 7)}
+    assert long == {6: 120_000, 7: 120_001} and len({(r.n_words, r.char_distance, r.kept) for r in got if r.doc_id in (1, 2)}) == 1
     assert {r.n_words for r in got if r.doc_id in (3, 4, 5)} == {0}
     assert rules.judged(empty).count() == 0
