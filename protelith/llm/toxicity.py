@@ -7,13 +7,13 @@ is that of its highest window. Each distinct word's input projection is computed
 window costs the recurrent steps alone.
 
 The network is fitted on the driver from a bounded, stratified sample of labelled documents: at most
-``MAX_TOXIC`` and ``MAX_CLEAN`` documents (those with the lowest seeded hash of doc_id), at most
-``MAX_WINDOWS`` evenly spaced windows of each. Labels belong to documents, so the windows that stand
+``MAX_TOXIC`` and ``MAX_CLEAN`` documents (those with the lowest seeded hash of doc_id), with all their windows. Labels belong to documents, so the windows that stand
 for a toxic document are those that score highest, first by that measure, then by the network. All texts are
 scored in full.
 
-Rows: a null text or one without a word scores 0; null labels are no labels; repeated rows score alike;
-without labels of both kinds every score is 0; extra columns stay.
+Rows: a null text or one without a word scores 0; null labels are no labels, and of several labels of a doc_id the highest
+counts; repeated rows and equal texts score alike; without labels of both kinds every score is 0; extra columns stay; an empty
+table gives an empty result.
 """
 
 import re
@@ -30,7 +30,7 @@ from .common import release
 WORD = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
 LENGTH, STRIDE = 32, 24
 LEAST = 4  # documents that a word of the vocabulary is in
-MAX_TOXIC, MAX_CLEAN, MAX_WINDOWS, FOLDS = 700, 1400, 32, 4
+MAX_TOXIC, MAX_CLEAN, FOLDS = 700, 1400, 4
 VOCABULARY, GRAMS, WORD_DIM, CHAR_DIM, HIDDEN, ATTEND = 20_000, 1 << 15, 4, 4, 8, 8
 CACHE = 200_000  # words kept in a task
 STEP = 500  # documents scored at a time
@@ -234,20 +234,27 @@ def _by_length(grids: list[np.ndarray]):
     return [np.flatnonzero(sizes == n) for n in np.unique(sizes)]
 
 
-def fit(documents: list[list[str]], toxic: list[bool], rounds: int = 3, epochs: int = 4, seed: int = SEED) -> dict:
-    """The network from documents, each a list of windows of words joined by blanks."""
+def fit(documents: list[str], toxic: list[bool], rounds: int = 3, epochs: int = 4, seed: int = SEED, odds: bool = True) -> dict:
+    """The network from documents, each its words joined by blanks. Without ``odds`` the inputs of label counts are zero, to see what the network adds."""
     toxic = np.array(toxic, bool)
     if not toxic.any() or toxic.all():
         return {}
     number: dict[str, int] = {}
-    grids = [np.array([number.setdefault(w, len(number)) for w in win.split(" ")], np.int32) for d in documents for win in d]
-    ends = np.cumsum([len(d) for d in documents])
+    grids, sizes = [], []
+    for d in documents:
+        ids = np.array([number.setdefault(w, len(number)) for w in d.split(" ")], np.int32)
+        at = windows(len(ids))
+        grids += [ids[s:s + LENGTH] for s in at]
+        sizes.append(len(at))
+    ends = np.cumsum(sizes)
     words = list(number)
     inputs = Inputs(({words[j] for j in np.unique(np.concatenate(grids[a:b]))} for a, b in zip([0, *ends[:-1]], ends)), toxic)
+    if not odds:
+        inputs.word_odds, inputs.gram_odds = ([np.zeros_like(x) for x in table] for table in (inputs.word_odds, inputs.gram_odds))
     one = inputs.rows(words)
     rows = (one[0], one[1].astype(np.int32), *one[2:4], np.concatenate([inputs.fixed(*one[:4], f) for f in range(FOLDS)]))
     del number, words, one
-    doc = np.repeat(np.arange(len(documents)), [len(d) for d in documents])
+    doc = np.repeat(np.arange(len(documents)), sizes)
     starts = np.flatnonzero(np.r_[True, doc[1:] != doc[:-1]])
     grids = [g + i % FOLDS * len(rows[0]) for g, i in zip(grids, doc)]
     r, p = np.random.default_rng(seed), fresh(len(inputs.index) + 1, seed)
@@ -297,18 +304,13 @@ def fit(documents: list[list[str]], toxic: list[bool], rounds: int = 3, epochs:
     return {"inputs": inputs, "p": {k: v.astype(np.float32) for k, v in p.items()}, "shift": float(shift)}
 
 
-def _sampled_windows(batches):
+def _worded(batches):
     for batch in batches:
-        out = []
-        for doc_id, text, toxic in zip(batch["doc_id"], batch["text"], batch["toxic"]):
-            w = WORD.findall((text or "").lower())
-            at = windows(len(w))
-            for i in np.unique(np.linspace(0, len(at) - 1, min(len(at), MAX_WINDOWS)).astype(int)) if at else []:
-                out.append((doc_id, toxic, " ".join(w[at[i]:at[i] + LENGTH])))
-        yield pd.DataFrame(out, columns=["doc_id", "toxic", "words"])
+        found = [(i, toxic, " ".join(w)) for i, text, toxic in zip(batch["doc_id"], batch["text"], batch["toxic"]) if (w := WORD.findall((text or "").lower()))]
+        yield pd.DataFrame(found, columns=["doc_id", "toxic", "words"])
 
 
-def train(docs: DataFrame, labels: DataFrame, use: Column | None = None, doc_id: str = "doc_id", text: str = "text", label: str = "toxic") -> dict:
+def train(docs: DataFrame, labels: DataFrame, use: Column | None = None, doc_id: str = "doc_id", text: str = "text", label: str = "toxic", odds: bool = True) -> dict:
     """A model from the labelled documents for which ``use`` holds."""
     known = labels.select(F.col(doc_id).alias("doc_id"), F.col(label).alias("toxic")).where("doc_id is not null and toxic is not null")
     known = known.where(use) if use is not None else known
@@ -316,12 +318,11 @@ def train(docs: DataFrame, labels: DataFrame, use: Column | None = None, doc_id:
     lowest = lambda kind, n: known.where(F.col("toxic") == kind).orderBy(F.xxhash64(F.lit(SEED), "doc_id")).limit(n)
     sample = lowest(1, MAX_TOXIC).unionByName(lowest(0, MAX_CLEAN))  # at most MAX_TOXIC + MAX_CLEAN ids
     found = (docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text")).join(F.broadcast(sample.select(F.col("doc_id").cast("long"), "toxic")), "doc_id")
-             .mapInPandas(_sampled_windows, "doc_id long, toxic int, words string").toPandas())
+             .mapInPandas(_worded, "doc_id long, toxic int, words string").toPandas())
     if not len(found):
         return {}
     found = found.drop_duplicates().sort_values(["doc_id", "words"], kind="stable")
-    groups = found.groupby("doc_id", sort=True)
-    return fit(groups["words"].agg(list).tolist(), (groups["toxic"].max() == 1).tolist())
+    return fit(found["words"].tolist(), (found["toxic"] == 1).tolist(), odds=odds)
 
 
 class Scorer:
