@@ -3,27 +3,53 @@
 from __future__ import annotations
 
 import ctypes
+import re
 import tempfile
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+BITMAP_BITS = 24
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that driver and executors share, as ``spark.checkpoint.dir`` names it; where that is unset, a temporary one on a
+    single machine, and an error on a cluster, whose machines would not see it."""
+    sc = spark.sparkContext
+    folder = sc.getConf().get("spark.checkpoint.dir") or sc.getCheckpointDir()
+    if not folder:
+        if not re.fullmatch(r"local(\[.*\])?", sc.master):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+        folder = tempfile.mkdtemp(prefix="protelith-")
+    if sc.getCheckpointDir() is None:
+        sc.setCheckpointDir(folder)
+    return folder.rstrip("/")
+
+
 def cut(df: DataFrame) -> DataFrame:
-    """Materialise ``df`` in the cluster's shared checkpoint folder and cut its lineage.
+    """Materialise ``df`` in the cluster's shared checkpoint folder and cut its lineage."""
+    shared_folder(df.sparkSession)
+    return df.checkpoint(eager=True)
 
-    The folder is the session's ``spark.checkpoint.dir``; only where that is unset
-    (single-machine tests) does it fall back to a temporary folder.
+
+def possibly_among(rows: DataFrame, key: str, keys: DataFrame) -> DataFrame:
+    """The rows whose ``key`` is in the one column of ``keys``, and a few more: those that share a bit of its bitmap.
+
+    The bitmap, of 2 ** ``BITMAP_BITS`` bits whatever the number of keys, is broadcast; it spares the shuffle of most rows that a join by
+    the key would drop anyway.
     """
-    sc = df.sparkSession.sparkContext
-    if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(sc.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="protelith-"))
-    return df.checkpoint(eager=True)
+    last = (1 << BITMAP_BITS) - 1
+    bit = lambda h: F.call_function("shiftleft", F.lit(1).cast("long"), h.bitwiseAND(63).cast("int"))
+    at = F.xxhash64(F.col(keys.columns[0])).bitwiseAND(last)
+    bitmap = keys.select(at.alias("_at")).groupBy(F.shiftright("_at", 6).alias("_slot")).agg(F.bit_or(bit(F.col("_at"))).alias("_mask"))
+    here = F.xxhash64(F.col(key)).bitwiseAND(last)
+    return (rows.withColumn("_at", here).join(F.broadcast(bitmap), F.shiftright("_at", 6) == F.col("_slot"))
+            .where(F.col("_mask").bitwiseAND(bit(F.col("_at"))) != 0).drop("_at", "_slot", "_mask"))
 
 
 def small_batches(spark: SparkSession, rows: int = 1000) -> None:

@@ -4,11 +4,16 @@ Fingerprints are cut into 32-bit segments. Two fingerprints that differ in at mo
 ``3 * segments - 1`` bits agree in some segment up to two bits, and two segment values that differ in
 at most two bits share a point that is at most one bit from either. So every fingerprint enters the
 table under the 33 points of the radius-one ball around each of its segments, fetches what else is
-stored there, and the complete distance is verified inside the join. Equal fingerprints are collapsed
+stored there, and the complete distance is verified. Equal fingerprints are collapsed
 before, so groups of copies, however large, enter once.
 
+Groups of near-equal fingerprints aren't enumerated: first each fingerprint is compared with the one of the smallest
+doc_id at each of its points; then only fingerprints at one point that are still in different components are compared with each other.
+
 Rows: a null or word-less text has fingerprint zero. A null ``doc_id`` keeps its row; its component is
-that of its fingerprint, if any row with an id has it, else null. Repeated rows stay repeated.
+that of its fingerprint, if any row with an id has it, else null. Repeated rows stay repeated, ties go to the smallest doc_id. Texts
+of any length are read whole; an empty table gives an empty result; extra columns are left out of ``near_duplicates`` and stay in
+``drop_near_duplicates``.
 """
 
 from __future__ import annotations
@@ -16,11 +21,10 @@ from __future__ import annotations
 import numpy as np
 import pandas as pd
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import components, cut, release
-from .similar import similar_components
+from .common import components, cut, possibly_among, release
 
 LOWER = bytes.maketrans(bytes(range(65, 91)), bytes(range(97, 123)))
 BLOCK = 1 << 15  # shingles counted at a time
@@ -66,31 +70,49 @@ def with_fingerprints(docs: DataFrame, shingle: int = 4, lanes: int = 1, text: s
     return docs.withColumn(out, of(text))
 
 
-def links(classes: DataFrame, max_bits: int, lanes: int) -> DataFrame:
-    """Every pair (a, b) of ``classes`` (node, fp) with differing fingerprints at most ``max_bits`` apart."""
+def _points(classes: DataFrame, lanes: int) -> DataFrame:
+    """point (with its segment's number), node and the lanes f0, f1, ... of every fingerprint of ``classes`` (node, fp)."""
+    segments = lanes * 64 // SEGMENT_BITS
+    part = lambda s: F.shiftrightunsigned(F.col("fp")[s // 2], 32 * (s % 2)).bitwiseAND(0xFFFFFFFF).bitwiseOR(s << 32)
+    masks = F.array(F.lit(0).cast("long"), *[F.lit(1 << b).cast("long") for b in range(SEGMENT_BITS)])
+    each = classes.select("node", *[F.col("fp")[i].alias(f"f{i}") for i in range(lanes)], F.explode(F.array(*[part(s) for s in range(segments)])).alias("own"))
+    return each.withColumn("mask", F.explode(masks)).withColumn("point", F.col("own").bitwiseXOR(F.col("mask"))).drop("own", "mask")
+
+
+def met_at_points(classes: DataFrame, max_bits: int, lanes: int) -> DataFrame:
+    """point, node, lanes and low, the smallest node there, for every point that several fingerprints store."""
     segments = lanes * 64 // SEGMENT_BITS
     if max_bits > 3 * segments - 1:
         raise ValueError(f"{segments} segments find at most {3 * segments - 1} differing bits")
-    part = lambda s: F.shiftrightunsigned(F.col("fp")[s // 2], 32 * (s % 2)).bitwiseAND(0xFFFFFFFF)
-    masks = F.array(F.lit(0).cast("long"), *[F.lit(1 << b).cast("long") for b in range(SEGMENT_BITS)])
-    each = classes.select(
-        "node", "fp",
-        F.explode(F.array(*[F.struct(F.lit(s).alias("seg"), part(s).alias("own")) for s in range(segments)])).alias("s"),
-    ).select("node", "s.seg", "s.own", *[F.col("fp")[i].alias(f"f{i}") for i in range(lanes)])
-    table = each.withColumn("mask", F.explode(masks)).withColumn("point", F.col("own").bitwiseXOR(F.col("mask"))).drop("own")
-    a, b = table.alias("a"), table.alias("b")
-    diff = [F.col(f"a.f{i}").bitwiseXOR(F.col(f"b.f{i}")) for i in range(lanes)]
-    near = sum((F.bit_count(d) for d in diff[1:]), F.bit_count(diff[0])) <= max_bits
-    # Each pair is kept at one of the points that both store, and in the first segment that brings them together.
-    both = F.col("a.mask").bitwiseXOR(F.col("b.mask"))
-    lowest = both.bitwiseAND(-both)
-    one_point = F.col("a.mask") == F.when(F.bit_count(both) == 2, lowest).otherwise(F.lit(0).cast("long"))
-    seg_bits = lambda s: F.bit_count(F.shiftrightunsigned(diff[s // 2], 32 * (s % 2)).bitwiseAND(0xFFFFFFFF))
-    first = F.lit(True)
-    for s in range(segments - 1):
-        first = first & ((F.col("a.seg") <= s) | (seg_bits(s) > 2))
-    on = (F.col("a.seg") == F.col("b.seg")) & (F.col("a.point") == F.col("b.point")) & (F.col("a.node") < F.col("b.node"))
-    return a.join(b, on & near & one_point & first).select(F.col("a.node").alias("a"), F.col("b.node").alias("b"))
+    points = _points(classes, lanes)
+    shared = cut(points.groupBy("point").agg(F.min("node").alias("low"), F.max("node").alias("high")).where("low < high").select("point", "low"))
+    return cut(possibly_among(points, "point", shared.select("point")).join(shared, "point"))
+
+
+def _near(left: str, right: str, max_bits: int, lanes: int) -> Column:
+    bits = [F.bit_count(F.col(f"{left}.f{i}").bitwiseXOR(F.col(f"{right}.f{i}"))) for i in range(lanes)]
+    return sum(bits[1:], bits[0]) <= max_bits
+
+
+def links_to_least(met: DataFrame, classes: DataFrame, max_bits: int, lanes: int) -> DataFrame:
+    """Pairs (a, b) of the smallest node of a point and another one there, at most ``max_bits`` apart."""
+    low = classes.select(F.col("node").alias("least"), *[F.col("fp")[i].alias(f"f{i}") for i in range(lanes)]).alias("l")
+    pairs = met.where("node <> low").alias("m").join(low, F.col("m.low") == F.col("l.least"))
+    return cut(pairs.where(_near("m", "l", max_bits, lanes)).select(F.col("low").alias("a"), F.col("node").alias("b")).distinct())
+
+
+def linked(classes: DataFrame, max_bits: int, lanes: int = 1) -> DataFrame:
+    """(node, root) of every node of ``classes`` (node, fp) that is at most ``max_bits`` from another; root is the smallest node reachable."""
+    met = met_at_points(classes, max_bits, lanes)
+    first = links_to_least(met, classes, max_bits, lanes)
+    roots = components(first)
+    rooted = met.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
+    apart = rooted.groupBy("point").agg(F.min("root").alias("r0"), F.max("root").alias("r1")).where("r0 < r1").select("point")
+    left = cut(rooted.join(apart, "point", "left_semi"))
+    a, b = left.alias("a"), left.alias("b")
+    on = (F.col("a.point") == F.col("b.point")) & (F.col("a.node") < F.col("b.node")) & (F.col("a.root") != F.col("b.root"))
+    more = cut(a.join(b, on & _near("a", "b", max_bits, lanes)).select(F.col("a.node").alias("a"), F.col("b.node").alias("b")).distinct())
+    return roots if more.isEmpty() else components(first.unionByName(more))
 
 
 def near_duplicates(docs: DataFrame, shingle: int = 4, max_bits: int = 4, lanes: int = 1,
@@ -98,21 +120,29 @@ def near_duplicates(docs: DataFrame, shingle: int = 4, max_bits: int = 4, lanes:
     """doc_id, fp (array of signed 64-bit lanes), component_id (the smallest doc_id reachable over links) for every row."""
     prints = cut(with_fingerprints(docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text")), shingle, lanes).drop("text"))
     classes = prints.groupBy("fp").agg(F.min("doc_id").alias("node"))
-    found = components(links(classes.where("node is not null"), max_bits, lanes))
+    found = linked(cut(classes.where("node is not null")), max_bits, lanes)
     roots = classes.join(found, "node", "left").select("fp", F.coalesce("root", "node").alias("component_id"))
     return prints.join(roots, "fp").select("doc_id", "fp", "component_id")
 
 
 def drop_near_duplicates(docs: DataFrame, shingle: int = 5, similarity: float = 0.8, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """The rows of ``docs`` whose doc_id is the smallest of its component, one row for each; rows without an id stay.
+    """One row of ``docs`` for each group of near-duplicates, one with the smallest doc_id; rows without an id stay.
 
-    Components are those of all pairs of at least the similarity over word shingles, exactly: fingerprints of
-    128 bits could be enumerated up to eleven differing bits only, a similarity of about 0.93.
+    Groups are the components of all pairs of at least the similarity over word shingles. Fingerprints of those shingles bring the nearest
+    pairs together first; pairs that 64 bits can't tell from others are found by an exact join over shingles (see ``similar``).
+    Rows are judged by their own text, whatever other rows have the same doc_id; which of several rows of equal doc_id and text stays is
+    left open.
     """
+    from .similar import similar_components
+
+    body = F.coalesce(F.col(text), F.lit(""))
+    keys = [F.xxhash64(body).alias("_k1"), F.xxhash64(F.lit(1), body).alias("_k2")]
     known = docs.where(F.col(doc_id).isNotNull()).select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"))
-    lose = similar_components(known, shingle, similarity).where("doc_id <> component_id").select(F.col("doc_id").alias("_lost")).distinct()
-    kept = docs.join(lose, docs[doc_id] == lose["_lost"], "left_anti")
-    return kept
+    stay = (similar_components(known, shingle, similarity).groupBy("component_id").agg(F.min(F.struct("doc_id", "_k1", "_k2")).alias("s"))
+            .select(F.col("s.doc_id").alias("_stays"), F.col("s._k1").alias("_s1"), F.col("s._k2").alias("_s2")))
+    keyed = docs.where(F.col(doc_id).isNotNull()).select(F.struct("*").alias("row"), F.col(doc_id).alias("doc_id"), *keys)
+    kept = keyed.join(stay, (keyed["doc_id"] == stay["_stays"]) & (keyed["_k1"] == stay["_s1"]) & (keyed["_k2"] == stay["_s2"]), "left_semi")
+    return kept.dropDuplicates(["doc_id", "_k1", "_k2"]).select("row.*").unionByName(docs.where(F.col(doc_id).isNull()))
 
 
 def query(spark, sf_dir: str) -> DataFrame:

@@ -1,14 +1,18 @@
-"""Pairs of similar documents by an exact prefix-filter join over word shingles.
+"""Components of similar documents: SimHash first, then an exact prefix-filter join over word shingles.
 
-The similarity of two documents is the Jaccard similarity of their sets of word shingles. All sets are
-put in one order of shingles, common ones last. Two sets of a similarity of at least s share a shingle
-among the first ``n - ceil(s * n) + 1`` of either, and the first shingle that they share leaves enough behind it on both
-sides; so documents meet under the shingles of their prefixes, and what meets is verified over whole sets.
-Which shingles count as common is found in a sample. It changes the cost only: any order finds every pair.
+The similarity of two documents is the Jaccard similarity of their sets of word shingles, and every link is verified over
+whole sets. Equal sets are collapsed. Then
+
+1. fingerprints of the shingles are met by multi-index hashing (``simhash``), and documents compared with the smallest within
+   ``MAX_BITS`` bits: that joins the nearest copies;
+2. all sets are put in one order of shingles, common ones last. Two sets of a similarity of at least s share a shingle
+   among the first ``n - ceil(s * n) + 1`` of either, and the first shingle that they share leaves enough behind it on both
+   sides; so documents meet under the shingles of their prefixes. Each is compared with the smallest that it meets, unless
+   both are in one component already;
+3. all pairs that meet and are still in different components are compared.
 
-Groups of near copies are not enumerated. First each document is compared with the smallest that it
-meets under each shingle, and what is found similar is joined into components; then all pairs that
-meet and are still in different components are compared. Equal sets are collapsed before both.
+The second and third step are exact for every pair, so groups of near copies are found whole without being enumerated.
+Which shingles count as common is found in a sample. It changes the cost only: any order finds every pair.
 """
 
 from __future__ import annotations
@@ -21,9 +25,12 @@ import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import components, cut, release
+from .common import components, cut, possibly_among, release
+from .simhash import links_to_least, met_at_points
 
 LOWER = bytes.maketrans(bytes(range(65, 91)), bytes(range(97, 123)))
+MAX_BITS = 5
+BLOCK = 1 << 15  # shingles counted at a time
 SAMPLE, OFTEN, COMMON = 16, 3, 200_000  # one document in SAMPLE; a shingle in OFTEN of them is common; at most COMMON are kept
 
 
@@ -57,73 +64,91 @@ def _common(docs: DataFrame, length: int) -> np.ndarray:
     return np.sort(often.select("token").toPandas()["token"].to_numpy(np.int64))
 
 
-def _enough(a: Column, b: Column, s: Fraction) -> Column:
-    """Whether what is left in both sets from the shingle on where they meet can make them similar."""
-    left = F.least(a["n"] - a["pos"], b["n"] - b["pos"])
-    return (s.numerator + s.denominator) * left >= s.numerator * (a["n"] + b["n"])
+def _bits(found: np.ndarray) -> int:
+    """The signed 64-bit fingerprint of a set."""
+    counts = np.zeros(64, np.int64)
+    for i in range(0, len(found), BLOCK):
+        counts += np.unpackbits(found[i:i + BLOCK].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(0, dtype=np.int64)
+    return int(np.packbits(counts * 2 > len(found), bitorder="little").view(np.int64)[0])
+
+
+def _enough(a: tuple[Column, Column], b: tuple[Column, Column], s: Fraction) -> Column:
+    """Whether what is left in both sets (size, place) from the shingle on where they meet can make them similar."""
+    left = F.least(a[0] - a[1], b[0] - b[1])
+    return (s.numerator + s.denominator) * left >= s.numerator * (a[0] + b[0])
+
+
+def _place(packed: str) -> tuple[Column, Column]:
+    return F.shiftright(packed, 32), F.col(packed).bitwiseAND(0xFFFFFFFF)
 
 
 def _verified(pairs: DataFrame, docs: DataFrame, length: int, s: Fraction) -> DataFrame:
     """The pairs (a, b) of doc_ids whose whole sets are similar."""
-    @F.pandas_udf("binary")
-    def packed(texts: pd.Series) -> pd.Series:
-        found = pd.Series([shingles(t, length).tobytes() for t in texts], dtype=object)
-        release()
-        return found
-
     @F.pandas_udf("boolean")
     def similar(left: pd.Series, right: pd.Series) -> pd.Series:
-        out = []
-        for x, y in zip(left, right):
-            x, y = np.frombuffer(x, np.int64), np.frombuffer(y, np.int64)
+        out, last, x = [], None, None
+        for a, b in zip(left, right):
+            x, last = (x if a == last else shingles(a, length)), a
+            y = shingles(b, length)
             both = len(np.intersect1d(x, y, assume_unique=True))
             out.append((s.numerator + s.denominator) * both >= s.numerator * (len(x) + len(y)))
+        release()
         return pd.Series(out, dtype=bool)
 
-    nodes = pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct()
-    sets = cut(docs.join(F.broadcast(nodes), "doc_id", "left_semi").select("doc_id", packed("text").alias("set")))
-    left, right = sets.select(F.col("doc_id").alias("a"), F.col("set").alias("sa")), sets.select(F.col("doc_id").alias("b"), F.col("set").alias("sb"))
-    return cut(pairs.join(right, "b").join(left, "a").where(similar("sa", "sb")).select("a", "b"))
+    nodes = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
+    texts = possibly_among(docs, "node", nodes)
+    left, right = texts.select(F.col("node").alias("a"), F.col("text").alias("ta")), texts.select(F.col("node").alias("b"), F.col("text").alias("tb"))
+    return cut(pairs.join(right, "b").join(left, "a").where(similar("ta", "tb")).select("a", "b"))
 
 
 def similar_components(docs: DataFrame, shingle: int = 5, similarity: float = 0.8) -> DataFrame:
-    """doc_id, component_id (the smallest doc_id reachable over similar pairs) for every row of ``docs`` (doc_id, text).
+    """doc_id, _k1, _k2 (hashes of the text), component_id (the smallest doc_id reachable over similar pairs) for every row of ``docs`` (doc_id, text).
 
     No doc_id is null. Texts without a word are copies of each other.
     """
+    body = F.coalesce(F.col("text"), F.lit(""))
+    docs = docs.select("doc_id", "text", F.xxhash64(body).alias("_k1"), F.xxhash64(F.lit(1), body).alias("_k2"))
     s = Fraction(str(similarity))
     common = docs.sparkSession.sparkContext.broadcast(_common(docs, shingle))
 
-    @F.pandas_udf("key binary, n int, prefix array<long>")
+    @F.pandas_udf("key binary, n long, bits long, prefix array<long>")
     def of(texts: pd.Series) -> pd.DataFrame:
         sets = [shingles(t, shingle) for t in texts]
-        found = pd.DataFrame({"key": [xxhash.xxh3_128_digest(x.tobytes()) for x in sets], "n": [len(x) for x in sets],
+        found = pd.DataFrame({"key": [xxhash.xxh3_128_digest(x.tobytes()) for x in sets], "n": [len(x) for x in sets], "bits": [_bits(x) for x in sets],
                               "prefix": [prefix(x, common.value, s) for x in sets]})
         release()
         return found
 
-    prints = cut(docs.select("doc_id", of("text").alias("p")).select("doc_id", "p.*"))
-    classes = prints.groupBy("key").agg(F.min("doc_id").alias("node"))
-    first = prints.join(classes.withColumnRenamed("key", "_key"), (F.col("doc_id") == F.col("node")) & (F.col("key") == F.col("_key")))
-    postings = first.select("node", "n", F.posexplode("prefix").alias("pos", "token"))
-    # Shingles that one document alone has in its prefix are most of them.
-    same = Window.partitionBy("token")
-    me = F.struct("node", "n", "pos")
-    met = (postings.select("token", me.alias("x")).select("token", "x", F.min("x").over(same).alias("low"), F.max("x.node").over(same).alias("high"))
-           .where("low.node < high"))
-    met = cut(met.select("token", "x", "low"))
-    ahead = cut(met.where((F.col("x.node") != F.col("low.node")) & _enough(F.col("x"), F.col("low"), s))
-                .select(F.col("low.node").alias("a"), F.col("x.node").alias("b")).distinct())
-    links = _verified(ahead, docs, shingle, s)
+    prints = cut(docs.select("doc_id", "_k1", "_k2", of("text").alias("p")).select("doc_id", "_k1", "_k2", "p.*"))
+    # A set's node is a number of its own, not a doc_id, as rows of one doc_id may have several texts.
+    classes = cut(prints.groupBy("key").agg(F.min(F.struct("doc_id", "_k1", "_k2")).alias("r")).select("key", "r.*")
+                  .withColumn("node", F.xxhash64("doc_id", "_k1", "_k2")))
+    row = ["doc_id", "_k1", "_k2"]
+    texts = docs.withColumn("node", F.xxhash64(*row)).select("node", "text")
+    first = prints.dropDuplicates(row).join(classes.select(*row, "node"), row)
+
+    nodes = cut(first.select("node", F.array("bits").alias("fp")))
+    links = _verified(links_to_least(met_at_points(nodes, MAX_BITS, 1), nodes, MAX_BITS, 1), texts, shingle, s)
     roots = components(links)
-    apart = (met.select("token", "x").join(roots, F.col("x.node") == roots["node"], "left").select("token", "x", F.coalesce("root", "x.node").alias("root"))
-             .select("token", "x", "root", F.min("root").over(same).alias("r0"), F.max("root").over(same).alias("r1")).where("r0 < r1"))
-    apart = cut(apart.select("token", "x", "root"))
-    a, b = apart.alias("a"), apart.alias("b")
-    on = ((F.col("a.token") == F.col("b.token")) & (F.col("a.x.node") < F.col("b.x.node")) & (F.col("a.root") != F.col("b.root"))
-          & _enough(F.col("a.x"), F.col("b.x"), s))
-    rest = a.join(b, on).select(F.col("a.x.node").alias("a"), F.col("b.x.node").alias("b")).distinct()
-    rest = cut(rest.join(ahead, ["a", "b"], "left_anti"))
-    found = components(links.unionByName(_verified(rest, docs, shingle, s)))
-    top = classes.join(found, "node", "left").select("key", F.coalesce("root", "node").alias("component_id"))
-    return prints.select("doc_id", "key").join(top, "key").select("doc_id", "component_id")
+
+    postings = first.select("node", F.shiftleft("n", 32).alias("n"), F.posexplode("prefix").alias("pos", "token")).select("token", "node", F.col("n").bitwiseOR(F.col("pos").cast("long")).alias("at"))
+    shared = cut(postings.groupBy("token").agg(F.min("node").alias("low"), F.max("node").alias("high")).where("low < high").select("token", "low"))
+    met = cut(possibly_among(postings, "token", shared.select("token")).join(shared, "token"))
+    of_low = met.where("node = low").select("token", F.col("at").alias("low_at"))
+    rooted = lambda df: df.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
+    low_roots = roots.select(F.col("node").alias("low"), F.col("root").alias("low_root"))
+    ahead = rooted(met.where("node <> low")).join(low_roots, "low", "left").where(F.col("root") != F.coalesce("low_root", "low"))
+    ahead = cut(ahead.join(of_low, "token").where(_enough(_place("at"), _place("low_at"), s)).select(F.col("low").alias("a"), F.col("node").alias("b")).distinct())
+    links = links.unionByName(_verified(ahead, texts, shingle, s))
+    roots = components(links)
+
+    placed = rooted(met.select("token", "node", "at"))
+    apart = placed.groupBy("token").agg(F.min("root").alias("r0"), F.max("root").alias("r1")).where("r0 < r1").select("token")
+    apart = cut(placed.join(apart, "token", "left_semi"))
+    a, b = (apart.select("token", *[F.col(c).alias(f"{x}_{c}") for c in ("node", "at", "root")]) for x in "ab")
+    rest = a.join(b, "token").where((F.col("a_node") < F.col("b_node")) & (F.col("a_root") != F.col("b_root")) & _enough(_place("a_at"), _place("b_at"), s))
+    rest = rest.select(F.col("a_node").alias("a"), F.col("b_node").alias("b")).distinct().join(ahead, ["a", "b"], "left_anti")
+    found = components(links.unionByName(_verified(cut(rest), texts, shingle, s)))
+    top = classes.join(found, "node", "left").withColumn("root", F.coalesce("root", "node"))
+    least = top.groupBy("root").agg(F.min("doc_id").alias("component_id"))
+    return prints.select(*row, "key").join(top.select("key", "root").join(least, "root"), "key").select(*row, "component_id")

@@ -42,29 +42,49 @@ def test_query_matches_brute_force(spark, plain):
     assert got == {i: (f"{prints[i]:016x}", component[i]) for i in prints}
 
 
+def roots(spark, prints, bits, lanes=1):
+    signed = [[int(np.uint64(p >> 64 * i & (1 << 64) - 1).view(np.int64)) for i in range(lanes)] for p in prints]
+    found = {r.node: r.root for r in simhash.linked(spark.createDataFrame(list(enumerate(signed)), "node long, fp array<long>"), bits, lanes).collect()}
+    return {i: found.get(i, i) for i in range(len(prints))}
+
+
 def test_every_pair_within_reach_is_linked(spark):
     rng = np.random.default_rng(1)
     base = int(rng.integers(1 << 62))
-    prints = [base]
-    for flips in ([0], [1, 2], [3, 40], [0, 1, 33], [5, 6, 37, 63], [31, 32, 0, 63], [1, 2, 3, 4, 5], [60, 61, 62, 63, 0, 1], range(20)):
-        prints.append(base ^ sum(1 << b for b in flips))
-    prints += rng.integers(1 << 62, size=30).tolist()
-    signed = [p - (1 << 64) if p >> 63 else p for p in prints]
-    df = spark.createDataFrame([(i, [p]) for i, p in enumerate(signed)], "node long, fp array<long>")
-    want = {(i, j) for i in range(len(prints)) for j in range(i + 1, len(prints)) if (prints[i] ^ prints[j]).bit_count() <= 4}
-    assert [tuple(r) for r in simhash.links(df, 4, 1).orderBy("a", "b").collect()] == sorted(want)
+    flips = ([0], [1, 2], [3, 40], [0, 1, 33], [5, 6, 37, 63], [31, 32, 0, 63], [1, 2, 3, 4, 5], [60, 61, 62, 63, 0, 1], range(20))
+    apart = [int(x) for x in rng.integers(1 << 62, size=12)]
+    prints = [base, *(p ^ sum(1 << b for b in f) for p, f in zip(apart, flips)), *apart, *(int(x) for x in rng.integers(1 << 62, size=30))]
+    assert roots(spark, prints, 4) == brute_components(dict(enumerate(prints)), 4)
+
+
+def test_groups_whose_least_member_is_far_from_some(spark):
+    """Members of a point that only meet others than its smallest one."""
+    rng = np.random.default_rng(5)
+    bases, prints = [int(x) for x in rng.integers(1 << 62, size=4)], []
+    for _ in range(160):
+        p = bases[int(rng.integers(4))]
+        for b in rng.choice(64, int(rng.integers(0, 6)), replace=False):
+            p ^= 1 << int(b)
+        prints.append(p)
+    prints = list(dict.fromkeys(prints))
+    assert roots(spark, prints, 4) == brute_components(dict(enumerate(prints)), 4)
 
 
 def test_two_lanes_reach_eleven_bits(spark):
     rng = np.random.default_rng(2)
     rows, base = [], rng.integers(0, 2, 128)
-    for i, n in enumerate([0, 3, 7, 10, 11, 12, 30]):
+    for n in [0, 3, 7, 10, 11, 12, 30]:
         bits = base.copy()
         bits[rng.choice(128, n, replace=False)] ^= 1
-        rows.append((i, np.packbits(bits, bitorder="little").view(np.int64).tolist()))
-    df = spark.createDataFrame(rows, "node long, fp array<long>")
-    found = {r.b for r in simhash.links(df, 11, 2).where("a = 0").collect()}
-    assert found == {1, 2, 3, 4}
+        rows.append(int("".join(map(str, bits)), 2))
+    want = brute_components(dict(enumerate(rows)), 11)
+    assert roots(spark, rows, 11, 2) == want and [want[i] for i in (1, 2, 3, 4)] == [0] * 4
+
+
+def test_bitmap_keeps_all_keys(spark):
+    keys = spark.range(0, 1000, 7).withColumnRenamed("id", "k")
+    got = {r.id for r in common.possibly_among(spark.range(1000), "id", keys).collect()}
+    assert set(range(0, 1000, 7)) <= got and len(got) < 200
 
 
 def test_components_of_paths_and_stars(spark):
@@ -85,6 +105,16 @@ def test_edge_cases(spark, edge, empty):
     assert simhash.drop_near_duplicates(empty).count() == 0
 
 
+def test_one_row_of_a_group_stays(spark):
+    words = [f"w{i}" for i in range(60)]
+    one, other = " ".join(words), " ".join(reversed(words))
+    rows = [(1, one), (1, one), (2, one), (3, other), (3, one), (None, one), (None, one), (4, other)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").selectExpr("*", "1 AS _k1", "2 AS root", "3 AS key")
+    kept = simhash.drop_near_duplicates(docs)
+    assert kept.columns == docs.columns
+    assert sorted((r.doc_id or 0, r.text == one) for r in kept.collect()) == [(0, True), (0, True), (1, True), (3, False)]
+
+
 def test_stage_leaves_unlike_documents(spark):
     words = [f"w{i}" for i in range(400)]
     near = words.copy()
