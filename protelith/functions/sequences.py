@@ -79,9 +79,11 @@ def set_name(raw: Column) -> Column:
     return F.when(low.startswith("train"), "train").when(low.isin("val", "validation", "valid", "dev"), "val").when(low.isin("pred", "predict"), "pred").otherwise(low)
 
 
-def intervals_overlap(lower_a: Column, upper_a: Column, lower_b: Column, upper_b: Column) -> Column:
-    return (lower_a <= upper_b) & (lower_b <= upper_a)
+def kmers(seq: Column, k: int = 3) -> Column:
+    """All overlapping runs of k letters, in one scan."""
+    return F.regexp_extract_all(seq, F.lit(f"(?s)(?=(.{{{k}}}))"), F.lit(1))
 
 
-def kmers(seq: Column, k: int = 3) -> Column:
-    return F.when(F.length(seq) >= k, F.transform(F.sequence(F.lit(1), F.length(seq) - k + 1), lambda i: seq.substr(i, F.lit(k)))).otherwise(F.array().cast("array<string>"))
+def chunks(seq: Column, k: int = 3) -> Column:
+    """Runs of k letters end to end, the last one shorter if need be."""
+    return F.regexp_extract_all(seq, F.lit(f"(?s).{{1,{k}}}"), F.lit(0))

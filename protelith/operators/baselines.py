@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 
 from ..functions.hashing import uniform
 from .metrics import correlation
+from .uncertainty import two_sided_p
 
 
 def constant(test: DataFrame, value) -> DataFrame:
@@ -47,6 +48,19 @@ def degrees(edges: DataFrame) -> DataFrame:
     return ends.groupBy("node").agg(F.count_if(F.col("target") == 1).alias("positive"), F.count_if(F.col("target") == 0).alias("negative"))
 
 
+def random_model(test: DataFrame, key: str, classes: list | None = None, seed: int = 42) -> DataFrame:
+    """What a model that has learned nothing says: a class, or a number in [0, 1), by a hash of the seed and the key."""
+    u = uniform(f"{seed}m", F.col(key))
+    return test.withColumn("pred", u if classes is None else F.element_at(F.array(*map(F.lit, classes)), (F.floor(u * len(classes)) + 1).cast("int")))
+
+
+def bias_test(node_degrees: DataFrame) -> tuple[float, float, int]:
+    """The correlation of positive and negative degrees, its two-sided p, and the number of nodes."""
+    row = dataset_bias(node_degrees).first()
+    r, n = row["bias"], row["n_nodes"]
+    return r, 0.0 if abs(r) >= 1 else two_sided_p(r * ((n - 2) / (1 - r * r)) ** 0.5, n - 2) if n > 2 else float("nan"), n
+
+
 def dataset_bias(node_degrees: DataFrame) -> DataFrame:
     return node_degrees.agg(correlation("positive", "negative").alias("bias"), F.count("*").alias("n_nodes"))
 

@@ -10,8 +10,9 @@ from .metrics import ASCENDING
 
 
 def missing_categories(scores: DataFrame) -> DataFrame:
-    """(entry, category) pairs without a score, though another entry has the category."""
-    pairs = scores.select("entry").distinct().join(F.broadcast(scores.select("category").distinct()), how="cross")  # small by nature: names only
+    """(entry, category) pairs without a score, though another entry has the category: every entry explodes the set of all categories."""
+    every = scores.agg(F.collect_set("category").alias("_c"))  # names of benchmarks: one small row
+    pairs = scores.select("entry").distinct().join(F.broadcast(every)).select("entry", F.explode("_c").alias("category"))
     return pairs.join(scores.select("entry", "category"), ["entry", "category"], "left_anti")
 
 

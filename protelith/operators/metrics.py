@@ -1,8 +1,12 @@
 """Metrics over columns label and pred; every function takes the grouping keys (none: one row)."""
 
-from pyspark.sql import Column, DataFrame, Window
+from functools import reduce
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .splits import running_before
+
 ASCENDING = frozenset(("loss", "mse", "rmse"))
 
 
@@ -56,9 +60,15 @@ def regression(rows: DataFrame, keys: list[str] = ()) -> DataFrame:
     return rows.where("label is not null").groupBy(*keys).agg(mse.alias("mse"), F.sqrt(mse).alias("rmse"))
 
 
-def _average_rank(column: str, keys: list[str]) -> Column:
-    w = Window.partitionBy(*keys)
-    return F.rank().over(w.orderBy(column)) + (F.count("*").over(w.orderBy(column).rangeBetween(0, 0)) - 1) / 2.0
+def average_ranks(rows: DataFrame, column: str, keys: list[str], out: str) -> DataFrame:
+    """Adds the rank of ``column`` within ``keys``, from 1, the mean rank for ties: counted by value, summed over ranges of values."""
+    counted = rows.groupBy(*keys, column).agg(F.count("*").alias("_c"))
+    ranked = running_before(counted, [column], keys, F.col("_c"), "_b").select(
+        *[F.col(k).alias(f"_k{i}") for i, k in enumerate(keys)], F.col(column).alias("_v"), (F.col("_b") + (F.col("_c") + 1) / 2.0).alias(out))
+    same = F.col(column).eqNullSafe(F.col("_v"))
+    for i, k in enumerate(keys):
+        same = same & F.col(k).eqNullSafe(F.col(f"_k{i}"))
+    return rows.join(ranked, same).drop("_v", *[f"_k{i}" for i in range(len(keys))])
 
 
 def correlation(x: str, y: str) -> Column:
@@ -67,20 +77,25 @@ def correlation(x: str, y: str) -> Column:
 
 
 def spearman(rows: DataFrame, keys: list[str] = ()) -> DataFrame:
-    """Pearson correlation of average ranks. Ranks over a large group: name keys that cut it."""
-    ranked = rows.where("label is not null").withColumns({"_l": _average_rank("label", list(keys)), "_p": _average_rank("pred", list(keys))})
+    """Pearson correlation of average ranks."""
+    keys, pairs = list(keys), rows.where("label is not null").select(*keys, "label", "pred")
+    ranked = average_ranks(average_ranks(pairs, "label", keys, "_l"), "pred", keys, "_p")
     return ranked.groupBy(*keys).agg(correlation("_l", "_p").alias("spearman"))
 
 
 def ndcg(rows: DataFrame, keys: list[str], key: str, share: float = 0.1) -> DataFrame:
     """Of the top ``share`` by prediction, gains scaled to [0, 1]; ties by ``key``; 0 where fewer than one row is in that share."""
-    w = Window.partitionBy(*keys)
-    gain = F.coalesce(F.try_divide(F.col("label") - F.min("label").over(w), F.max("label").over(w) - F.min("label").over(w)), F.lit(0.0))
-    ranked = rows.withColumns({"_gain": gain, "_n": F.count("*").over(w)}).withColumns({
-        "_by_pred": F.row_number().over(w.orderBy(F.desc("pred"), key)), "_by_gain": F.row_number().over(w.orderBy(F.desc("_gain"), key))})
-    top = F.floor(F.lit(share) * F.col("_n"))
-    part = lambda r: F.sum(F.when(F.col(r) <= top, F.col("_gain") / F.log2(F.col(r) + 1.0)).otherwise(0.0))
-    return ranked.groupBy(*keys).agg(ratio(part("_by_pred"), part("_by_gain")).alias("ndcg"))
+    keys = list(keys)
+    ends = rows.groupBy(*keys).agg(F.min("label").alias("_low"), F.max("label").alias("_high"), F.count("*").alias("_n"))
+    each = rows.join(ends, keys) if keys else rows.join(F.broadcast(ends))  # one row
+    each = each.withColumn("_gain", F.coalesce(F.try_divide(F.col("label") - F.col("_low"), F.col("_high") - F.col("_low")), F.lit(0.0))).select(*keys, key, "pred", "_gain", "_n")
+    by_pred = running_before(each, [F.desc("pred"), F.col(key)], keys, out="_r").select(*keys, "_gain", "_n", "_r", F.lit(True).alias("_said"))
+    by_gain = running_before(each, [F.desc("_gain"), F.col(key)], keys, out="_r").select(*keys, "_gain", "_n", "_r", F.lit(False).alias("_said"))
+    top = by_pred.unionByName(by_gain).where(F.col("_r") < F.floor(F.lit(share) * F.col("_n")))
+    part = lambda said: F.sum(F.when(F.col("_said") == said, F.col("_gain") / F.log2(F.col("_r") + 2.0)).otherwise(0.0))
+    found = top.groupBy(*keys).agg(ratio(part(True), part(False)).alias("ndcg"))
+    every = ends.select(*keys)
+    return every.join(found, keys, "left").select(*keys, F.coalesce("ndcg", F.lit(0.0)).alias("ndcg")) if keys else found.select(F.coalesce("ndcg", F.lit(0.0)).alias("ndcg"))
 
 
 def smooth_l1(rows: DataFrame, keys: list[str] = ()) -> DataFrame:
@@ -94,5 +109,20 @@ def cross_entropy(rows: DataFrame, keys: list[str] = (), probability: str = "p",
     return used.groupBy(*keys).agg((F.sum(-F.col(weight) * F.log(probability)) / F.sum(weight)).alias("cross_entropy"))
 
 
-#: By kind of task, the metrics that are reported.
-SUITES = {"class": ("classification", "spearman"), "value": ("regression", "spearman", "ndcg"), "residue_value": ("regression", "spearman")}
+#: Metrics by protocol, the suites that ``evaluated`` computes.
+SUITES = {
+    "residue_to_class": ("classification",), "residues_to_class": ("classification",), "sequence_to_class": ("classification",),
+    "residue_to_value": ("regression", "spearman"), "residues_to_value": ("regression", "spearman", "ndcg"), "sequence_to_value": ("regression", "spearman", "ndcg"),
+}
+
+
+def evaluated(rows: DataFrame, protocol: str, keys: list[str] = (), key: str = "seq_hash") -> DataFrame:
+    """keys, metric, value: the suite of the protocol over label and pred, a row per metric; two classes 0 and 1 also get the binary metrics."""
+    keys, parts = list(keys), []
+    used = rows.where("label is not null")
+    for kind in SUITES[protocol]:
+        found = {"classification": lambda: classification(confusion(used, keys), keys), "regression": lambda: regression(used, keys),
+                 "spearman": lambda: spearman(used, keys), "ndcg": lambda: ndcg(used, keys, key)}[kind]()
+        values = [c for c in found.columns if c not in keys]
+        parts.append(found.select(*keys, F.explode(F.array(*[F.struct(F.lit(v).alias("metric"), F.col(v).cast("double").alias("value")) for v in values])).alias("m")).select(*keys, "m.*"))
+    return reduce(DataFrame.unionByName, parts)

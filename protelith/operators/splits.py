@@ -2,7 +2,7 @@
 
 import ast
 import itertools
-import math
+import random
 import re
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
@@ -10,18 +10,32 @@ from pyspark.sql import functions as F
 
 from ..functions.hashing import hash_int
 
-MAX_SPLITS = 1000
+
+def running_before(rows: DataFrame, order: list[Column | str], groups: list[str] = (), amount: Column | None = None, out: str = "before") -> DataFrame:
+    """Adds the sum of ``amount`` (1 by default) over the rows of the same group that stand before in ``order``.
+
+    Rows are sorted in ranges of (groups, order), so neither a large group nor the whole table meets in one task; each range adds what the ranges
+    before it hold of its first group. The number of ranges is that of shuffle partitions, fixed, so that both uses of the ranges see the same.
+    """
+    keys, amount = [*groups, *order], F.lit(1) if amount is None else amount
+    ranges = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    parted = rows.withColumn("_a", amount).repartitionByRange(ranges, *keys).sortWithinPartitions(*keys).withColumns(
+        {"_p": F.spark_partition_id(), "_m": F.monotonically_increasing_id()})
+    inside = Window.partitionBy("_p", *groups).orderBy("_m").rowsBetween(Window.unboundedPreceding, -1)
+    parted = parted.withColumn("_in", F.coalesce(F.sum("_a").over(inside), F.lit(0)))
+    sums = parted.groupBy("_p", *groups).agg(F.sum("_a").alias("_n"))
+    earlier = F.sum("_n").over(Window.partitionBy(*groups).orderBy("_p").rowsBetween(Window.unboundedPreceding, -1))
+    offsets = sums.select(F.col("_p").alias("_q"), *[F.col(g).alias(f"_g{i}") for i, g in enumerate(groups)], F.coalesce(earlier, F.lit(0)).alias("_before"))
+    same = F.col("_p") == F.col("_q")
+    for i, g in enumerate(groups):
+        same = same & F.col(g).eqNullSafe(F.col(f"_g{i}"))
+    joined = parted.join(offsets if groups else F.broadcast(offsets), same)  # without groups a row per range
+    return joined.withColumn(out, F.col("_before") + F.col("_in")).drop("_a", "_p", "_m", "_in", "_q", "_before", *[f"_g{i}" for i in range(len(groups))])
 
 
 def _numbered(rows: DataFrame, order: list[Column | str], groups: list[str] = ()) -> DataFrame:
-    """Adds ordinal (from 0) within the groups, without moving all rows into one task: ranges are counted first."""
-    if groups:
-        return rows.withColumn("ordinal", F.row_number().over(Window.partitionBy(*groups).orderBy(*order)) - 1)
-    parted = rows.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("_p", F.spark_partition_id()).withColumn("_m", F.monotonically_increasing_id())
-    parted = parted.withColumn("_k", F.row_number().over(Window.partitionBy("_p").orderBy("_m")))
-    counts = parted.groupBy("_p").agg(F.count("*").alias("_n"))
-    before = counts.select("_p", F.coalesce(F.sum("_n").over(Window.orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_before"))
-    return parted.join(F.broadcast(before), "_p").withColumn("ordinal", F.col("_before") + F.col("_k") - 1).drop("_p", "_m", "_k", "_before")
+    """Adds ordinal, from 0 within the groups."""
+    return running_before(rows, order, list(groups), out="ordinal")
 
 
 def k_fold(rows: DataFrame, k: int, key: str, order: list | None = None, stratify: str | None = None) -> DataFrame:
@@ -66,13 +80,10 @@ def nested_k_fold(rows: DataFrame, outer: int, inner: int, key: str) -> DataFram
     return rest.unionByName(test)
 
 
-def leave_p_out(ids: DataFrame, p: int, key: str, limit: int = MAX_SPLITS) -> DataFrame:
-    """split_name and the p ids left out, ascending; refuses more than ``limit`` splits before it joins."""
-    if p not in (1, 2, 3):
-        raise ValueError("p must be 1, 2 or 3")
-    n = ids.count()
-    if (splits := math.comb(n, p)) > limit:
-        raise ValueError(f"{splits} splits; at most {limit} are allowed")
+def leave_p_out(ids: DataFrame, p: int, key: str) -> DataFrame:
+    """split_name and the p ids left out, ascending: one row for each of the n over p splits, by p - 1 joins on order."""
+    if p < 1:
+        raise ValueError("p must be at least 1")
     out = ids.select(F.col(key).alias("id_1"))
     for i in range(2, p + 1):
         out = out.join(ids.select(F.col(key).alias(f"id_{i}")), F.col(f"id_{i - 1}") < F.col(f"id_{i}"))
@@ -101,6 +112,11 @@ def parameter_grid(parameters: dict) -> list[dict]:
     return [dict(zip(names, combination)) for combination in itertools.product(*values)]
 
 
+def random_subset(grid: list[dict], n: int, seed: int = 42) -> list[dict]:
+    """``n`` different combinations in a seeded order; all of them if there are fewer."""
+    return random.Random(seed).sample(grid, min(n, len(grid)))
+
+
 def grid_table(spark: SparkSession, parameters: dict) -> DataFrame:
     """A row per combination, numbered in the order of the product."""
     grid = parameter_grid(parameters)

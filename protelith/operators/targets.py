@@ -28,6 +28,14 @@ def exploded_residues(records: DataFrame, labels: str = "labels", mask: str | No
     return records.select("*", F.posexplode(labels).alias("position", "_label")).withColumn("label", value).drop("_label")
 
 
+def labelled(rows: DataFrame, column: str = "label") -> DataFrame:
+    """The rows with a target; raises if there is none."""
+    found = rows.where(F.col(column).isNotNull())
+    if found.isEmpty():
+        raise ValueError("no row has a target")
+    return found
+
+
 def samples(split: DataFrame, embeddings: DataFrame, targets: DataFrame, key: str = "seq_hash") -> DataFrame:
     return split.join(embeddings, key).join(targets, key)
 

@@ -1,5 +1,7 @@
 """Bootstrap intervals, forward-pass summaries, interval comparisons."""
 
+import math
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -11,12 +13,15 @@ ITERATIONS = 30
 def resampled(rows: DataFrame, keys: list[str], iterations: int = ITERATIONS, seed: int = 42, size: int | None = None) -> DataFrame:
     """Rows (keys, row_ix from 0 in each group, ...) drawn with replacement, ``iterations`` times each group's size (or ``size``).
 
-    A draw's index is a hash of the seed, iteration and draw, so results repeat. The draws are numbers only until they meet the rows.
+    A draw's index is a hash of the seed, iteration and draw, so results repeat. Row i of a group makes the draws i, i + n, ... of each iteration, so
+    draws are spread as the rows are, and are numbers only until they meet the rows.
     """
     n = rows.groupBy(*keys).agg(F.count("*").alias("_n"))
-    draws = (n.withColumn("iteration", F.explode(F.sequence(F.lit(0), F.lit(iterations - 1))))
-             .withColumn("draw", F.explode(F.sequence(F.lit(0), (F.lit(size) if size else F.col("_n")) - 1)))
-             .withColumn("row_ix", hash_int(str(seed), F.col("iteration"), F.col("draw")) % F.col("_n")).drop("_n"))
+    mine = rows.select(*keys, "row_ix").join(n, list(keys)) if keys else rows.select("row_ix").join(F.broadcast(n))  # one row
+    draw = F.explode(F.sequence("row_ix", F.lit(size - 1), F.col("_n"))) if size else F.col("row_ix")
+    mine = mine.where(F.col("row_ix") < size) if size else mine
+    draws = (mine.withColumn("draw", draw).withColumn("iteration", F.explode(F.array(*[F.lit(i) for i in range(iterations)])))
+             .select(*keys, "iteration", "draw", (hash_int(str(seed), F.col("iteration"), F.col("draw")) % F.col("_n")).alias("row_ix")))
     return draws.join(rows, [*keys, "row_ix"])
 
 
@@ -42,6 +47,26 @@ def normal_cdf(x: Column) -> Column:
     return F.when(x >= 0, 1 - tail).otherwise(tail)
 
 
+def two_sided_p(t: float, df: float) -> float:
+    """The two-sided p of Student's t, by the continued fraction of the incomplete beta function."""
+    if df <= 0 or math.isnan(t):
+        return float("nan")
+    x, a, b = df / (df + t * t), df / 2, 0.5
+    if x in (0.0, 1.0):
+        return x
+    front = math.exp(math.lgamma(a + b) - math.lgamma(a) - math.lgamma(b) + a * math.log(x) + b * math.log1p(-x))
+    mirrored = x > (a + 1) / (a + b + 2)
+    if mirrored:
+        a, b, x = b, a, 1 - x
+    tail = 1.0
+    for i in range(400, 0, -1):  # from the inside out
+        m, odd = divmod(i, 2)
+        d = -(a + m) * (a + b + m) * x / ((a + 2 * m) * (a + 2 * m + 1)) if odd else m * (b - m) * x / ((a + 2 * m - 1) * (a + 2 * m))
+        tail = 1 + d / tail
+    value = front / (a * tail)
+    return 1 - value if mirrored else value
+
+
 def z_test(mean_a: Column, width_a: Column, mean_b: Column, width_b: Column) -> tuple[Column, Column]:
     """z and two-sided p of two means with half-widths of 95 per cent intervals."""
     z = (mean_a - mean_b) / F.sqrt(F.pow(width_a / 1.96, 2) + F.pow(width_b / 1.96, 2))

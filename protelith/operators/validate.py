@@ -49,6 +49,17 @@ def embedding_widths(embeddings: DataFrame, column: str = "embedding") -> DataFr
     return embeddings.groupBy(F.size(column).alias("width")).agg(F.count("*").alias("n"))
 
 
+def other_lengths(rows: DataFrame, left: str, right: str) -> DataFrame:
+    """Rows whose two arrays, such as residues' vectors and labels, differ in length."""
+    return rows.where(F.size(left) != F.size(right))
+
+
+def ids_by_hash(records: DataFrame) -> DataFrame:
+    """seq_hash and the sorted ids of the records that have it."""
+    key = sequence_hash(F.col("seq"), F.col("seq_id")).alias("seq_hash")
+    return records.groupBy(key).agg(F.array_sort(F.collect_list("seq_id")).alias("ids"))
+
+
 def masks_without_residues(records: DataFrame) -> DataFrame:
     return records.where(F.col("mask").isNotNull() & ~F.col("mask").contains("1"))
 

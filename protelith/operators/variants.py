@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions.hashing import uniform
 from ..functions.sequences import ALPHABET
+from .validate import raise_on_violation
 
 UNIFORM_LOG_P = math.log(0.05)
 
@@ -26,6 +27,21 @@ def pseudo_log_likelihood(sequences: DataFrame, log_probs: DataFrame, key: str =
             .agg(F.sum("log_p").alias("pppl"), F.exp(-F.avg("log_p")).alias("perplexity")))
 
 
+def against_wild_type(scores: DataFrame, wild_type: DataFrame, columns: tuple[str, ...] = ("pppl", "perplexity")) -> DataFrame:
+    """Each score of a variant minus that of its wild type (one row); of perplexities small ones are good, the sign stays."""
+    one = wild_type.select(*[F.col(c).alias(f"_{c}") for c in columns])
+    return scores.join(F.broadcast(one.limit(1))).withColumns({c: F.col(c) - F.col(f"_{c}") for c in columns}).drop(*[f"_{c}" for c in columns])
+
+
+def matched_scores(predicted: DataFrame, actual: DataFrame, key: str = "variant") -> DataFrame:
+    """key, pred, label of variants that both sides have; raises if either side has one that the other lacks, or one twice."""
+    both = predicted.select(F.col(key), F.col("score").alias("pred"), F.lit(1).alias("side")).unionByName(
+        actual.select(F.col(key), F.col("score").alias("pred"), F.lit(2).alias("side")))
+    odd = both.groupBy(key).agg(F.count_if(F.col("side") == 1).alias("predicted"), F.count_if(F.col("side") == 2).alias("actual")).where("predicted <> 1 or actual <> 1")
+    raise_on_violation(odd, "variants without exactly one predicted and one actual score")
+    return predicted.select(key, F.col("score").alias("pred")).join(actual.select(key, F.col("score").alias("label")), key)
+
+
 def constant_log_probs(length: Column) -> Column:
     return length * F.lit(UNIFORM_LOG_P)
 
@@ -37,7 +53,11 @@ def random_log_probs(positions: DataFrame, seed: int = 42, key: str = "seq") ->
     return logits.join(total, [key, "position"]).select(key, "position", "aa", (F.col("logit") - F.col("_z")).alias("log_p"))
 
 
-def windows(length: Column, size: int = 1024, stride: int = 511) -> Column:
+#: Fixed values of windowed scoring: positions of a window, distance between windows, positions with a ramp, its centre and slope, last position before the end token.
+WINDOW, STRIDE, RAMP, CENTRE, SLOPE, LAST = 1024, 511, 256, 128, 16.0, 1022
+
+
+def windows(length: Column, size: int = WINDOW, stride: int = STRIDE) -> Column:
     """Starts of windows of ``size`` over a longer sequence: from both ends inward, and a central one if those leave little overlap."""
     last = length - size
     half = F.floor(last / 2)
@@ -49,11 +69,10 @@ def windows(length: Column, size: int = 1024, stride: int = 511) -> Column:
     return F.when(length <= size, F.array(F.lit(0).cast("bigint"))).otherwise(F.array_sort(F.array_distinct(both)))
 
 
-def edge_weight(offset: Column, size: int = 1024, ramp: int = 256) -> Column:
-    """A sigmoid ramp at both edges of a window; 1 in its middle."""
-    up = 1 / (1 + F.exp(-(offset - ramp / 2) / 16.0))
-    down = 1 / (1 + F.exp((offset - (size - ramp / 2)) / 16.0))
-    return F.when(offset < ramp, up).when(offset >= size - ramp, down).otherwise(1.0)
+def edge_weight(offset: Column) -> Column:
+    """A sigmoid ramp up over offsets 1 to RAMP and down over LAST - RAMP to LAST; 1 between them and at the tokens around the window."""
+    up, down = 1 / (1 + F.exp(-(offset - CENTRE) / SLOPE)), 1 / (1 + F.exp((offset - LAST + CENTRE) / SLOPE))
+    return F.when(offset.between(1, RAMP), up).when(offset.between(LAST - RAMP, LAST), down).otherwise(1.0)
 
 
 def weighted_by_position(window_values: DataFrame, keys: list[str]) -> DataFrame:

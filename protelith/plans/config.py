@@ -47,7 +47,7 @@ class Option:
             out.append(f"{name} is not available for {protocol}")
         from ..operators.splits import parameter_values
 
-        many = self.multiple and (isinstance(value, list) or isinstance(value, str) and value.strip().startswith(("range(", "[")))
+        many = self.multiple and is_several(value)
         for v in parameter_values(value) if many else [value]:
             if not isinstance(v, self.kind) or isinstance(v, bool) and self.kind in (int, float):
                 out.append(f"{name}: {v!r} has the wrong type")
@@ -87,6 +87,10 @@ OPTIONS: dict[str, Option] = {
     "use_class_weights": Option(bool, False, protocols=tuple(p for p in PROTOCOLS if p.endswith("class"))),
     "limited_sample_size": Option(int, -1),
     "bootstrapping_iterations": Option(int, 30, at_least=0),
+    "output_dir": Option(str),
+    "auto_resume": Option(bool),
+    "pretrained_model": Option(str),
+    "use_half_precision": Option(bool),
     "ignore_file_inconsistencies": Option(bool, False),
 }
 CROSS_VALIDATION: dict[str, Option] = {
@@ -101,6 +105,7 @@ CROSS_VALIDATION: dict[str, Option] = {
 class Config:
     values: dict[str, Any] = field(default_factory=dict)
     cross_validation: dict[str, Any] = field(default_factory=dict)
+    given: dict[str, Any] = field(default_factory=dict)  # what was set, without defaults
 
     def __getitem__(self, name: str) -> Any:
         return self.values[name]
@@ -116,7 +121,7 @@ def _checked(given: dict, options: dict[str, Option], protocol: str | None, wher
     return usable | given, problems
 
 
-def cross_rules(v: dict, cv: dict, given: dict, grid: bool) -> list[str]:
+def cross_rules(v: dict, cv: dict, given: dict, grid: bool, cv_given: dict) -> list[str]:
     """Rules that involve several options."""
     rules = (
         (sum(given.get(k) is not None for k in ("input_file", "input_data", "hf_dataset")) != 1, "exactly one of input_file, input_data and hf_dataset is needed"),
@@ -133,6 +138,13 @@ def cross_rules(v: dict, cv: dict, given: dict, grid: bool) -> list[str]:
         (bool(cv.get("nested")) and not grid, "nested cross-validation needs an option with several values"),
         (grid and not cv.get("nested"), "options with several values need nested cross-validation"),
         (bool(cv.get("stratified")) and v.get("protocol", "").startswith("residue_"), "stratified is for one target per sequence"),
+        (cv["method"] in ("hold_out", "leave_p_out") and any(x in cv_given for x in ("repeat", "search_method", "n_max_evaluations_random")), f"{cv['method']} has no such options"),
+        (bool(given.get("auto_resume")) and given.get("pretrained_model") is not None, "auto_resume and pretrained_model exclude each other"),
+        (given.get("pretrained_model") is not None and cv["method"] != "hold_out", "pretrained_model is for hold_out"),
+        (bool(given.get("auto_resume")) and given.get("output_dir") is None, "auto_resume needs output_dir"),
+        (bool(given.get("use_half_precision")) and given.get("embeddings_file") is not None, "use_half_precision is for embeddings that are computed"),
+        (needs_residue_embeddings(v["protocol"]) and v.get("dimension_reduction_method") is not None, "dimension_reduction_method is for one vector per sequence"),
+        (not is_classification(v["protocol"]) and bool(cv.get("stratified")), "stratified is for classes; bin values first"),
     )
     return [text for broken, text in rules if broken]
 
@@ -148,10 +160,23 @@ def verified(given: dict) -> Config:
     grid = any(o.multiple and n in given and len(parameter_values(given[n])) > 1 for n, o in OPTIONS.items())
     problems += more
     if not problems:
-        problems = cross_rules(values, cv, given, grid)
+        problems = cross_rules(values, cv, given, grid, cv_given)
     if problems:
         raise ConfigError("; ".join(problems))
-    return Config(values, cv)
+    from .models import chosen
+
+    for name in parameter_values(values["model_choice"]):
+        chosen(name, values["protocol"], given)
+    return Config(values, cv, given)
+
+
+def is_url(value: str) -> bool:
+    return value.split("://", 1)[0] in ("http", "https", "ftp") and "://" in value
+
+
+def is_several(value: Any) -> bool:
+    """Whether an option stands for several values: a list, a range, or either as text."""
+    return isinstance(value, (list, range)) or isinstance(value, str) and value.strip().startswith(("range(", "["))
 
 
 def search_space(config: Config) -> dict:

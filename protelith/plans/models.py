@@ -1,37 +1,165 @@
-"""Models over feature arrays: MLlib estimators, and a hook for external ones."""
+"""Models over feature arrays: MLlib estimators with a stop by validation loss, nearest centroids, and a hook for external ones.
+
+A model is registered for the protocols that it can serve; what it can't act on is refused, not ignored.
+"""
 
 from collections.abc import Callable, Iterator
+from dataclasses import dataclass
+from typing import Any
 
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..operators import vectors
+from .config import PROTOCOLS, ConfigError, is_classification
+
 
 def _prepared(df: DataFrame, features: str) -> DataFrame:
     from pyspark.ml.functions import array_to_vector
 
-    return df.withColumn("_x", array_to_vector(F.col(features)))
+    return df.withColumn("_x", array_to_vector(F.col(features).cast("array<double>")))
 
 
-def fit_predict(train: DataFrame, rows: DataFrame, classes: bool, seed: int = 42, features: str = "features", layers: tuple[int, ...] = ()) -> DataFrame:
-    """``rows`` with pred: logistic or linear regression, or with ``layers`` a multilayer perceptron of that hidden shape."""
-    from pyspark.ml.classification import LogisticRegression, MultilayerPerceptronClassifier
+@dataclass(frozen=True)
+class Fitted:
+    """``predict`` adds pred; ``epochs`` has (epoch, training loss, validation loss) of what was iterated; ``model`` is what MLlib made."""
+
+    predict: Callable[[DataFrame], DataFrame]
+    epochs: tuple[tuple[int, float, float], ...] = ()
+    best_epoch: int | None = None
+    model: Any = None
+
+
+def _weights(train: DataFrame) -> DataFrame:
+    """train with _w: n / (classes * n of the class)."""
+    counts = train.groupBy(F.col("label").alias("_label")).agg(F.count("*").alias("_n"))
+    totals = counts.agg(F.sum("_n").alias("_all"), F.count("*").alias("_k"))
+    return train.join(counts, F.col("label") == F.col("_label")).join(F.broadcast(totals)).withColumn("_w", F.col("_all") / (F.col("_k") * F.col("_n"))).drop("_label", "_n", "_all", "_k")
+
+
+def _log_loss(predicted: DataFrame) -> float:
+    from pyspark.ml.functions import vector_to_array
+
+    p = F.get(vector_to_array(F.col("probability")), F.col("_y").cast("int"))
+    return predicted.agg(F.avg(-F.log(F.greatest(p, F.lit(1e-12)))).alias("l")).first()["l"]
+
+
+def linear(train: DataFrame, val: DataFrame | None, o: dict, classes: bool, features: str = "features") -> Fitted:
+    """Logistic or linear regression; ``num_epochs`` and ``epsilon`` bound the iterations, ``use_class_weights`` weighs classes."""
+    from pyspark.ml.classification import LogisticRegression
     from pyspark.ml.feature import StringIndexer
     from pyspark.ml.regression import LinearRegression
 
-    train, rows = _prepared(train.where("label is not null"), features), _prepared(rows, features)
+    ready = _prepared(train, features)
     if not classes:
-        model = LinearRegression(featuresCol="_x", labelCol="label", predictionCol="pred").fit(train)
-        return model.transform(rows).drop("_x")
-    index = StringIndexer(inputCol="label", outputCol="_y", stringOrderType="alphabetAsc").fit(train)
-    if layers:
+        model = LinearRegression(featuresCol="_x", labelCol="label", predictionCol="pred", maxIter=o["num_epochs"], tol=o["epsilon"]).fit(ready)
+        return Fitted(lambda rows: model.transform(_prepared(rows, features)).drop("_x"), model=model)
+    index = StringIndexer(inputCol="label", outputCol="_y", stringOrderType="alphabetAsc").fit(ready)
+    weighed = _weights(ready) if o.get("use_class_weights") else ready
+    extra = {"weightCol": "_w"} if o.get("use_class_weights") else {}
+    model = LogisticRegression(featuresCol="_x", labelCol="_y", predictionCol="_p", maxIter=o["num_epochs"], tol=o["epsilon"], **extra).fit(index.transform(weighed))
+    return Fitted(lambda rows: _named(model.transform(_prepared(rows, features)), index.labels), model=model)
+
+
+def _named(predicted: DataFrame, labels: list[str]) -> DataFrame:
+    names = F.array(*[F.lit(x) for x in labels])
+    return predicted.withColumn("pred", names[F.col("_p").cast("int")]).drop("_x", "_p", "_y", "probability", "rawPrediction")
+
+
+def perceptron(hidden: tuple[int, ...]) -> Callable:
+    """A multilayer perceptron of that hidden shape, trained in steps of ``STEP`` iterations from where the last step ended.
+
+    After each step the validation loss is measured; training ends when ``patience`` + 1 steps in a row don't improve it by the share ``epsilon``, and the
+    best step's model is kept. With ``learning_rate`` given the solver is gradient descent, else limited-memory BFGS.
+    """
+    STEP = 10
+
+    def fit(train: DataFrame, val: DataFrame | None, o: dict, classes: bool, features: str = "features") -> Fitted:
+        from pyspark.ml.classification import MultilayerPerceptronClassifier
+        from pyspark.ml.feature import StringIndexer
+
+        ready = _prepared(train, features)
+        index = StringIndexer(inputCol="label", outputCol="_y", stringOrderType="alphabetAsc", handleInvalid="skip").fit(ready)
+        ready = index.transform(ready).cache()
+        check = index.transform(_prepared(val, features)).cache() if val is not None else None
         width = train.select(F.size(features)).first()[0]
-        estimator = MultilayerPerceptronClassifier(featuresCol="_x", labelCol="_y", predictionCol="_p", layers=[width, *layers, len(index.labels)], seed=seed)
-    else:
-        estimator = LogisticRegression(featuresCol="_x", labelCol="_y", predictionCol="_p")
-    names = F.array(*[F.lit(x) for x in index.labels])
-    predicted = estimator.fit(index.transform(train)).transform(rows)
-    return predicted.withColumn("pred", names[F.col("_p").cast("int")]).drop("_x", "_p", "probability", "rawPrediction")
+        solver = {"solver": "gd", "stepSize": float(o["learning_rate"])} if o.get("learning_rate") is not None else {"solver": "l-bfgs"}
+        best, best_loss, best_epoch, left, weights, seen, done = None, float("inf"), None, o["patience"], None, [], 0
+        try:
+            while done < o["num_epochs"]:
+                n = min(STEP, o["num_epochs"] - done)
+                estimator = MultilayerPerceptronClassifier(featuresCol="_x", labelCol="_y", predictionCol="_p", layers=[width, *hidden, len(index.labels)],
+                                                           seed=o["seed"], maxIter=n, tol=1e-9, blockSize=o["batch_size"], **solver)
+                model = (estimator.setInitialWeights(weights) if weights is not None else estimator).fit(ready)
+                weights, done = model.weights, done + n
+                training = _log_loss(model.transform(ready))
+                loss = _log_loss(model.transform(check)) if check is not None else training
+                seen.append((done, training, loss))
+                if best is None or loss < best_loss - o["epsilon"] * abs(best_loss):
+                    best, best_loss, best_epoch, left = model, loss, done, o["patience"]
+                elif left == 0:
+                    break
+                else:
+                    left -= 1
+        finally:
+            ready.unpersist()
+            if check is not None:
+                check.unpersist()
+        return Fitted(lambda rows: _named(best.transform(_prepared(rows, features)), index.labels), tuple(seen), best_epoch, best)
+
+    return fit
+
+
+def centroid(train: DataFrame, val: DataFrame | None, o: dict, classes: bool, features: str = "features") -> Fitted:
+    """The class whose mean vector is nearest."""
+    means = vectors.mean_by(train, ["label"], features)
+    return Fitted(lambda rows: vectors.nearest_centroid(rows, means, features, "pred"))
+
+
+@dataclass(frozen=True)
+class Kind:
+    fit: Callable
+    protocols: tuple[str, ...]
+    options: tuple[str, ...]  # options that it acts on, beside those of all models
+
+
+_CLASSES = tuple(p for p in PROTOCOLS if is_classification(p) and not p.startswith("residues"))
+_VALUES = tuple(p for p in PROTOCOLS if not is_classification(p) and not p.startswith("residues"))
+_ITERATED = ("num_epochs", "epsilon", "patience", "learning_rate", "batch_size")
+MODELS: dict[str, Kind] = {
+    "LogReg": Kind(linear, _CLASSES + _VALUES, ("num_epochs", "epsilon", "use_class_weights")),
+    "FNN": Kind(perceptron((32,)), _CLASSES, _ITERATED),
+    "DeeperFNN": Kind(perceptron((128, 64, 32)), _CLASSES, _ITERATED),
+    "Centroid": Kind(centroid, _CLASSES, ()),
+}
+
+
+def register(name: str, fit: Callable, protocols: tuple[str, ...] = PROTOCOLS, options: tuple[str, ...] = ()) -> None:
+    """Adds a model: ``fit(train, val, options, classes) -> Fitted``."""
+    MODELS[name] = Kind(fit, protocols, options)
+
+
+def chosen(name: str, protocol: str, given: dict[str, Any]) -> Kind:
+    """The model; raises if there is none of that name for the protocol, or if an option was given that it can't act on."""
+    if name not in MODELS or protocol not in MODELS[name].protocols:
+        raise ConfigError(f"{name} is no model for {protocol}; there are {sorted(k for k, m in MODELS.items() if protocol in m.protocols)}")
+    if useless := [o for o in (*_ITERATED, "use_class_weights") if given.get(o) not in (None, False) and o not in MODELS[name].options]:
+        raise ConfigError(f"{name} can't act on {', '.join(useless)}")
+    return MODELS[name]
+
+
+def fit_predict(train: DataFrame, rows: DataFrame, classes: bool, seed: int = 42, features: str = "features", layers: tuple[int, ...] = ()) -> DataFrame:
+    """``rows`` with pred: logistic or linear regression, or with ``layers`` a multilayer perceptron of that hidden shape."""
+    options = {"num_epochs": 100, "epsilon": 1e-6, "patience": 10, "batch_size": 128, "seed": seed}
+    return (perceptron(layers) if layers else linear)(train.where("label is not null"), None, options, classes, features).predict(rows)
+
+
+def passes(fitted: list[Fitted], rows: DataFrame, keys: list[str]) -> DataFrame:
+    """keys, pass, pred of several fits of one model (of other seeds or samples): what a network with dropout gives in several forward passes."""
+    from functools import reduce
+
+    return reduce(DataFrame.unionByName, [f.predict(rows).select(*keys, F.lit(i).alias("pass"), "pred") for i, f in enumerate(fitted)])
 
 
 def external(rows: DataFrame, predict: Callable[[pd.DataFrame], pd.DataFrame], schema: str) -> DataFrame:

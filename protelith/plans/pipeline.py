@@ -8,11 +8,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.hashing import sequence_hash
-from ..functions.sequences import ALPHABET, one_hot
-from ..functions.vectors import mean_of
-from ..operators import baselines, metrics, splits, uncertainty, validate, vectors
-from .config import Config, is_classification
-from .models import fit_predict
+from ..functions.sequences import ALPHABET, mask_bits, residue_labels
+from ..operators import baselines, embedders, metrics, results, splits, targets, uncertainty, validate, vectors
+from ..sources import tables
+from .config import Config, ConfigError, is_classification, is_per_residue, needs_residue_embeddings
+from .training import train
 
 
 @dataclass(frozen=True)
@@ -30,73 +30,157 @@ Step = Callable[[Context], Context]
 
 
 def validation(c: Context) -> Context:
-    numeric = not is_classification(c.config["protocol"])
-    checks = {"repeated sequences": validate.duplicate_sequences(c.records), "letters": validate.bad_letters(c.records),
-              "targets": validate.bad_targets(c.records, numeric, False), "sets": validate.missing_roles(c.records)}
+    """Raises on records that break a rule; with ``ignore_file_inconsistencies`` repeated sequences and unreadable targets go instead."""
+    protocol = c.config["protocol"]
+    numeric, per_residue, records = not is_classification(protocol), is_per_residue(protocol), c.records
+    target = lambda: validate.bad_targets(records, numeric, per_residue)
+    if c.config["ignore_file_inconsistencies"]:
+        records = records.join(target().select("seq_id"), "seq_id", "left_anti")
+        if not c.config.values.get("interaction"):
+            records = validate.unique_by_hash(records, "seq_id").drop("seq_hash")
+    checks = {"letters": validate.bad_letters(records), "targets": target(), "sets": validate.missing_roles(records)}
+    if not c.config.values.get("interaction"):
+        checks["repeated sequences"] = validate.duplicate_sequences(records)
+    if "mask" in records.columns:
+        checks["masks without a residue"] = validate.masks_without_residues(records)
+    if "embedding" in records.columns:
+        checks["embeddings for some records only"] = validate.embeddings_all_or_none(records)
     for what, found in checks.items():
         validate.raise_on_violation(found, what)
-    return replace(c, records=validate.route_sets(c.records))
+    return replace(c, records=validate.route_sets(records))
 
 
 def composition_embedding(records: DataFrame) -> DataFrame:
     """The mean one-hot vector of each sequence."""
-    letters = F.filter(F.split("seq", ""), lambda x: x != "")
     none = F.array_repeat(F.lit(0.0), len(ALPHABET))
-    hot = F.transform(letters, lambda x: F.transform(one_hot(x), lambda v: v.cast("double")))
-    return records.withColumn("embedding", F.when(F.size(letters) > 0, mean_of(hot)).otherwise(none))
+    return embedders.pooled(embedders.one_hot_residues(records)).withColumn("embedding", F.coalesce("embedding", none))
 
 
-EMBEDDERS: dict[str, Callable[[DataFrame], DataFrame]] = {"one_hot_encoding": composition_embedding}
+#: By name, an embedder per sequence and one per residue.
+EMBEDDERS: dict[str, tuple[Callable[[DataFrame], DataFrame] | None, Callable[[DataFrame], DataFrame] | None]] = {
+    "one_hot_encoding": (composition_embedding, embedders.one_hot_residues),
+    "random_embedder": (lambda r: embedders.random_vectors(r, "seq"), None),
+}
+
+
+def scale_embedder(scales: DataFrame) -> tuple:
+    """An embedder pair from a table of residue scales, to be put into ``EMBEDDERS``."""
+    return lambda r: embedders.pooled(embedders.scale_residues(r, scales)), lambda r: embedders.scale_residues(r, scales)
+
+
+def _embedded(c: Context, records: DataFrame) -> DataFrame:
+    per_residue = needs_residue_embeddings(c.config["protocol"])
+    if "embedding" in records.columns:
+        return records
+    if path := c.config.values.get("embeddings_file"):
+        wanted = records.select(sequence_hash(F.col("seq"), F.col("seq_id")).alias("seq_hash"))
+        store = tables.read_embeddings(records.sparkSession, path, None if c.config["ignore_file_inconsistencies"] else wanted)
+        return records.withColumn("seq_hash", sequence_hash(F.col("seq"), F.col("seq_id"))).join(store.select("seq_hash", "embedding"), "seq_hash").drop("seq_hash")
+    name = c.config["embedder_name"]
+    embed = EMBEDDERS[name][int(per_residue)] if name in EMBEDDERS else None
+    if embed is None:
+        raise ConfigError(f"no embedder {name} for {'residues' if per_residue else 'sequences'}; put one into EMBEDDERS")
+    return embed(records)
 
 
 def embedding(c: Context) -> Context:
-    records = c.records if "embedding" in c.records.columns else EMBEDDERS[c.config["embedder_name"]](c.records)
-    label = F.col("target") if is_classification(c.config["protocol"]) else F.col("target").try_cast("double")
-    return replace(c, samples=records.select(sequence_hash(F.col("seq"), F.col("seq_id")).alias("seq_hash"), "seq_id", "role", "set_name", label.alias("label"), "embedding"))
+    """A sample for each sequence, residue or interaction: seq_hash, seq_id, role, set_name, label, embedding."""
+    protocol, records = c.config["protocol"], c.records
+    key = sequence_hash(F.col("seq"), F.col("seq_id"))
+    as_label = (lambda x: x) if is_classification(protocol) else (lambda x: x.try_cast("double"))
+    if how := c.config.values.get("interaction"):
+        return replace(c, samples=_interactions(c, records, how, as_label))
+    rows = _embedded(c, records)
+    if not is_per_residue(protocol):
+        return replace(c, samples=rows.select(key.alias("seq_hash"), "seq_id", "role", "set_name", as_label(F.col("target")).alias("label"), "embedding"))
+    labels = residue_labels(F.col("target")) if is_classification(protocol) else F.split("target", ";")
+    with_masks = rows.withColumn("mask_bits", mask_bits(F.col("mask"))) if "mask" in rows.columns else rows.withColumn("mask_bits", F.lit(None).cast("array<int>"))
+    lengths = with_masks.where("target is not null").withColumn("_n", F.size(labels)).where(F.col("_n") != F.size("embedding")).select("seq_id", "_n")
+    validate.raise_on_violation(lengths, "targets of another length than their residues")
+    each = targets.exploded_residues(with_masks.withColumn("labels", F.coalesce(labels, F.transform("embedding", lambda x: F.lit(None).cast("string")))))
+    each = each.select(F.concat_ws("/", key, "position").alias("seq_hash"), "seq_id", "position", "role", "set_name", as_label(F.col("label")).alias("label"), F.get("embedding", "position").alias("embedding"))
+    return replace(c, samples=each)
+
+
+def _interactions(c: Context, records: DataFrame, how: str, as_label) -> DataFrame:
+    """A sample for each undirected pair of a record and its INTERACTOR; raises on missing partners and on pairs with several targets or sets."""
+    partner = records.select(F.col("seq_id").alias("_id"), F.col("seq").alias("_seq")).dropDuplicates(["_id"])
+    lost = records.join(partner, F.col("interactor") == F.col("_id"), "left_anti").select("seq_id", "interactor")
+    validate.raise_on_violation(lost, "interactors that are no record")
+    both = records.join(partner, F.col("interactor") == F.col("_id"))
+    mine, theirs = sequence_hash(F.col("seq"), F.col("seq_id")), sequence_hash(F.col("_seq"), F.col("_id"))
+    edges = both.select(F.least(mine, theirs).alias("a"), F.greatest(mine, theirs).alias("b"), "target", "role", "set_name", F.least("seq_id", "_id").alias("seq_id"))
+    per = edges.groupBy("a", "b").agg(F.countDistinct(F.struct(F.coalesce("target", F.lit("")), "role", "set_name")).alias("kinds"), F.min("target").alias("target"),
+                                      F.min("role").alias("role"), F.min("set_name").alias("set_name"), F.min("seq_id").alias("seq_id"))
+    validate.raise_on_violation(per.where("kinds > 1").select("a", "b"), "interactions with several targets or sets")
+    distinct = validate.unique_by_hash(records.drop("interactor"), "seq_id")
+    vectors_of = _embedded(c, distinct).select("seq_hash", "embedding")
+    joined = targets.interaction_embeddings(per, vectors_of, how, "seq_hash")
+    return joined.select(F.concat_ws("&", "a", "b").alias("seq_hash"), "seq_id", "role", "set_name", as_label(F.col("target")).alias("label"), "embedding")
 
 
 def scaling(c: Context) -> Context:
-    fitted = vectors.fit_scaler(c.samples.where("role = 'train'"), c.config["scaling_method"])
-    return replace(c, samples=vectors.scale(c.samples, fitted, out="features"))
+    """Scaled by, and with ``pca`` projected on, what the training samples give."""
+    train = lambda df: df.where("role = 'train'")
+    validate.raise_on_violation(_other_widths(c.samples), "embeddings of several widths")
+    fitted = vectors.fit_scaler(train(c.samples), c.config["scaling_method"])
+    samples = vectors.scale(c.samples, fitted, out="features")
+    if c.config.values.get("dimension_reduction_method") == "pca":
+        samples, explained = vectors.pca(train(samples), samples, c.config["n_reduced_components"], "features")
+        samples = samples.withColumn("features", F.col("projected")).drop("projected")
+        return replace(c, samples=samples, results=c.results | {"explained_variance": explained})
+    return replace(c, samples=samples)
+
+
+def _other_widths(samples: DataFrame) -> DataFrame:
+    widths = validate.embedding_widths(samples)
+    return widths.agg(F.count("*").alias("widths"), F.min("width").alias("least"), F.max("width").alias("most")).where("widths > 1")
 
 
 def splitting(c: Context) -> Context:
-    """Adds fold to the training and validation samples; in a hold-out the validation set is fold 0."""
-    cv = c.config.cross_validation
-    if cv["method"] == "hold_out":
-        return replace(c, samples=c.samples.withColumn("fold", F.when(F.col("role") == "val", 0).when(F.col("role") == "train", 1)))
-    inside = c.samples.where("role in ('train', 'val')")
-    if cv["method"] == "leave_p_out":
-        raise NotImplementedError("leave_p_out plans come from operators.splits.leave_p_out")
-    folds = splits.k_fold(inside, cv["k"], "seq_hash", stratify="label" if cv.get("stratified") else None).select("seq_hash", "fold")
-    return replace(c, samples=c.samples.join(folds, "seq_hash", "left"))
+    """The classes that occur must be known before splits are trained; samples are written down, as every split reads them."""
+    return replace(c, samples=c.samples.persist())
 
 
 def training(c: Context) -> Context:
-    inside = c.samples.where("role in ('train', 'val')")
-    predictions = fit_predict(inside, c.samples.where("role not in ('train', 'val')"), is_classification(c.config["protocol"]), c.config["seed"])
-    return replace(c, predictions=predictions.cache())  # metrics, baselines and intervals all read them
+    """Fits every split; the best one predicts all samples outside of training and validation."""
+    done = train(c.config, c.samples)
+    predictions = done.best.fitted.predict(c.samples.where("role not in ('train', 'val')"))
+    found = {"splits": done.metrics, "average": done.average, "best_split": done.best.name, "best_parameters": done.best.parameters,
+             "searched": done.searched, "epochs": done.best.fitted.epochs, "best_epoch": done.best.fitted.best_epoch}
+    return replace(c, predictions=predictions.persist(), results=c.results | found)  # metrics, baselines and intervals all read them
 
 
 def testing(c: Context) -> Context:
-    test = c.predictions.where("role = 'test'")
-    if is_classification(c.config["protocol"]):
-        found = metrics.classification(metrics.confusion(test, ["set_name"]), ["set_name"])
-    else:
-        found = metrics.regression(test, ["set_name"])
-        mean = baselines.mean_of_train(c.samples.where("role = 'train'"), test.drop("pred"))
-        found = found.join(metrics.regression(mean, ["set_name"]).select("set_name", F.col("mse").alias("mean_only_mse")), "set_name")
-    return replace(c, results=c.results | {"metrics": found, "interval": _bootstrapped(c, test)})
-
-
-def _bootstrapped(c: Context, test: DataFrame) -> DataFrame | None:
-    n = c.config["bootstrapping_iterations"]
-    if not n:
-        return None
-    numbered = splits._numbered(test, ["seq_hash"], ["set_name"]).withColumnRenamed("ordinal", "row_ix")
-    drawn = uncertainty.resampled(numbered, ["set_name"], n, c.config["seed"])
-    loss = F.avg((F.col("label") == F.col("pred")).cast("double")) if is_classification(c.config["protocol"]) else F.avg(F.pow(F.col("pred") - F.col("label"), 2))
-    return uncertainty.interval(drawn.groupBy("set_name", "iteration").agg(loss.alias("value")), ["set_name"], "value")
+    """Metrics of each test set with bootstrap intervals, and those of the baselines; with ``output_dir`` all of it is written there."""
+    test, protocol, n = c.predictions.where("role = 'test'"), c.config["protocol"], c.config["bootstrapping_iterations"]
+    naive = {"random_sampling": baselines.random_sampling} if is_classification(protocol) else {"uniform": baselines.uniform_between}
+    known, bare = c.samples.where("role = 'train' and label is not null"), test.drop("pred")
+    said = {name: f(known, bare, "seq_hash", c.config["seed"]) for name, f in naive.items()}
+    if not is_classification(protocol):
+        said["mean_only"] = baselines.mean_of_train(known, bare)
+    elif {r["label"] for r in known.select("label").distinct().limit(3).collect()} <= {"0", "1"}:
+        said |= {"one_only": baselines.constant(bare, "1"), "zero_only": baselines.constant(bare, "0")}
+    every = results.stacked([test.withColumn("model", F.lit("model")), *(p.withColumn("model", F.lit(k)) for k, p in said.items())])
+    every = every.select("model", "set_name", "seq_hash", "label", "pred")
+    found = metrics.evaluated(every, protocol, ["model", "set_name"])
+    intervals = _bootstrapped(every, protocol, n, c.config["seed"]) if n else None
+    if path := c.config.values.get("output_dir"):
+        found.write.mode("overwrite").parquet(f"{path}/metrics")
+        c.predictions.select("seq_id", "seq_hash", "set_name", "label", "pred").write.mode("overwrite").parquet(f"{path}/predictions")
+    return replace(c, results=c.results | {"metrics": found.where("model = 'model'").drop("model"), "baselines": found.where("model <> 'model'"), "intervals": intervals,
+                                           "set_sizes": results.set_sizes(c.samples)})
+
+
+def _bootstrapped(rows: DataFrame, protocol: str, n: int, seed: int) -> DataFrame:
+    """model, set_name, metric, mean, lower, upper over ``n`` resamples of each test set."""
+    keys = ["model", "set_name"]
+    numbered = splits._numbered(rows.where("label is not null"), ["seq_hash"], keys).withColumnRenamed("ordinal", "row_ix")
+    drawn = uncertainty.resampled(numbered, keys, n, seed)
+    kind = metrics.classification(metrics.confusion(drawn, [*keys, "iteration"]), [*keys, "iteration"]) if is_classification(protocol) else metrics.regression(drawn, [*keys, "iteration"])
+    values = [x for x in kind.columns if x not in (*keys, "iteration")]
+    long = kind.select(*keys, F.explode(F.array(*[F.struct(F.lit(v).alias("metric"), F.col(v).alias("value")) for v in values])).alias("m")).select(*keys, "m.*")
+    return uncertainty.interval(long, [*keys, "metric"], "value")
 
 
 DEFAULT: dict[str, Step] = {"validation": validation, "embedding": embedding, "scaling": scaling, "splitting": splitting, "training": training, "testing": testing}

@@ -50,13 +50,13 @@ def r6(c, digits: int = 6):
 # --- records -------------------------------------------------------------------------------------------------------
 
 def records(spark, d) -> DataFrame:
-    """Documents as records: seq_id, seq (letters only, upper case, at most the first line), target, set."""
+    """Documents as records: seq_id, seq (all letters of the text, upper case), target, set."""
     return read(spark, d, "documents").select(
-        F.col("doc_id").cast("string").alias("seq_id"), F.upper(F.regexp_replace(F.split("text", "\n")[0], "[^A-Za-z]", "")).alias("seq"),
+        F.col("doc_id").cast("string").alias("seq_id"), F.upper(F.regexp_replace("text", "[^A-Za-z]", "")).alias("seq"),
         F.col("lang").alias("target"), hash_role(F.col("doc_id")).alias("set"), "source")
 
 
-RECORDS = f"""records AS (SELECT doc_id::VARCHAR AS seq_id, upper(regexp_replace(split_part(text, chr(10), 1), '[^A-Za-z]', '', 'g')) AS seq,
+RECORDS = f"""records AS (SELECT doc_id::VARCHAR AS seq_id, upper(regexp_replace(text, '[^A-Za-z]', '', 'g')) AS seq,
   lang AS target, {sql_role('doc_id')} AS set, source FROM documents)"""
 SEQ_HASH = "CASE WHEN seq = '' THEN seq_id ELSE sha256(seq || '_' || length(seq)::VARCHAR) END"
 
@@ -220,12 +220,12 @@ def ppi_consistency_violations(spark, d):
 
 
 def _combined(spark, d, how):
-    e = targets.canonical_edges(edges(spark, d), "l_partkey", "l_suppkey").where("b < 500")
+    e = targets.canonical_edges(edges(spark, d), "l_partkey", "l_suppkey")
     joined = targets.interaction_embeddings(e, read(spark, d, "embeddings"), how, "vec_id")
     return joined.select("a", "b", F.size("embedding").alias("width"), r6(vec.total(vec.doubles(F.col("embedding"))), 4).alias("total"))
 
 
-_COMBINED = f"""WITH {EDGES}, p AS (SELECT DISTINCT a, b FROM e WHERE b < 500) SELECT a, b, len(%s) AS width, round(list_sum(%s), 4) AS total
+_COMBINED = f"""WITH {EDGES}, p AS (SELECT DISTINCT a, b FROM e) SELECT a, b, len(%s) AS width, round(list_sum(%s), 4) AS total
 FROM p JOIN embeddings x ON x.vec_id = a JOIN embeddings y ON y.vec_id = b"""
 
 
@@ -270,7 +270,8 @@ def mean_pool(spark, d):
     return pooled.select("label", F.posexplode("mean").alias("dim", "m")).select("label", "dim", r6(F.col("m")).alias("mean"))
 
 
-@query(f"""WITH {RECORDS}, k AS (SELECT target, substr(seq, i, 3) AS kmer FROM (SELECT target, seq, unnest(range(1, length(seq) - 1)) AS i FROM records WHERE length(seq) >= 3)),
+@query(f"""WITH {RECORDS}, l AS (SELECT target, string_split(seq, '') AS l FROM records WHERE length(seq) >= 3),
+k AS (SELECT target, unnest(list_transform(range(1, len(l) - 1), lambda i: l[i] || l[i + 1] || l[i + 2])) AS kmer FROM l),
 c AS (SELECT target, kmer, count(*) AS n FROM k GROUP BY ALL) SELECT target, kmer, n, round(n / sum(n) OVER (PARTITION BY target), 6) AS share FROM c""")
 def kmer_trigram_mean(spark, d):
     k = records(spark, d).select("target", F.explode(sequences.kmers(F.col("seq"), 3)).alias("kmer")).groupBy("target", "kmer").agg(F.count("*").alias("n"))
@@ -662,11 +663,11 @@ def marginal_scores(spark, d):
     return variants.marginal_scores(variant_rows(spark, d), log_probs(spark), "p_partkey").select("p_partkey", r6(F.col("score")).alias("score"), "n_mutations")
 
 
-@query(f"""WITH {RECORDS}, c AS (SELECT seq_id, i - 1 AS position, substr(seq, i, 1) AS aa FROM (SELECT seq_id, seq, unnest(range(1, length(seq) + 1)) AS i FROM records WHERE length(seq) BETWEEN 1 AND 60)),
+@query(f"""WITH {RECORDS}, c AS (SELECT seq_id, unnest(range(0, length(seq))) AS position, unnest(string_split(seq, '')) AS aa FROM records WHERE seq <> ''),
 pl AS (SELECT *, -5 * ({sql_hash('seq_id', 'position', 'aa')} / 4294967296.0) - 0.1 AS log_p FROM c)
 SELECT seq_id, round(sum(log_p), 6) AS pppl, round(exp(-avg(log_p)), 4) AS perplexity FROM pl GROUP BY seq_id""")
 def pseudo_perplexity(spark, d):
-    r = records(spark, d).where(F.length("seq").between(1, 60)).select("seq_id", "seq")
+    r = records(spark, d).where("seq <> ''").select("seq_id", "seq")
     lp = r.select("seq_id", F.posexplode(F.split("seq", "")).alias("position", "aa")).withColumn("log_p", -5 * uniform(F.col("seq_id"), F.col("position"), F.col("aa")) - 0.1)
     return variants.pseudo_log_likelihood(r, lp).select("seq_id", r6(F.col("pppl")).alias("pppl"), r6(F.col("perplexity"), 4).alias("perplexity"))
 
@@ -685,14 +686,15 @@ def window_plan(spark, d):
     return read(spark, d, "documents").select("doc_id", F.explode(variants.windows(F.greatest(F.col("n_chars"), F.lit(1)))).alias("start"))
 
 
-@query(f"""WITH {WINDOWS}, x AS (SELECT doc_id, start, unnest(range(0, least(1024, n_chars), 97)) AS o FROM (SELECT doc_id, n_chars, unnest(starts) AS start FROM w)),
-y AS (SELECT doc_id, start + o AS position, {sql_hash('doc_id', 'start', 'o')} / 4294967296.0 AS v,
- CASE WHEN o < 256 THEN 1 / (1 + exp(-(o - 128) / 16.0)) WHEN o >= 768 THEN 1 / (1 + exp((o - 896) / 16.0)) ELSE 1.0 END AS wt FROM x)
+@query(f"""WITH {WINDOWS}, x AS (SELECT doc_id, start, unnest(range(0, least(1024, n_chars))) AS o FROM (SELECT doc_id, n_chars, unnest(starts) AS start FROM w)),
+y AS (SELECT doc_id, start + o AS position, ((doc_id * 31 + start * 17 + o * 7) % 1009) / 1009 AS v,
+ CASE WHEN o BETWEEN 1 AND 256 THEN 1 / (1 + exp(-(o - 128) / 16.0)) WHEN o BETWEEN 766 AND 1022 THEN 1 / (1 + exp((o - 894) / 16.0)) ELSE 1.0 END AS wt FROM x)
 SELECT doc_id, position, round(sum(v * wt) / sum(wt), 6) AS value FROM y GROUP BY ALL""")
 def window_weighted_logits(spark, d):
     w = window_plan(spark, d).join(read(spark, d, "documents").select("doc_id", "n_chars"), "doc_id")
-    each = w.select("doc_id", "start", F.explode(F.sequence(F.lit(0), F.least(F.lit(1024), F.col("n_chars")) - 1, F.lit(97))).alias("o"))
-    values = each.select("doc_id", (F.col("start") + F.col("o")).alias("position"), uniform(F.col("doc_id"), F.col("start"), F.col("o")).alias("value"), variants.edge_weight(F.col("o")).alias("weight"))
+    each = w.select("doc_id", "start", "n_chars", F.explode(F.sequence(F.lit(0), F.least(F.lit(1024), F.col("n_chars")) - 1)).alias("o")).where("n_chars > 0")
+    said = ((F.col("doc_id") * 31 + F.col("start") * 17 + F.col("o") * 7) % 1009) / 1009
+    values = each.select("doc_id", (F.col("start") + F.col("o")).alias("position"), said.alias("value"), variants.edge_weight(F.col("o")).alias("weight"))
     return variants.weighted_by_position(values, ["doc_id"]).select("doc_id", "position", r6(F.col("value")).alias("value"))
 
 
@@ -751,11 +753,13 @@ def leaderboard_places(spark, d):
     return leaderboard.places(board(spark, d).withColumn("score", r6(F.col("score")))).select("entry", F.col("place").cast("long").alias("place"))
 
 
-@query(f"""WITH {SCORES}, n AS (SELECT category, entry, round(avg(metric), 4) AS lo FROM sc GROUP BY ALL)
-SELECT category, max(CASE WHEN entry = 'NATION_0' THEN lo END) AS "NATION_0", max(CASE WHEN entry = 'NATION_1' THEN lo END) AS "NATION_1" FROM n WHERE entry IN ('NATION_0', 'NATION_1') GROUP BY category""")
+_ENTRIES = [f"NATION_{i}" for i in range(25)]
+
+
+@query(f"WITH {SCORES} SELECT category, " + ", ".join(f"max(metric) FILTER (entry = '{e}') AS {e}" for e in _ENTRIES) + " FROM sc GROUP BY category")
 def report_pivot(spark, d):
-    r = scores(spark, d).where(F.col("entry").isin("NATION_0", "NATION_1")).select("category", F.col("entry").alias("model"), F.col("metric").alias("mean"))
-    return leaderboard.report_pivot(r, ["category"], ["NATION_0", "NATION_1"])
+    r = scores(spark, d).select("category", F.col("entry").alias("model"), F.col("metric").alias("mean"))
+    return leaderboard.report_pivot(r, ["category"], _ENTRIES)
 
 
 @query("""WITH c AS (SELECT user_id AS epoch, round(avg(value), 6) AS training, round(max(value), 6) AS validation FROM events GROUP BY 1)
@@ -802,3 +806,6 @@ def events_session(spark, d):
 
 def _plain(found: DataFrame) -> DataFrame:
     return found.withColumns({"start": F.col("start").cast("timestamp_ntz"), "end": F.col("end").cast("timestamp_ntz"), "total": r6(F.col("total"), 4)})
+
+
+from . import queries_results, queries_sequences  # noqa: E402, F401  they register their queries here

@@ -3,6 +3,7 @@
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+#: Fixed value: how the format writes an attribute.
 ATTRIBUTE = r"([A-Z_]+)=([^ ]+)"
 
 

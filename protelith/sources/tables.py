@@ -2,14 +2,17 @@
 
 from functools import reduce
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.sequences import set_name
 
 ASSAY = "mutant string, mutated_sequence string, DMS_score double"
-REPORT = ("embedder_name string, training_date string, supervised_results map<string, struct<min_seq_len: int, max_seq_len: int, "
-          "results: map<string, map<string, double>>>>")
+_RESULTS = "results: map<string, map<string, double>>"
+REPORT = (f"embedder_name string, training_date string, supervised_results map<string, struct<min_seq_len: int, max_seq_len: int, {_RESULTS}>>, "
+          f"zeroshot_results map<string, struct<method: string, {_RESULTS}>>")
+REPORT_FILES = "*report_*.json"
 
 
 def read_assay(spark: SparkSession, path: str, single_only: bool = False) -> DataFrame:
@@ -47,13 +50,61 @@ def check_cardinality(store: DataFrame, expected: int) -> None:
         raise ValueError(f"{n} embeddings, expected {expected}")
 
 
-def read_reports(spark: SparkSession, path: str) -> DataFrame:
+def read_reports(spark: SparkSession, path: str, files: str = REPORT_FILES) -> DataFrame:
     """Benchmark reports of a file or folder; unreadable ones are left out, of equal (embedder, date) one stays."""
-    return (spark.read.schema(REPORT).option("recursiveFileLookup", True).option("pathGlobFilter", "autoeval_report_*.json")
+    return (spark.read.schema(REPORT).option("recursiveFileLookup", True).option("pathGlobFilter", files)
             .option("multiLine", True).option("mode", "DROPMALFORMED").json(path)
             .where("embedder_name is not null").dropDuplicates(["embedder_name", "training_date"]))
 
 
+def write_report(report: DataFrame, path: str) -> None:
+    """A report, one row, as a JSON file that ``read_reports`` finds in the folder ``path``."""
+    name = report.select(F.regexp_replace(F.concat_ws("_", "embedder_name", "training_date"), r"[^A-Za-z0-9_.-]+", "-")).first()[0]
+    report.coalesce(1).write.mode("overwrite").json(f"{path.rstrip('/')}/{name}")  # a row
+
+
+def load_report(spark: SparkSession, path: str, embedder: str, date: str) -> DataFrame:
+    """The report of that embedder and date under ``path``, or an empty one."""
+    try:
+        found = read_reports(spark, path, "*.json").where((F.col("embedder_name") == embedder) & (F.col("training_date") == date)).limit(1)
+    except AnalysisException:  # no such folder
+        found = spark.createDataFrame([], REPORT)
+    empty = spark.createDataFrame([(embedder, date, {}, {})], REPORT)
+    return empty if found.isEmpty() else found
+
+
+def report_rows(reports: DataFrame) -> DataFrame:
+    """embedder_name, mode, task, test_set, metric, value of all supervised and zero-shot results."""
+    parts = []
+    for mode in ("supervised", "zeroshot"):
+        each = reports.select("embedder_name", F.lit(mode).alias("mode"), F.explode(f"{mode}_results").alias("task", "r"))
+        parts.append(each.select("embedder_name", "mode", "task", F.explode("r.results").alias("test_set", "m")).select("embedder_name", "mode", "task", "test_set", F.explode("m").alias("metric", "value")))
+    return reduce(DataFrame.unionByName, parts)
+
+
+def read_assay_reference(spark: SparkSession, path: str) -> DataFrame:
+    """assay (file name) and taxon of a reference table; raises if a column is missing."""
+    found = spark.read.csv(path, header=True)
+    if missing := {"DMS_id", "taxon"} - set(found.columns):
+        raise ValueError(f"missing columns: {', '.join(sorted(missing))}")
+    return found.select(F.concat("DMS_id", F.lit(".csv")).alias("assay"), "taxon")
+
+
+def write_parameters(scaler: DataFrame, path: str) -> None:
+    """A fitted scaler as a table; nothing is pickled."""
+    scaler.select("dim", "shift", "scale").write.mode("overwrite").parquet(path)
+
+
+def read_parameters(spark: SparkSession, path: str) -> DataFrame:
+    return spark.read.parquet(path)
+
+
+def subset_set(name: str) -> str:
+    """The set that a named subset stands for, by the start of its name; unknown ones are test sets of their own."""
+    low = name.lower()
+    return next((s for s in ("train", "val", "test", "pred") if low.startswith(s)), f"test-{low}")
+
+
 def union_subsets(subsets: dict[str, DataFrame], sequence: str, target: str | None = None, mask: str | None = None) -> DataFrame:
     """Named subsets as records with their set; at least three subsets with all asked columns are needed."""
     if len(subsets) < 3:
@@ -63,7 +114,7 @@ def union_subsets(subsets: dict[str, DataFrame], sequence: str, target: str | No
         if absent := {c for c in (sequence, target, mask) if c} - set(df.columns):
             raise ValueError(f"{name}: missing columns {sorted(absent)}")
         optional = lambda c: F.col(c).cast("string") if c else F.lit(None).cast("string")  # noqa: E731, B023
-        parts.append(df.select(F.col(sequence).alias("seq"), optional(target).alias("target"), optional(mask).alias("mask"), set_name(F.lit(name)).alias("set")))
+        parts.append(df.select(F.col(sequence).alias("seq"), optional(target).alias("target"), optional(mask).alias("mask"), F.lit(subset_set(name)).alias("set")))
     return reduce(DataFrame.unionByName, parts)
 
 

@@ -1,14 +1,15 @@
-import random
+import datetime
 from collections import Counter
 
+import numpy as np
 import pytest
 from hypothesis import HealthCheck, given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from protelith.functions import sequences, vectors as vec
-from protelith.operators import leaderboard, metrics, splits, uncertainty, validate, vectors
-from protelith.plans import config, pipeline
+from protelith.operators import embedders, leaderboard, metrics, results, splits, uncertainty, validate, variants, vectors
+from protelith.plans import config
 from protelith.sources import fasta, tables
 from protelith.streaming import monitor
 
@@ -53,11 +54,19 @@ def test_preprocessing(spark):
     assert row == ("S E Q <mask> U Z", "SEQ<mask>XX", "<AA2fold> SEQ<mask>UZ")
 
 
-@pytest.mark.parametrize(("variant", "mutant"), [("A2S", "MSGSMALM"), ("G3M", "MASSMALM".replace("S", "M", 1)), ("M1S:M5A", "SAGSAALM"), ("A2S:A2G", None), ("A3S", None), ("x", None)])
+@pytest.mark.parametrize(("variant", "mutant"), [
+    ("K2R", "WRTPV"), ("W1Y", "YKTPV"), ("T3A:V5I", "WKAPI"), ("K2R:K2Q", None), ("T2R", None), ("P9A", None), ("K2", None), ("", None)])
 def test_variants(spark, variant, mutant):
-    df = spark.createDataFrame([("MAGSMALM", variant)], "wt string, v string").withColumn("m", sequences.parse_variant(F.col("v")))
+    df = spark.createDataFrame([("WKTPV", variant)], "wt string, v string").withColumn("m", sequences.parse_variant(F.col("v")))
     got = df.select(sequences.mutant_sequence(F.col("wt"), F.col("m"))).first()[0]
-    assert got == ("MAMSMALM" if variant == "G3M" else mutant)
+    assert got == mutant
+
+
+def test_edge_weights(spark):
+    w = [r.w for r in spark.range(1024).select(variants.edge_weight(F.col("id")).alias("w")).collect()]
+    assert w[0] == w[1023] == w[257] == w[765] == 1.0 and w[128] == w[894] == 0.5
+    assert w[1] < 0.001 and w[1022] < 0.001 and w[256] > 0.999 and w[766] > 0.999
+    assert all(abs(w[i] - w[1022 - i]) < 1e-12 for i in range(1, 257))
 
 
 def test_arrays(spark):
@@ -79,8 +88,7 @@ def test_k_fold_blocks(spark, k, n):
 
 def test_split_plans(spark):
     assert splits.leave_p_out(spark.range(5), 2, "id").count() == 10
-    with pytest.raises(ValueError, match="4950"):
-        splits.leave_p_out(spark.range(100), 2, "id")
+    assert splits.leave_p_out(spark.range(100), 2, "id").count() == 4950
     nested = splits.nested_k_fold(spark.range(20), 4, 3, "id")
     assert nested.where("role = 'test'").count() == 20
     assert nested.where("role = 'val'").groupBy("outer").count().select("count").distinct().collect() == [(15,)]
@@ -136,12 +144,156 @@ def test_validation(spark):
         validate.raise_on_violation(validate.missing_roles(r), "sets")
 
 
+def test_running_sums_within_groups(spark):
+    rows = [(g, i * 7 % 50, i % 3) for g in (None, "a", "b") for i in range(50)]
+    df = spark.createDataFrame(rows, "g string, x int, n int")
+    got = {(r.g, r.x): (r.ordinal, r.b) for r in splits._numbered(splits.running_before(df, ["x"], ["g"], F.col("n"), "b"), ["x"], ["g"]).collect()}
+    for g in (None, "a", "b"):
+        total = 0
+        for k, (x, n) in enumerate(sorted((x, n) for h, x, n in rows if h == g)):
+            assert got[g, x] == (k, total)
+            total += n
+
+
+def test_average_ranks(spark):
+    df = spark.createDataFrame([(None, 5.0), (None, 5.0), (None, 1.0), ("a", 2.0), ("a", None), ("a", 2.0), ("a", 3.0)], "g string, v double")
+    got = sorted(((r.g or "", r.v or 0.0, r["rank"]) for r in metrics.average_ranks(df, "v", ["g"], "rank").collect()))
+    assert got == [("", 1.0, 1.0), ("", 5.0, 2.5), ("", 5.0, 2.5), ("a", 0.0, 1.0), ("a", 2.0, 2.5), ("a", 2.0, 2.5), ("a", 3.0, 4.0)]
+
+
+def test_kmers(spark):
+    row = spark.createDataFrame([("ABCDE", "AB", "", None)], "a string, b string, c string, d string").select(
+        *[sequences.kmers(F.col(c)).alias(c) for c in "abcd"], sequences.chunks(F.col("a")).alias("e")).first()
+    assert (row.a, row.b, row.c, row.d, row.e) == (["ABC", "BCD", "CDE"], [], [], None, ["ABC", "DE"])
+
+
+def test_resampled_to_a_size(spark):
+    rows = spark.range(10).select(F.lit("g").alias("g"), F.col("id").alias("row_ix"))
+    assert uncertainty.resampled(rows, ["g"], 3, size=25).groupBy("iteration").count().collect() == [(i, 25) for i in range(3)] or {
+        tuple(r) for r in uncertainty.resampled(rows, ["g"], 3, size=25).groupBy("iteration").count().collect()} == {(i, 25) for i in range(3)}
+    assert uncertainty.resampled(rows, ["g"], 2, size=4).count() == 8
+
+
+@pytest.mark.parametrize(("t", "df", "p"), [(2.0, 10, 0.073388), (0.5, 3, 0.651448), (0.0, 7, 1.0), (1.0, 1, 0.5), (-3.0, 30, 0.005389)])
+def test_p_of_t(t, df, p):
+    assert uncertainty.two_sided_p(t, df) == pytest.approx(p, abs=1e-5)
+
+
+def test_pca_matches_numpy(spark):
+    x = np.random.default_rng(1).normal(size=(60, 5)) * [5, 3, 1, 0.5, 0.1]
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "id int, embedding array<double>")
+    rows, explained = vectors.pca(df, df, 3)
+    values, axes = np.linalg.eigh(np.cov(x.T))
+    assert np.allclose(explained, (values / values.sum())[::-1][:3])
+    got = np.array([r.projected for r in rows.orderBy("id").collect()])
+    assert np.allclose(np.abs(got), np.abs((x - x.mean(0)) @ axes[:, ::-1][:, :3]), atol=1e-8)
+
+
+def test_scales_and_noise(spark, tmp_path):
+    (tmp_path / "m.txt").write_text("# a matrix\n   C  A  X  B\nA -1  4  0  9\nC  8 -1 -2  9\nX -2  0 -1  9\nB 9 9 9 9\n")
+    scales = embedders.read_scales(spark, str(tmp_path / "m.txt"))
+    assert {r.letter: r["values"] for r in scales.collect()} == {"A": [4, -1, 0], "C": [-1, 8, -2], "X": [0, -2, -1]}
+    df = spark.createDataFrame([("ACW", "k"), ("", "k"), (None, "j")], "seq string, key string")
+    got = [r.embedding for r in embedders.scale_residues(df, scales).collect()]
+    assert got == [[[4, -1, 0], [-1, 8, -2], [0, -2, -1]], [], []]
+    assert [r.embedding for r in embedders.scale_residues(df, scales, unknown=None).collect()][0][2] == [0, 0, 0]
+    noise = [r.embedding for r in embedders.random_vectors(df, "key", 16).collect()]
+    assert noise[0] == noise[1] != noise[2] and len(noise[0]) == 16 and all(0 <= x < 1 for x in noise[0])
+
+
+def test_batches_keep_to_the_budget(spark):
+    seen = []
+
+    def embed(seqs):
+        assert sum(map(len, seqs)) < 30 or len(seqs) == 1
+        return [[float(len(s))] for s in seqs]
+
+    df = spark.createDataFrame([(i, "A" * (i * 13 % 40)) for i in range(50)], "id int, seq string")
+    for r in embedders.in_batches(df, embed, "id int, seq string, embedding array<double>", budget=30).collect():
+        assert r.embedding == [len(r.seq)]
+        seen.append(r.id)
+    assert sorted(seen) == list(range(50))
+    assert [r.id for r in embedders.longest_first(df.limit(5)).collect()] == [3, 2, 1, 4, 0]
+
+
+def test_masking(spark):
+    df = spark.createDataFrame([(i, "ACDEFGHIKL" * 20) for i in range(20)] + [(99, "A"), (100, "")], "id int, seq string")
+    rows = embedders.masked(df, "id").collect()
+    drawn = sum(t != -100 for r in rows[:20] for t in r.targets)
+    assert 450 < drawn < 750 and sum(r.masked.count("<mask>") for r in rows[:20]) / drawn == pytest.approx(0.8, abs=0.06)
+    for r in rows:
+        assert len(r.targets) == len(r.seq) and all(t in (-100, "ACDEFGHIKLMNPQRSTVWXY".index(x)) for t, x in zip(r.targets, r.seq))
+    assert rows[20].targets == [0] and rows[21].masked == "" and rows[21].targets == []
+
+
+def test_store_names():
+    assert embedders.store_path("out/", "sequence_to_class", "org/model", True) == "out/sequence_to_class/model/reduced_embeddings_file_model_half.parquet"
+    assert embedders.store_name("one_hot", False) == "embeddings_file_one_hot.parquet"
+
+
+def test_matched_scores_raise(spark):
+    score = lambda rows: spark.createDataFrame(rows, "variant string, score double")
+    assert variants.matched_scores(score([("A1C", 0.5)]), score([("A1C", 2.0)])).collect() == [("A1C", 0.5, 2.0)]
+    for bad in ([("A1D", 2.0)], [], [("A1C", 1.0), ("A1C", 2.0)]):
+        with pytest.raises(validate.Violation):
+            variants.matched_scores(score([("A1C", 0.5)]), score(bad))
+
+
+def test_reports(spark, tmp_path):
+    rows = [("m", "2024-01-01", {"t": (1, 9, {"test": {"acc": 0.5}})}, {"z": ("wt", {"all": {"scc": 0.25}})})]
+    tables.write_report(spark.createDataFrame(rows, tables.REPORT), str(tmp_path))
+    (tmp_path / "bad.json").write_text("{not json")
+    found = tables.load_report(spark, str(tmp_path), "m", "2024-01-01")
+    assert {tuple(r) for r in tables.report_rows(found).collect()} == {("m", "supervised", "t", "test", "acc", 0.5), ("m", "zeroshot", "z", "all", "scc", 0.25)}
+    assert tables.load_report(spark, str(tmp_path / "none"), "m", "x").first().supervised_results == {}
+
+
+def test_observers_and_output(spark, tmp_path):
+    seen = []
+    run = results.Observed({"seed": 1}, (lambda name, values: seen.append((name, values)), results.table_observer(spark, str(tmp_path / "t"))))
+    run.add("epoch", loss=0.5)
+    run.add("epoch", accuracy=1.0)
+    run.save(str(tmp_path / "out.yml"))
+    again = results.Observed.loaded(str(tmp_path / "out.yml"))
+    assert seen == [("epoch", {"loss": 0.5}), ("epoch", {"accuracy": 1.0})] and again.configuration == {"seed": 1} and again.derived == {"epoch": {"loss": 0.5, "accuracy": 1.0}}
+    assert spark.read.parquet(str(tmp_path / "t")).count() == 2
+
+
+def test_model_hash(spark):
+    df = spark.createDataFrame([(1, "a"), (2, "b")], "i int, t string")
+    one = results.model_hash([("x", df)], {"a": 1, "b": 2})
+    assert len(one) == 16 and one == results.model_hash([("x", df.orderBy(F.desc("i")))], {"b": 2, "a": 1})
+    assert len({one, results.model_hash([("x", df.limit(1))], {"a": 1, "b": 2}), results.model_hash([("x", df)], {"a": 1}), results.model_hash([("x", df)], {"a": 1, "b": 2}, True)}) == 4
+
+
+@pytest.mark.parametrize(("arguments", "fine"), [
+    (("pbc", None, 1, 9), True), (("PGYM", "wt_marginals"), True), (("pbc", "x", 1, 9), False), (("pbc", None, 9, 9), False), (("pbc", None, None, 9), False),
+    (("pbc", None, -9, 0), False), (("pgym",), False), (("other", "x"), False)])
+def test_benchmark_arguments(arguments, fine):
+    if fine:
+        results.check_benchmark(*arguments)
+    else:
+        with pytest.raises(ValueError):
+            results.check_benchmark(*arguments)
+
+
+def test_order_and_times(spark):
+    df = spark.createDataFrame([("human",), ("nonvirus",), ("virus",)], "task string")
+    assert [r.task for r in results.virus_first(df).collect()] == ["nonvirus", "virus", "human"]
+    found = results.elapsed(datetime.datetime(2024, 1, 1), datetime.datetime(2024, 1, 1, 0, 0, 2, 500_000))
+    assert found == {"start_time": "2024-01-01T00:00:00", "end_time": "2024-01-01T00:00:02.500000", "elapsed_time": 2.5}
+
+
 GOOD = {"protocol": "sequence_to_class", "input_file": "x.fasta"}
 
 
 @pytest.mark.parametrize("bad", [
     {"protocol": "nonsense"}, {"input_file": None}, {"input_file": "x.txt"}, {"input_data": [1]}, {"unknown": 1}, {"seed": -1}, {"seed": True}, {"num_epochs": 0},
     {"embedder_name": "a", "embeddings_file": "b"}, {"n_reduced_components": 3}, {"learning_rate": [1e-3, 1e-4]}, {"scaling_method": "other"},
+    {"model_choice": "CNN"}, {"protocol": "sequence_to_value", "model_choice": "FNN"}, {"learning_rate": 1e-3}, {"patience": 3}, {"model_choice": "FNN", "use_class_weights": True},
+    {"protocol": "residues_to_class"}, {"auto_resume": True}, {"pretrained_model": "m", "cross_validation_config": {"method": "k_fold", "k": 3}},
+    {"protocol": "residue_to_class", "dimension_reduction_method": "pca", "n_reduced_components": 2}, {"embeddings_file": "e", "use_half_precision": True},
+    {"cross_validation_config": {"method": "hold_out", "repeat": 2}}, {"protocol": "sequence_to_value", "cross_validation_config": {"method": "k_fold", "k": 3, "stratified": True}},
     {"protocol": "residue_to_class", "interaction": "multiply"}, {"protocol": "sequence_to_value", "use_class_weights": True},
     *[{"cross_validation_config": c} for c in ({"method": "k_fold"}, {"method": "hold_out", "k": 3}, {"method": "leave_p_out"}, {"method": "k_fold", "k": 3, "p": 1}, {"method": "k_fold", "k": 1},
                                                {"method": "k_fold", "k": 3, "nested": True}, {"method": "k_fold", "k": 3, "nested": True, "nested_k": 2, "search_method": "grid_search"},
@@ -153,22 +305,10 @@ def test_config_rules(bad):
 
 
 def test_config_defaults():
-    c = config.verified(GOOD | {"learning_rate": [1e-3, 1e-4], "cross_validation_config": {"method": "k_fold", "k": 3, "nested": True, "nested_k": 2, "search_method": "grid_search"}})
+    c = config.verified(GOOD | {"model_choice": "FNN", "learning_rate": [1e-3, 1e-4], "cross_validation_config": {"method": "k_fold", "k": 3, "nested": True, "nested_k": 2, "search_method": "grid_search"}})
     assert c["seed"] == 42 and config.search_space(c) == {"learning_rate": [1e-3, 1e-4]}
 
 
-def test_pipeline(spark):
-    rng = random.Random(3)
-    rows = [(f"s{i}", "".join(rng.choices("AC" if i % 2 else "DE", k=12)) + "ACDE"[i % 4] * (i % 5), "x" if i % 2 else "y", ("train", "val", "test")[min(2, i % 5)]) for i in range(60)]
-    r = spark.createDataFrame(rows, "seq_id string, seq string, target string, set string")
-    done = pipeline.run(config.verified(GOOD), r)
-    assert done.results["metrics"].first().accuracy > 0.9
-    ci = done.results["interval"].first()
-    assert ci.lower <= ci.mean <= ci.upper
-    with pytest.raises(ValueError, match="no such steps"):
-        pipeline.run(config.verified(GOOD), r, other=lambda c: c)
-
-
 def test_scaler_and_centroids(spark):
     df = spark.createDataFrame([(0, [0.0, 1.0]), (0, [2.0, 1.0]), (1, [10.0, 1.0])], "label int, embedding array<double>")
     scaled = vectors.scale(df, vectors.fit_scaler(df))
