@@ -32,9 +32,10 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 
 def whole_characters(text: Column) -> Column:
     """Bytes as text without the parts of characters that a cut has left; replacement characters of the text itself stay."""
-    marked = F.replace(F.replace(text, F.lit(""), F.lit("a")), F.lit("�"), F.lit("b"))
-    whole = F.translate(F.make_valid_utf8(marked), "�", "")
-    return F.replace(F.replace(whole, F.lit("b"), F.lit("�")), F.lit("a"), F.lit(""))
+    escape, lost = "\ue000", "\ufffd"
+    marked = F.replace(F.replace(text, F.lit(escape), F.lit(escape + "a")), F.lit(lost), F.lit(escape + "b"))
+    whole = F.translate(F.make_valid_utf8(marked), lost, "")
+    return F.replace(F.replace(whole, F.lit(escape + "b"), F.lit(lost)), F.lit(escape + "a"), F.lit(escape))
 
 
 def remove_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
