@@ -5,6 +5,7 @@ import itertools
 import random
 import re
 
+from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -15,12 +16,13 @@ def running_before(rows: DataFrame, order: list[Column | str], groups: list[str]
     """Adds the sum of ``amount`` (1 by default) over the rows of the same group that stand before in ``order``.
 
     Rows are sorted in ranges of (groups, order), so neither a large group nor the whole table meets in one task; each range adds what the ranges
-    before it hold of its first group. The number of ranges is that of shuffle partitions, fixed, so that both uses of the ranges see the same.
+    before it hold of its first group. The sorted ranges are kept on disk, as both uses of them must see the same ranges (another sample of the rows, as
+    another plan would take, gives others).
     """
     keys, amount = [*groups, *order], F.lit(1) if amount is None else amount
     ranges = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     parted = rows.withColumn("_a", amount).repartitionByRange(ranges, *keys).sortWithinPartitions(*keys).withColumns(
-        {"_p": F.spark_partition_id(), "_m": F.monotonically_increasing_id()})
+        {"_p": F.spark_partition_id(), "_m": F.monotonically_increasing_id()}).persist(StorageLevel.DISK_ONLY)
     inside = Window.partitionBy("_p", *groups).orderBy("_m").rowsBetween(Window.unboundedPreceding, -1)
     parted = parted.withColumn("_in", F.coalesce(F.sum("_a").over(inside), F.lit(0)))
     sums = parted.groupBy("_p", *groups).agg(F.sum("_a").alias("_n"))
