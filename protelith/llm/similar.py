@@ -3,14 +3,17 @@
 The similarity of two documents is the Jaccard similarity of their sets of word shingles, and every link is verified over
 whole sets. Equal sets are collapsed. Then
 
-1. fingerprints of the shingles are met by multi-index hashing (``simhash``), and documents compared with the smallest within
-   ``MAX_BITS`` bits: that joins the nearest copies;
+1. fingerprints of the shingles are met by multi-index hashing (``simhash``), and each document is compared with the smallest within
+   ``MAX_BITS`` bits, and with the smallest that it meets in the second step: that joins the nearest copies with one comparison for each;
 2. all sets are put in one order of shingles, common ones last. Two sets of a similarity of at least s share a shingle
    among the first ``n - ceil(s * n) + 1`` of either, and the first shingle that they share leaves enough behind it on both
    sides; so documents meet under the shingles of their prefixes. Each is compared with the smallest that it meets, unless
    both are in one component already;
 3. all pairs that meet and are still in different components are compared.
 
+Before sets are compared, bitmaps of ``SKETCH`` bits are: each bit that only one of them has stands for a shingle that only one set has, so pairs with more
+such bits than similar sets allow are dropped without loss.
+
 The second and third step are exact for every pair, so groups of near copies are found whole without being enumerated.
 Which shingles count as common is found in a sample. It changes the cost only: any order finds every pair.
 """
@@ -31,6 +34,7 @@ from .simhash import links_to_least, met_at_points
 LOWER = bytes.maketrans(bytes(range(65, 91)), bytes(range(97, 123)))
 MAX_BITS = 5
 BLOCK = 1 << 15  # shingles counted at a time
+SKETCH = 1024
 SAMPLE, OFTEN, COMMON = 16, 3, 200_000  # one document in SAMPLE; a shingle in OFTEN of them is common; at most COMMON are kept
 
 
@@ -72,6 +76,21 @@ def _bits(found: np.ndarray) -> int:
     return int(np.packbits(counts * 2 > len(found), bitorder="little").view(np.int64)[0])
 
 
+def _sketch(found: np.ndarray) -> np.ndarray:
+    """The bits that the shingles of a set have, as 64-bit integers."""
+    bits = np.zeros(SKETCH, np.uint8)
+    bits[(found.view(np.uint64) >> np.uint64(17)).astype(np.int64) % SKETCH] = 1
+    return np.packbits(bits, bitorder="little").view(np.int64)
+
+
+def _possible(pairs: DataFrame, sets: DataFrame, s: Fraction) -> DataFrame:
+    """The pairs (a, b) of nodes whose sketches allow the similarity; ``sets`` has node, n and sketch."""
+    of = lambda side: sets.select(F.col("node").alias(side), F.col("n").alias(f"n{side}"), F.col("sketch").alias(f"s{side}"))
+    both = pairs.join(of("a"), "a").join(of("b"), "b")
+    apart = sum((F.bit_count(F.col("sa")[i].bitwiseXOR(F.col("sb")[i])) for i in range(1, SKETCH // 64)), F.bit_count(F.col("sa")[0].bitwiseXOR(F.col("sb")[0])))
+    return cut(both.where((s.numerator + s.denominator) * apart <= (s.denominator - s.numerator) * (F.col("na") + F.col("nb"))).select("a", "b"))
+
+
 def _enough(a: tuple[Column, Column], b: tuple[Column, Column], s: Fraction) -> Column:
     """Whether what is left in both sets (size, place) from the shingle on where they meet can make them similar."""
     left = F.least(a[0] - a[1], b[0] - b[1])
@@ -111,11 +130,11 @@ def similar_components(docs: DataFrame, shingle: int = 5, similarity: float = 0.
     s = Fraction(str(similarity))
     common = docs.sparkSession.sparkContext.broadcast(_common(docs, shingle))
 
-    @F.pandas_udf("key binary, n long, bits long, prefix array<long>")
+    @F.pandas_udf("key binary, n long, bits long, sketch array<long>, prefix array<long>")
     def of(texts: pd.Series) -> pd.DataFrame:
         sets = [shingles(t, shingle) for t in texts]
         found = pd.DataFrame({"key": [xxhash.xxh3_128_digest(x.tobytes()) for x in sets], "n": [len(x) for x in sets], "bits": [_bits(x) for x in sets],
-                              "prefix": [prefix(x, common.value, s) for x in sets]})
+                              "sketch": [_sketch(x) for x in sets], "prefix": [prefix(x, common.value, s) for x in sets]})
         release()
         return found
 
@@ -125,21 +144,26 @@ def similar_components(docs: DataFrame, shingle: int = 5, similarity: float = 0.
                   .withColumn("node", F.xxhash64("doc_id", "_k1", "_k2")))
     row = ["doc_id", "_k1", "_k2"]
     texts = docs.withColumn("node", F.xxhash64(*row)).select("node", "text")
-    first = prints.dropDuplicates(row).join(classes.select(*row, "node"), row)
+    first = prints.join(classes.select(*row, "node"), row)  # repeated rows give a node twice, which adds no link
 
+    sets = cut(first.select("node", "n", "sketch").distinct())
     nodes = cut(first.select("node", F.array("bits").alias("fp")))
-    links = _verified(links_to_least(met_at_points(nodes, MAX_BITS, 1), nodes, MAX_BITS, 1), texts, shingle, s)
-    roots = components(links)
+    near = links_to_least(met_at_points(nodes, MAX_BITS, 1), nodes, MAX_BITS, 1)
 
     postings = first.select("node", F.shiftleft("n", 32).alias("n"), F.posexplode("prefix").alias("pos", "token")).select("token", "node", F.col("n").bitwiseOR(F.col("pos").cast("long")).alias("at"))
     shared = cut(postings.groupBy("token").agg(F.min("node").alias("low"), F.max("node").alias("high")).where("low < high").select("token", "low"))
     met = cut(possibly_among(postings, "token", shared.select("token")).join(shared, "token"))
     of_low = met.where("node = low").select("token", F.col("at").alias("low_at"))
+    ahead = met.where("node <> low").join(of_low, "token").where(_enough(_place("at"), _place("low_at"), s))
+    ahead = cut(ahead.select(F.col("low").alias("a"), F.col("node").alias("b")).distinct())
+    one_each = lambda pairs: pairs.groupBy("b").agg(F.min("a").alias("a")).select("a", "b")
+    links = _verified(_possible(one_each(near).unionByName(one_each(ahead)).distinct(), sets, s), texts, shingle, s)
+    roots = components(links)
+
     rooted = lambda df: df.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
-    low_roots = roots.select(F.col("node").alias("low"), F.col("root").alias("low_root"))
-    ahead = rooted(met.where("node <> low")).join(low_roots, "low", "left").where(F.col("root") != F.coalesce("low_root", "low"))
-    ahead = cut(ahead.join(of_low, "token").where(_enough(_place("at"), _place("low_at"), s)).select(F.col("low").alias("a"), F.col("node").alias("b")).distinct())
-    links = links.unionByName(_verified(ahead, texts, shingle, s))
+    root_of = lambda side: roots.select(F.col("node").alias(side), F.col("root").alias(f"r{side}"))
+    others = ahead.join(root_of("a"), "a", "left").join(root_of("b"), "b", "left").where(F.coalesce("ra", "a") != F.coalesce("rb", "b")).select("a", "b")
+    links = links.unionByName(_verified(_possible(others, sets, s), texts, shingle, s))
     roots = components(links)
 
     placed = rooted(met.select("token", "node", "at"))
@@ -148,7 +172,7 @@ def similar_components(docs: DataFrame, shingle: int = 5, similarity: float = 0.
     a, b = (apart.select("token", *[F.col(c).alias(f"{x}_{c}") for c in ("node", "at", "root")]) for x in "ab")
     rest = a.join(b, "token").where((F.col("a_node") < F.col("b_node")) & (F.col("a_root") != F.col("b_root")) & _enough(_place("a_at"), _place("b_at"), s))
     rest = rest.select(F.col("a_node").alias("a"), F.col("b_node").alias("b")).distinct().join(ahead, ["a", "b"], "left_anti")
-    found = components(links.unionByName(_verified(cut(rest), texts, shingle, s)))
+    found = components(links.unionByName(_verified(_possible(rest, sets, s), texts, shingle, s)))
     top = classes.join(found, "node", "left").withColumn("root", F.coalesce("root", "node"))
     least = top.groupBy("root").agg(F.min("doc_id").alias("component_id"))
     return prints.select(*row, "key").join(top.select("key", "root").join(least, "root"), "key").select(*row, "component_id")
