@@ -688,14 +688,16 @@ def window_plan(spark, d):
 
 @query(f"""WITH {WINDOWS}, x AS (SELECT doc_id, start, unnest(range(0, least(1024, n_chars))) AS o FROM (SELECT doc_id, n_chars, unnest(starts) AS start FROM w)),
 y AS (SELECT doc_id, start + o AS position, ((doc_id * 31 + start * 17 + o * 7) % 1009) / 1009 AS v,
- CASE WHEN o BETWEEN 1 AND 256 THEN 1 / (1 + exp(-(o - 128) / 16.0)) WHEN o BETWEEN 766 AND 1022 THEN 1 / (1 + exp((o - 894) / 16.0)) ELSE 1.0 END AS wt FROM x)
-SELECT doc_id, position, round(sum(v * wt) / sum(wt), 6) AS value FROM y GROUP BY ALL""")
+ CASE WHEN o BETWEEN 1 AND 256 THEN 1 / (1 + exp(-(o - 128) / 16.0)) WHEN o BETWEEN 766 AND 1022 THEN 1 / (1 + exp((o - 894) / 16.0)) ELSE 1.0 END AS wt FROM x),
+z AS (SELECT doc_id, position, sum(v * wt) / sum(wt) AS value FROM y GROUP BY ALL)
+SELECT doc_id, count(*) AS n, round(sum(value), 3) AS total, round(max(value), 6) AS most FROM z GROUP BY doc_id""")
 def window_weighted_logits(spark, d):
     w = window_plan(spark, d).join(read(spark, d, "documents").select("doc_id", "n_chars"), "doc_id")
     each = w.select("doc_id", "start", "n_chars", F.explode(F.sequence(F.lit(0), F.least(F.lit(1024), F.col("n_chars")) - 1)).alias("o")).where("n_chars > 0")
     said = ((F.col("doc_id") * 31 + F.col("start") * 17 + F.col("o") * 7) % 1009) / 1009
     values = each.select("doc_id", (F.col("start") + F.col("o")).alias("position"), said.alias("value"), variants.edge_weight(F.col("o")).alias("weight"))
-    return variants.weighted_by_position(values, ["doc_id"]).select("doc_id", "position", r6(F.col("value")).alias("value"))
+    merged = variants.weighted_by_position(values, ["doc_id"])
+    return merged.groupBy("doc_id").agg(F.count("*").alias("n"), r6(F.sum("value"), 3).alias("total"), r6(F.max("value")).alias("most"))
 
 
 @query("""SELECT doc_id, (CASE WHEN n_chars <= 1024 OR p < 512 THEN 0 WHEN p >= n_chars - 512 THEN n_chars - 1024 ELSE p - 512 END)::INTEGER AS s,
