@@ -8,8 +8,8 @@ of the sum of looked-up values, added for whole batches at a time.
 The model is fitted on the driver from the features of at most ``MAX_LABELLED`` labelled documents (those
 with the lowest seeded hash of doc_id). All texts are scored in full.
 
-Rows: a null or empty text has the features of no words; null labels are no labels; repeated rows score
-alike; without labels of both kinds every score is 0.5; extra columns stay.
+Rows: a null or empty text has the features of no words; null labels are no labels, and of several labels of a doc_id the highest counts; repeated rows
+and equal texts score alike; a value on a bin's edge falls into the upper bin; an empty table gives an empty result; without labels of both kinds every score is 0.5; extra columns stay.
 """
 
 import re

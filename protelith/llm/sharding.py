@@ -7,7 +7,7 @@ shard number wins, so doc_id and the shard count alone decide, and a further sha
 into itself.
 
 Rows: null texts count as empty; a null doc_id is hashed as such; repeated rows and equal ids stay
-and get slots of their own. Rows equal in every carried column share a bucket; all others spread.
+and get slots of their own. Rows equal in doc_id and text share a bucket; all others spread. A text of any length is one row of its bucket.
 An empty table gives an empty result. Columns beyond id and text are left out unless carried.
 """
 

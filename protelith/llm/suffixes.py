@@ -1,15 +1,16 @@
-"""Removal of repeated byte strings across documents, by a sampled suffix sort.
+"""Removal of repeated byte strings across documents, by a content-defined sample of strings.
 
-A difference cover is a sample of positions such that any two equal strings hold a sampled position at
+This stands in for difference-cover suffix sorting: no triples are sorted, no names recursed on, and no order of suffixes is built; what it keeps
+of it is the cover. A difference cover is a sample of positions such that any two equal strings hold a sampled position at
 the same distance from their start. Here the cover is content-defined: of the 31 grams of 20 bytes in a
 50-byte string, the one with the least hash is sampled. That depends on the string alone, so it has the
 cover's property, and it samples 6 % of the positions where the smallest arithmetic cover for this
-length (6 of 31 residues) takes 19 %. The steps are those of difference-cover suffix sorting:
+length (6 of 31 residues) takes 19 %. The steps:
 
 0. of equal texts only the one with the smallest doc_id takes part: the others are removed whole;
 1. name the sampled grams and find the names held by more than one text (other names can't match);
 2. for those, take the text around each sample, which holds all strings whose sample it is;
-3. in each range of names sort the strings and compare neighbours: of equal strings the smallest
+3. in each range of names sort the strings' hashes and compare neighbours: of equal strings the smallest
    doc_id stays, all others are removed.
 
 Samples and strings travel as packed arrays, one row for each task's flush and range of names (answers: for
@@ -18,8 +19,8 @@ flush keeps one entry for equal samples, so a passage shared by very many docume
 flush. Whatever text is shuffled is compressed before. Strings are compared by two 64-bit hashes (over 100 effective bits).
 
 Rows: null texts count as empty; a null doc_id is neither smaller nor larger than another, so such rows
-neither lose nor cause removals; rows with equal doc_id never remove from each other; repeated rows are
-treated alike. Texts of any length are cut into overlapping segments. Extra columns stay.
+neither lose nor cause removals; rows with equal doc_id never remove from each other, so ties stay; repeated rows are
+treated alike; an empty table gives an empty result. Texts of any length are cut into overlapping segments. Extra columns stay.
 """
 
 import numpy as np
