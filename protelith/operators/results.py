@@ -151,7 +151,8 @@ def table_observer(spark: SparkSession, path: str) -> Observer:
     return push
 
 
-SUPERVISED, ZERO_SHOT = ("pbc", "flip"), ("pgym",)
+#: Public benchmarks by kind; others are given by the caller.
+SUPERVISED, ZERO_SHOT = ("flip",), ("proteingym",)
 
 
 def check_benchmark(framework: str, zero_shot_method: str | None = None, min_length: int | None = None, max_length: int | None = None,

@@ -267,8 +267,8 @@ def test_model_hash(spark):
 
 
 @pytest.mark.parametrize(("arguments", "fine"), [
-    (("pbc", None, 1, 9), True), (("PGYM", "wt_marginals"), True), (("pbc", "x", 1, 9), False), (("pbc", None, 9, 9), False), (("pbc", None, None, 9), False),
-    (("pbc", None, -9, 0), False), (("pgym",), False), (("other", "x"), False)])
+    (("flip", None, 1, 9), True), (("ProteinGym", "wt_marginals"), True), (("flip", "x", 1, 9), False), (("flip", None, 9, 9), False), (("flip", None, None, 9), False),
+    (("flip", None, -9, 0), False), (("proteingym",), False), (("other", "x"), False)])
 def test_benchmark_arguments(arguments, fine):
     if fine:
         results.check_benchmark(*arguments)
