@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import decontaminate, licenses, packing, quality, rules, sharding, simhash, suffixes, toxicity, urlfilter
+from . import decontaminate, licenses, packing, passages, quality, rules, sharding, simhash, suffixes, toxicity, urlfilter
 
 QUERIES = {
     "op1_simhash": simhash.query,
@@ -15,6 +15,7 @@ QUERIES = {
     "op8_packing": packing.query,
     "op9_urlfilter": urlfilter.query,
     "op10_suffixes": suffixes.query,
+    "op13_passages": passages.query,
 }
 
 SQL: dict[str, str] = {
