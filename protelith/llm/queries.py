@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import decontaminate, licenses, packing, passages, quality, rules, sharding, simhash, suffixes, toxicity, urlfilter
+from . import decontaminate, divergence, licenses, packing, passages, quality, repair, rules, sharding, simhash, suffixes, toxicity, urlfilter
 
 QUERIES = {
     "op1_simhash": simhash.query,
@@ -15,6 +15,8 @@ QUERIES = {
     "op8_packing": packing.query,
     "op9_urlfilter": urlfilter.query,
     "op10_suffixes": suffixes.query,
+    "op11_divergence": divergence.query,
+    "op12_repair": repair.query,
     "op13_passages": passages.query,
 }
 
@@ -22,4 +24,6 @@ SQL: dict[str, str] = {
     "op2_rules": rules.SQL,
     "op5_licenses": licenses.SQL,
     "op9_urlfilter": urlfilter.SQL,
+    "op11_divergence": divergence.SQL,
+    "op12_repair": repair.SQL,
 }
