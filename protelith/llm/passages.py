@@ -202,6 +202,7 @@ def repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> tupl
     alike = met.join(classes.where("low < high"), ["anchor", "stretch"]).where("doc_id > low").select("doc_id", "version", span(F.col("first"), F.col("last") + MATCH))
 
     unlike = classes.groupBy("anchor").agg(F.min("low").alias("a_low"), F.max("high").alias("a_high"), F.count("*").alias("n")).where("n > 1 and a_low < a_high").select("anchor")
+    unlike = cut(unlike)  # a join of what was written can be split by Spark where one anchor is everywhere
     open_ = met.join(classes, ["anchor", "stretch"]).where("doc_id = low").join(unlike, "anchor", "left_semi")
     wanted = cut(open_.groupBy("doc_id", "version").agg(F.collect_set("anchor").alias("wanted")))
     read = possibly_among(keyed, "version", wanted.select("version")).join(wanted, ["doc_id", "version"]).select("doc_id", "version", "text", "wanted")
