@@ -27,6 +27,13 @@ def scale(rows: DataFrame, scaler: DataFrame, vector: str = "embedding", out: st
             .withColumn(out, F.zip_with(doubles(F.col(vector)), F.col("_s"), lambda x, s: (x - s["shift"]) / s["scale"])).drop("_s"))
 
 
+def scale_sequences(rows: DataFrame, scaler: DataFrame, vector: str = "embedding", out: str = "scaled") -> DataFrame:
+    """The same for arrays of vectors."""
+    one = scaler.agg(F.array_sort(F.collect_list(F.struct("dim", "shift", "scale"))).alias("_s"))
+    scaled = F.transform(F.col(vector).cast("array<array<double>>"), lambda v: F.zip_with(v, F.col("_s"), lambda x, s: (x - s["shift"]) / s["scale"]))
+    return rows.join(F.broadcast(one)).withColumn(out, scaled).drop("_s")
+
+
 def mean_by(rows: DataFrame, keys: list[str], vector: str, out: str = "centroid") -> DataFrame:
     """The mean vector of each group, summed before the shuffle."""
     long = rows.select(*keys, F.posexplode(doubles(F.col(vector))).alias("dim", "x")).groupBy(*keys, "dim").agg(F.avg("x").alias("x"))

@@ -80,6 +80,10 @@ OPTIONS: dict[str, Option] = {
     "interaction": Option(str, allowed=("multiply", "concat"), protocols=tuple(p for p in PROTOCOLS if p.startswith("sequence"))),
     "model_choice": Option(str, "LogReg", multiple=True),
     "learning_rate": Option(number, 1e-3, above=0, multiple=True),
+    "optimizer_choice": Option(str, "adam", allowed=("adam", "sgd"), multiple=True),
+    "dropout_rate": Option(number, at_least=0, below=1, multiple=True),
+    "bottleneck_dim": Option(int, at_least=4, multiple=True),
+    "model_weights_init": Option(str, "default", allowed=("default", "normal", "xavier", "kaiming"), multiple=True),
     "num_epochs": Option(int, 200, above=0, multiple=True),
     "patience": Option(int, 10, at_least=0),
     "epsilon": Option(number, 0.001, above=0),

@@ -11,8 +11,9 @@ from ..functions.hashing import sequence_hash
 from ..functions.sequences import ALPHABET, mask_bits, residue_labels
 from ..operators import baselines, embedders, metrics, results, splits, targets, uncertainty, validate, vectors
 from ..sources import tables
+from . import models
 from .config import Config, ConfigError, is_classification, is_per_residue, needs_residue_embeddings
-from .training import train
+from .training import measured, train
 
 
 @dataclass(frozen=True)
@@ -83,6 +84,11 @@ def _embedded(c: Context, records: DataFrame) -> DataFrame:
     return embed(records)
 
 
+def _whole_sequences(c: Context) -> bool:
+    """Whether a sample is a sequence with a label for each residue."""
+    return is_per_residue(c.config["protocol"]) and set(splits.parameter_values(c.config["model_choice"])) <= set(models.SEQUENCES)
+
+
 def embedding(c: Context) -> Context:
     """A sample for each sequence, residue or interaction: seq_hash, seq_id, role, set_name, label, embedding."""
     protocol, records = c.config["protocol"], c.records
@@ -97,6 +103,9 @@ def embedding(c: Context) -> Context:
     with_masks = rows.withColumn("mask_bits", mask_bits(F.col("mask"))) if "mask" in rows.columns else rows.withColumn("mask_bits", F.lit(None).cast("array<int>"))
     lengths = with_masks.where("target is not null").withColumn("_n", F.size(labels)).where(F.col("_n") != F.size("embedding")).select("seq_id", "_n")
     validate.raise_on_violation(lengths, "targets of another length than their residues")
+    if _whole_sequences(c):  # a sample is a sequence with all its residues; masked ones have no label
+        known = F.transform(labels, lambda x, i: F.when(F.coalesce(F.get("mask_bits", i), F.lit(1)) == 1, as_label(x)))
+        return replace(c, samples=with_masks.select(key.alias("seq_hash"), "seq_id", "role", "set_name", known.alias("label"), "embedding"))
     each = targets.exploded_residues(with_masks.withColumn("labels", F.coalesce(labels, F.transform("embedding", lambda x: F.lit(None).cast("string")))))
     each = each.select(F.concat_ws("/", key, "position").alias("seq_hash"), "seq_id", "position", "role", "set_name", as_label(F.col("label")).alias("label"), F.get("embedding", "position").alias("embedding"))
     return replace(c, samples=each)
@@ -122,9 +131,12 @@ def _interactions(c: Context, records: DataFrame, how: str, as_label) -> DataFra
 def scaling(c: Context) -> Context:
     """Scaled by, and with ``pca`` projected on, what the training samples give."""
     train = lambda df: df.where("role = 'train'")
+    if needs_residue_embeddings(c.config["protocol"]) and set(splits.parameter_values(c.config["model_choice"])) <= set(models.SEQUENCES):
+        return _scaled_sequences(c, train(c.samples))
     validate.raise_on_violation(_other_widths(c.samples), "embeddings of several widths")
     fitted = vectors.fit_scaler(train(c.samples), c.config["scaling_method"])
     samples = vectors.scale(c.samples, fitted, out="features")
+    c = replace(c, results=c.results | {"scaler": fitted})
     if c.config.values.get("dimension_reduction_method") == "pca":
         samples, explained = vectors.pca(train(samples), samples, c.config["n_reduced_components"], "features")
         samples = samples.withColumn("features", F.col("projected")).drop("projected")
@@ -132,6 +144,14 @@ def scaling(c: Context) -> Context:
     return replace(c, samples=samples)
 
 
+def _scaled_sequences(c: Context, train: DataFrame) -> Context:
+    """Sequences of vectors, each vector scaled by what the training residues give."""
+    residues = c.samples.select(F.explode("embedding").alias("embedding"))
+    validate.raise_on_violation(_other_widths(residues), "embeddings of several widths")
+    fitted = vectors.fit_scaler(train.select(F.explode("embedding").alias("embedding")), c.config["scaling_method"])
+    return replace(c, samples=vectors.scale_sequences(c.samples, fitted, out="features"), results=c.results | {"scaler": fitted})
+
+
 def _other_widths(samples: DataFrame) -> DataFrame:
     widths = validate.embedding_widths(samples)
     return widths.agg(F.count("*").alias("widths"), F.min("width").alias("least"), F.max("width").alias("most")).where("widths > 1")
@@ -145,7 +165,8 @@ def splitting(c: Context) -> Context:
 def training(c: Context) -> Context:
     """Fits every split; the best one predicts all samples outside of training and validation."""
     done = train(c.config, c.samples)
-    predictions = done.best.fitted.predict(c.samples.where("role not in ('train', 'val')"))
+    whole = _whole_sequences(c)
+    predictions = measured(done.best.fitted.predict(c.samples.where("role not in ('train', 'val')")), whole)
     found = {"splits": done.metrics, "average": done.average, "best_split": done.best.name, "best_parameters": done.best.parameters,
              "searched": done.searched, "epochs": done.best.fitted.epochs, "best_epoch": done.best.fitted.best_epoch}
     return replace(c, predictions=predictions.persist(), results=c.results | found)  # metrics, baselines and intervals all read them
@@ -155,7 +176,10 @@ def testing(c: Context) -> Context:
     """Metrics of each test set with bootstrap intervals, and those of the baselines; with ``output_dir`` all of it is written there."""
     test, protocol, n = c.predictions.where("role = 'test'"), c.config["protocol"], c.config["bootstrapping_iterations"]
     naive = {"random_sampling": baselines.random_sampling} if is_classification(protocol) else {"uniform": baselines.uniform_between}
-    known, bare = c.samples.where("role = 'train' and label is not null"), test.drop("pred")
+    samples = c.samples
+    if _whole_sequences(c):
+        samples = samples.select("role", "seq_hash", F.posexplode("label").alias("position", "label")).withColumn("seq_hash", F.concat_ws("/", "seq_hash", "position"))
+    known, bare = samples.where("role = 'train' and label is not null"), test.drop("pred")
     said = {name: f(known, bare, "seq_hash", c.config["seed"]) for name, f in naive.items()}
     if not is_classification(protocol):
         said["mean_only"] = baselines.mean_of_train(known, bare)

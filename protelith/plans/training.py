@@ -1,9 +1,10 @@
-"""Training over splits: hold-out, k-fold, leave-p-out and nested search, as loops over plans of the splits.
+"""Training over splits: hold-out, k-fold, leave-p-out and nested search.
 
-Each fit is a Spark job over the split's rows; rows are never collected. Metrics of all splits are rows (split_name, metric, value).
+Networks are fitted together: all splits, and in a nested search all parameters of all inner folds, are fits over the same rows and take one scan an epoch (``together``).
+Other models are fitted in a loop over plans of the splits, a Spark job each. Rows are never collected. Metrics of all splits are rows (split_name, metric, value).
 """
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass, field
 from functools import reduce
 from typing import Any
@@ -13,6 +14,7 @@ from pyspark.sql import functions as F
 
 from ..functions.hashing import hash_int
 from ..operators import metrics, results, splits
+from . import models, trainer
 from .config import Config, ConfigError, is_classification, search_space
 from .models import Fitted, chosen
 
@@ -127,22 +129,131 @@ def choose(config: Config) -> str:
     return name if name != "loss" else "accuracy" if is_classification(config["protocol"]) else "mse"
 
 
-def train(config: Config, samples: DataFrame) -> Trained:
+def _dealing(config: Config) -> dict[str, Any]:
+    cv = config.cross_validation
+    return {"k": cv["k"], "repeat": cv.get("repeat") or 1, "stratified": bool(cv.get("stratified")), "seed": config["seed"]}
+
+
+def _fold_column(rows: DataFrame, inside, k: int, repeat: int, r: int, stratified: bool, seed: int, out: str, key: str = "seq_hash") -> DataFrame:
+    """``rows`` with the fold of those that are ``inside``, dealt as ``folds`` deals them; null for the others."""
+    keys = rows.where(inside).select(key, *(["label"] if stratified else [])).distinct()
+    order = [hash_int(str(seed), F.lit(r), F.col(key)), F.col(key)] if repeat > 1 else None
+    return rows.join(splits.k_fold(keys, k, key, order, "label" if stratified else None).select(key, F.col("fold").alias(out)), key, "left")
+
+
+def _codes(config: Config, samples: DataFrame) -> tuple[DataFrame, list[tuple[str, Any]]]:
+    """``samples`` with what tells the outer splits apart, and (name, code column) of each: 1 for training, 2 for validation, 0 for neither."""
+    code = lambda check, learn: F.when(check, trainer.CHECK).when(learn, trainer.TRAIN).otherwise(0)
+    inside = F.col("role").isin("train", "val")
+    if config.cross_validation["method"] == "hold_out":
+        return samples, [("hold_out", code(F.col("role") == "val", F.col("role") == "train"))]
+    d, found = _dealing(config), []
+    for r in range(d["repeat"]):
+        samples = _fold_column(samples, inside, d["k"], d["repeat"], r, d["stratified"], d["seed"], f"_outer{r}")
+        for f in range(d["k"]):
+            name = "-".join(["k_fold"] + ["strat"] * d["stratified"] + ["rep"] * (d["repeat"] > 1) + [str(f + 1)] + [str(r + 1)] * (d["repeat"] > 1))
+            found.append((name, code(F.col(f"_outer{r}") == f, F.col(f"_outer{r}") != f)))
+    return samples, found
+
+
+def can_train_together(config: Config) -> bool:
+    from ..operators.splits import parameter_values
+
+    choices = set(parameter_values(config["model_choice"]))
+    return (config.cross_validation["method"] != "leave_p_out" and config["limited_sample_size"] <= 0 and choices <= set(models.NETWORKS)
+            and len({c in models.SEQUENCES for c in choices}) == 1 and len({c == "CNN" for c in choices}) == 1)
+
+
+@dataclass(frozen=True)
+class Planned:
+    """A network to fit: the split it belongs to, its parameters and its place in the scan."""
+
+    split: str
+    parameters: dict[str, Any]
+    inner: int | None
+    code: Any
+
+
+def _fit_all(config: Config, rows: DataFrame, width: int, names: tuple[str, ...], plan: list[Planned], states=None, commit=None) -> tuple[list[Fitted], list[trainer.State]]:
+    given, fits, options = config.given, [], []
+    for one in plan:
+        o = config.values | one.parameters
+        chosen(o["model_choice"], o["protocol"], given | one.parameters)
+        weighed = rows.where(one.code == trainer.TRAIN) if o.get("use_class_weights") else None
+        fits.append(models.network_fit(o["model_choice"], one.split, width, names, o, weighed))
+        options.append(o)
+    found = trainer.train(rows.withColumn("_uses", F.array(*[p.code.cast("int") for p in plan])), fits, features="_x", states=states, commit=commit)
+    return [models.network_fitted(o["model_choice"], width, names, o, s) for o, s in zip(options, found)], found
+
+
+def together(config: Config, samples: DataFrame, states=None, commit: Callable[[int, list[trainer.State]], None] | None = None) -> Trained:
+    """All splits' networks in one scan an epoch; with a nested search first those of all inner folds and parameters, likewise. ``states`` and ``commit`` are the trainer's, for the outer splits."""
+    protocol, cv, choose_by = config["protocol"], config.cross_validation, choose(config)
+    from ..operators.splits import parameter_values
+
+    per_position = "CNN" in parameter_values(config["model_choice"])
+    names = models.class_names(samples.where("role in ('train', 'val')"), per_position) if is_classification(protocol) else ()
+    rows, outer = _codes(config, samples)
+    ready, width = models.prepared(rows, parameter_values(config["model_choice"])[0], names)
+    best, seen = {name: {} for name, _ in outer}, []
+    if cv.get("nested"):
+        grid = splits.parameter_grid(search_space(config))
+        if cv["search_method"] == "random_search":
+            grid = splits.random_subset(grid, cv["n_max_evaluations_random"], config["seed"])
+        plan, inner_rows = [], ready
+        for n, (name, code) in enumerate(outer):
+            inner_rows = _fold_column(inner_rows, code == trainer.TRAIN, cv["nested_k"], 1, 0, bool(cv.get("stratified")), config["seed"], f"_inner{n}")
+            for parameters in grid:
+                plan += [Planned(name, parameters, i, F.when(F.col(f"_inner{n}") == i, trainer.CHECK).when(F.col(f"_inner{n}").isNotNull(), trainer.TRAIN).otherwise(0)) for i in range(cv["nested_k"])]
+        fitted_all, _ = _fit_all(config, inner_rows, width, names, plan)
+        values = [_value(SplitResult(p.split, p.parameters, metrics.evaluated(measured(f.predict(inner_rows.where(p.code == trainer.CHECK)), per_position), protocol), f), choose_by)
+                  for p, f in zip(plan, fitted_all)]
+        means = {}
+        for p, v in zip(plan, values):
+            means.setdefault((p.split, repr(p.parameters)), (p.parameters, []))[1].append(v)
+        for (name, _), (parameters, each) in means.items():
+            mean = sum(each) / len(each)
+            seen.append((name, parameters, mean))
+            if not best[name] or _better(choose_by, mean, best[name][1]):
+                best[name] = (parameters, mean)
+        best = {name: b[0] for name, b in best.items()}
+    plan = [Planned(name, best[name], None, code) for name, code in outer]
+    fitted_all, _ = _fit_all(config, ready, width, names, plan, states, commit)
+    done = [SplitResult(p.split, p.parameters, metrics.evaluated(measured(f.predict(ready.where(p.code == trainer.CHECK)), per_position), protocol).cache(), f) for p, f in zip(plan, fitted_all)]
+    return _chosen(done, choose_by, seen)
+
+
+def measured(predicted: DataFrame, per_position: bool) -> DataFrame:
+    """Rows to measure: of a sequence with a label for each residue a row for each residue."""
+    if not per_position:
+        return predicted
+    kept = [c for c in predicted.columns if c not in ("seq_hash", "label", "pred", "_x", "_y", "features", "embedding") and not c.startswith(("_outer", "_inner"))]
+    each = predicted.select("seq_hash", *kept, "label", F.posexplode("pred").alias("position", "pred"))
+    return each.select(F.concat_ws("/", "seq_hash", "position").alias("seq_hash"), *kept, "position", F.get("label", "position").alias("label"), "pred")
+
+
+def _chosen(done: list[SplitResult], choose_by: str, seen: list) -> Trained:
+    if not done:
+        raise ValueError("there is no split to train on")
+    best, best_value = None, None
+    for result in done:
+        value = _value(result, choose_by)
+        if best is None or _better(choose_by, value, best_value):
+            best, best_value = result, value
+    every = reduce(DataFrame.unionByName, [r.metrics.select(F.lit(r.name).alias("split_name"), "metric", "value") for r in done])
+    return Trained(done, best, every, results.average_over_splits(every), seen)
+
+
+def train(config: Config, samples: DataFrame, states=None, commit=None) -> Trained:
     """Fits every split; the best one by the chosen metric is kept for the test sets."""
+    if can_train_together(config):
+        return together(config, samples, states, commit)
     nested, choose_by, done, seen = bool(config.cross_validation.get("nested")), choose(config), [], []
-    best, best_value = None, None
     for i, split in enumerate(planned(config, samples)):
         parameters = {}
         if nested:
             parameters, more = searched(config, split, i + 1)
             seen += more
         result = fitted(config, parameters, split)
-        result = SplitResult(result.name, parameters, result.metrics.cache(), result.fitted)
-        value = _value(result, choose_by)
-        if best is None or _better(choose_by, value, best_value):
-            best, best_value = result, value
-        done.append(result)
-    if not done:
-        raise ValueError("there is no split to train on")
-    every = reduce(DataFrame.unionByName, [r.metrics.select(F.lit(r.name).alias("split_name"), "metric", "value") for r in done])
-    return Trained(done, best, every, results.average_over_splits(every), seen)
+        done.append(SplitResult(result.name, parameters, result.metrics.cache(), result.fitted))
+    return _chosen(done, choose_by, seen)
