@@ -13,7 +13,7 @@ Sequences are dealt to step groups in snake order of cost (a linear part and att
 
 Ranks come from counts by (task, length), so no length, however frequent, meets in one task.
 
-Rows: a null or empty text is the end id alone; repeated rows and equal ids are packed each for itself; which of several
+Rows: a null or empty text is the end id alone; repeated rows, equal and null ids are packed each for itself, ids of any size exactly; which of several
 pieces of one length takes which place follows from their order in the input;
 texts of any length are cut into windows; extra columns are left out; an empty table gives an empty result.
 """
@@ -25,7 +25,7 @@ import zlib
 from collections import Counter, defaultdict
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -74,20 +74,21 @@ def pieces(docs: DataFrame, window: int = 2048, vocabulary: str = "byte_bpe_50k"
     def cut_up(batches):
         encode, part, seen = encoder(vocabulary), TaskContext.get().partitionId(), defaultdict(int)
         for batch in batches:
-            out = []
-            for doc_id, text in zip(batch["doc_id"], batch["text"]):
+            out, rows = [], []
+            for i, text in enumerate(batch.column("text").to_pylist()):
                 ids = np.append(encode(text or ""), np.uint32(END_ID)).astype("<u4")
                 n = len(ids)
                 for start in range(0, n, window):
                     length = min(window, n - start)
-                    out.append((doc_id, start, length, zlib.crc32(ids[start:start + length].tobytes()), n, part, seen[length]))
+                    rows.append(i)
+                    out.append((start, length, zlib.crc32(ids[start:start + length].tobytes()), n, part, seen[length]))
                     seen[length] += 1
-            made = pd.DataFrame(out, columns=["doc_id", "start", "length", "ids_crc32", "doc_tokens", "part", "k"])
-            made["doc_id"] = made["doc_id"].astype("Int64")
-            yield made
+            made = list(zip(*out)) if out else [()] * 6
+            kinds = (pa.int64(),) * 4 + (pa.int32(), pa.int64())
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id").take(pa.array(rows, pa.int64())), *[pa.array(c, k) for c, k in zip(made, kinds)]], [c.split()[0] for c in PIECES.split(", ")])
             release()
 
-    return docs.select(F.col("doc_id").cast("long"), "text").mapInPandas(cut_up, PIECES)
+    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(cut_up, PIECES)
 
 
 def cost(lengths: list[int]) -> int:
@@ -176,21 +177,23 @@ def pack(docs: DataFrame, window: int = 2048, step_sequences: int = 64, vocabula
     def put(batches):
         where = places.value
         for b in batches:
-            length, rank = b["length"].to_numpy(), b["rank"].to_numpy()
-            sequence, offset, tier = (np.empty(len(b), np.int64) for _ in range(3))
+            length, rank = (b.column(c).to_numpy(zero_copy_only=False) for c in ("length", "rank"))
+            sequence, offset, tier = (np.empty(b.num_rows, np.int64) for _ in range(3))
             order = np.argsort(length, kind="stable")
-            for rows in np.split(order, np.flatnonzero(np.diff(length[order])) + 1) if len(b) else []:
+            for rows in np.split(order, np.flatnonzero(np.diff(length[order])) + 1) if b.num_rows else []:
                 t = where[int(length[rows[0]])]
                 i = np.searchsorted(t[:, 0], rank[rows], "right") - 1
                 sequence[rows], offset[rows], tier[rows] = t[i, 1] + rank[rows] - t[i, 0], t[i, 2], t[i, 3]
             deal, at = np.divmod(sequence, steps)
-            yield b.drop(columns="rank").assign(sequence_id=sequence, offset=offset, tier=tier,
-                                                step_group=np.where(deal % 2 == 0, at, steps - 1 - at))
+            group = np.where(deal % 2 == 0, at, steps - 1 - at)
+            made = [pa.array(sequence), pa.array(offset), pa.array(tier, pa.int32()), pa.array(group)]
+            names = b.schema.names[:-1]
+            yield pa.RecordBatch.from_arrays([*[b.column(c) for c in names], *made], [*names, "sequence_id", "offset", "tier", "step_group"])
 
     ranked = made.join(firsts, (made["part"] == firsts["p"]) & (made["length"] == firsts["x"])).select(
         "doc_id", "start", "length", "ids_crc32", "doc_tokens", (F.col("first") + F.col("k")).alias("rank"))
-    return ranked.mapInPandas(put, "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, "
-                                   "sequence_id long, offset long, tier int, step_group long")
+    return ranked.mapInArrow(put, "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, "
+                                  "sequence_id long, offset long, tier int, step_group long")
 
 
 def query(spark, sf_dir: str) -> DataFrame:

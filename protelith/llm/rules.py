@@ -10,7 +10,7 @@ histogram from its language's reference exceeds the limit. Guards: the character
 
 Texts are read once: counts and histograms go to the shared checkpoint folder, references and verdicts come from there.
 
-Rows: a null or empty text has no words, fails the base rules and is not kept; texts of any length are counted whole; repeated
+Rows: a null or empty text has no words, fails the base rules and is not kept; a null doc_id stays null, and ids of any size are kept exactly; texts of any length are counted whole; repeated
 rows and equal texts are judged alike, each counting in the reference; a distance equal to its limit passes; extra columns
 are left out; an empty table gives an empty result.
 """
@@ -134,21 +134,17 @@ def judged(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", lang: st
     refs = (spread.where("lang <> ''").groupBy("lang", "k").agg(F.sum("v").alias("v")).groupBy("lang").agg(packed.alias("m"))
             .select("lang", F.transform(F.sequence(F.lit(1), F.lit(WIDTH)), lambda k: (F.col("m")[k] + PRIOR * prior[k - 1]) / (F.col("m")[0] + PRIOR)).alias("reference")))
 
-    def measure(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    @F.pandas_udf("char_distance double, word_distance double")
+    def measure(histograms: pd.Series, references: pd.Series) -> pd.DataFrame:
         k = len(CLASSES)
-        for b in batches:
-            if not len(b):
-                continue
-            h = _histograms(b["histogram"])
-            p = _proportions(h)
-            q = np.array([pooled if r is None else r for r in b["reference"]], float)
-            yield b.drop(columns=["histogram", "reference", "lang"]).assign(
-                char_distance=np.where(h[:, :k].sum(1) >= MIN_CHARS, distances(p[:, :k], q[:, :k]), 0.0),
-                word_distance=np.where(h[:, k:].sum(1) >= MIN_WORDS, distances(p[:, k:], q[:, k:]), 0.0))
-
-    out = rows.join(refs, "lang", "left").mapInPandas(
-        measure, "doc_id long, n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, base_failed boolean, "
-                 "char_distance double, word_distance double")
+        h = _histograms(histograms)
+        p = _proportions(h)
+        q = np.array([pooled if r is None else r for r in references], float).reshape(-1, WIDTH)
+        return pd.DataFrame({"char_distance": np.where(h[:, :k].sum(1) >= MIN_CHARS, distances(p[:, :k], q[:, :k]), 0.0),
+                             "word_distance": np.where(h[:, k:].sum(1) >= MIN_WORDS, distances(p[:, k:], q[:, k:]), 0.0)})
+
+    counts = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed")
+    out = rows.join(refs, "lang", "left").select(F.col("doc_id").cast("long").alias("doc_id"), *counts, measure("histogram", "reference").alias("d")).select("doc_id", *counts, "d.*")
     return out.withColumn("kept", ~F.col("base_failed") & (F.col("char_distance") <= MAX_CHAR_DISTANCE) & (F.col("word_distance") <= MAX_WORD_DISTANCE))
 
 
