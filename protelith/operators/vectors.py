@@ -47,16 +47,30 @@ def nearest_centroid(rows: DataFrame, centroids: DataFrame, vector: str = "scale
     return rows.join(F.broadcast(one)).withColumn(out, near["label"]).drop("_c")
 
 
-def pca(train: DataFrame, rows: DataFrame, n: int, vector: str = "embedding"):
-    """(rows with ``projected``, explained variance); the vectors are centred by the training mean first."""
+def fit_pca(train: DataFrame, n: int, vector: str = "embedding") -> DataFrame:
+    """component, weights, mean and explained: the projection on the first ``n`` principal components, centred by the training mean."""
     from pyspark.ml.feature import PCA
-    from pyspark.ml.functions import array_to_vector, vector_to_array
+    from pyspark.ml.functions import array_to_vector
 
     width = train.select(F.size(vector).alias("w")).first()["w"]
-    mean = fit_scaler(train, "standard", vector).withColumn("scale", F.lit(1.0))
-    as_vector = lambda df: scale(df, mean, vector, "_centred").withColumn("_v", array_to_vector("_centred"))
-    model = PCA(k=min(n, width), inputCol="_v", outputCol="_p").fit(as_vector(train))
-    return model.transform(as_vector(rows)).withColumn("projected", vector_to_array("_p")).drop("_centred", "_v", "_p"), model.explainedVariance.toArray().tolist()
+    centre = fit_scaler(train, "standard", vector).withColumn("scale", F.lit(1.0))
+    model = PCA(k=min(n, width), inputCol="_v", outputCol="_p").fit(scale(train, centre, vector, "_centred").withColumn("_v", array_to_vector("_centred")))
+    mean = [float(r["shift"]) for r in centre.orderBy("dim").collect()]
+    rows = [(i, w.tolist(), mean, float(e)) for i, (w, e) in enumerate(zip(model.pc.toArray().T, model.explainedVariance.toArray()))]
+    return train.sparkSession.createDataFrame(rows, "component int, weights array<double>, mean array<double>, explained double")
+
+
+def project(rows: DataFrame, projection: DataFrame, vector: str = "embedding", out: str = "projected") -> DataFrame:
+    """``rows`` with their vectors on the components of a projection."""
+    one = projection.agg(F.array_sort(F.collect_list(F.struct("component", "weights", "mean"))).alias("_c"))
+    on = lambda c: F.aggregate(F.zip_with(F.zip_with(doubles(F.col(vector)), c["mean"], lambda x, m: x - m), c["weights"], lambda x, w: x * w), F.lit(0.0), lambda a, x: a + x)
+    return rows.join(F.broadcast(one)).withColumn(out, F.transform("_c", on)).drop("_c")
+
+
+def pca(train: DataFrame, rows: DataFrame, n: int, vector: str = "embedding"):
+    """(rows with ``projected``, explained variance); the vectors are centred by the training mean first."""
+    projection = fit_pca(train, n, vector)
+    return project(rows, projection, vector), [r["explained"] for r in projection.orderBy("component").collect()]
 
 
 def append_values(embeddings: DataFrame, values: DataFrame, key: str, vector: str = "embedding", extra: str = "values") -> DataFrame:

@@ -4,7 +4,7 @@ A model is registered for the protocols that it can serve; what it can't act on
 """
 
 from collections.abc import Callable, Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 from typing import Any
 
 import numpy as np
@@ -32,6 +32,7 @@ class Fitted:
     epochs: tuple[tuple[int, float, float], ...] = ()
     best_epoch: int | None = None
     model: Any = None
+    names: tuple[str, ...] = ()
 
 
 @dataclass(frozen=True)
@@ -82,6 +83,8 @@ def built(choice: str, features: int, outputs: int, options: dict[str, Any]) ->
         return feed_forward(features, outputs, (w, w // 2, w // 4), **given)
     if choice == "CNN":
         return convolutional(features, outputs, width or 32, **given)
+    if choice == "Linear":
+        return feed_forward(features, outputs, ())
     if choice == "LightAttention":
         return light_attention(features, outputs, **given)
     raise ConfigError(f"{choice} is no network")
@@ -179,7 +182,7 @@ def linear(train: DataFrame, val: DataFrame | None, o: dict, classes: bool, feat
     weighed = _weights(ready) if o.get("use_class_weights") else ready
     extra = {"weightCol": "_w"} if o.get("use_class_weights") else {}
     model = LogisticRegression(featuresCol="_x", labelCol="_y", predictionCol="_p", maxIter=o["num_epochs"], tol=o["epsilon"], **extra).fit(index.transform(weighed))
-    return Fitted(lambda rows: _named(model.transform(_prepared(rows, features)), index.labels), model=model)
+    return Fitted(lambda rows: _named(model.transform(_prepared(rows, features)), index.labels), model=model, names=tuple(index.labels))
 
 
 def _named(predicted: DataFrame, labels: list[str]) -> DataFrame:
@@ -234,7 +237,25 @@ def perceptron(hidden: tuple[int, ...]) -> Callable:
 def centroid(train: DataFrame, val: DataFrame | None, o: dict, classes: bool, features: str = "features") -> Fitted:
     """The class whose mean vector is nearest."""
     means = vectors.mean_by(train, ["label"], features)
-    return Fitted(lambda rows: vectors.nearest_centroid(rows, means, features, "pred"))
+    return Fitted(lambda rows: vectors.nearest_centroid(rows, means, features, "pred"), model=means)
+
+
+def savable(fitted: Fitted) -> Fitted:
+    """The same with a ``Trained`` in place of what only this session knows, where there is one: linear models and centroids are linear networks."""
+    m, known = fitted.model, type(fitted.model).__name__
+    if known == "LogisticRegressionModel":
+        w, b = m.coefficientMatrix.toArray(), m.interceptVector.toArray()
+        w, b = (np.vstack([-w, w]) / 2, np.r_[-b, b] / 2) if len(w) == 1 and m.numClasses == 2 else (w, b)
+        names = fitted.names
+    elif known == "LinearRegressionModel":
+        w, b, names = m.coefficients.toArray()[None], np.array([m.intercept]), ()
+    elif isinstance(m, DataFrame):  # centroids: the nearest has the largest 2 x c - c c
+        rows = m.orderBy("label").collect()
+        w = 2 * np.array([r["centroid"] for r in rows])
+        b, names = -(w**2).sum(1) / 4, tuple(r["label"] for r in rows)
+    else:
+        return fitted
+    return replace(fitted, model=Trained("Linear", w.shape[1], {}, tuple(names), np.r_[w.T.ravel(), b]))
 
 
 @dataclass(frozen=True)

@@ -11,7 +11,7 @@ from ..functions.hashing import sequence_hash
 from ..functions.sequences import ALPHABET, mask_bits, residue_labels
 from ..operators import baselines, embedders, metrics, results, splits, targets, uncertainty, validate, vectors
 from ..sources import tables
-from . import models
+from . import models, runs
 from .config import Config, ConfigError, is_classification, is_per_residue, needs_residue_embeddings
 from .training import measured, train
 
@@ -138,10 +138,23 @@ def scaling(c: Context) -> Context:
     samples = vectors.scale(c.samples, fitted, out="features")
     c = replace(c, results=c.results | {"scaler": fitted})
     if c.config.values.get("dimension_reduction_method") == "pca":
-        samples, explained = vectors.pca(train(samples), samples, c.config["n_reduced_components"], "features")
-        samples = samples.withColumn("features", F.col("projected")).drop("projected")
-        return replace(c, samples=samples, results=c.results | {"explained_variance": explained})
-    return replace(c, samples=samples)
+        projection = vectors.fit_pca(train(samples), c.config["n_reduced_components"], "features")
+        samples = vectors.project(samples, projection, "features", "features")
+        explained = [r["explained"] for r in projection.orderBy("component").collect()]
+        return _kept(replace(c, samples=samples, results=c.results | {"explained_variance": explained, "projection": projection}))
+    return _kept(replace(c, samples=samples))
+
+
+def _kept(c: Context) -> Context:
+    """With ``output_dir`` the run's folder is begun, or taken up again; the scaler and the projection in it are those to use."""
+    if not c.config.values.get("output_dir"):
+        return c
+    folder = runs.Folder(c.samples.sparkSession, c.config["output_dir"])
+    folder.begin(c.config)
+    for part in ("scaler", "projection"):
+        if part in c.results and not folder.has(part):
+            folder.write(part, c.results[part])
+    return c
 
 
 def _scaled_sequences(c: Context, train: DataFrame) -> Context:
@@ -149,7 +162,7 @@ def _scaled_sequences(c: Context, train: DataFrame) -> Context:
     residues = c.samples.select(F.explode("embedding").alias("embedding"))
     validate.raise_on_violation(_other_widths(residues), "embeddings of several widths")
     fitted = vectors.fit_scaler(train.select(F.explode("embedding").alias("embedding")), c.config["scaling_method"])
-    return replace(c, samples=vectors.scale_sequences(c.samples, fitted, out="features"), results=c.results | {"scaler": fitted})
+    return _kept(replace(c, samples=vectors.scale_sequences(c.samples, fitted, out="features"), results=c.results | {"scaler": fitted}))
 
 
 def _other_widths(samples: DataFrame) -> DataFrame:
@@ -164,7 +177,8 @@ def splitting(c: Context) -> Context:
 
 def training(c: Context) -> Context:
     """Fits every split; the best one predicts all samples outside of training and validation."""
-    done = train(c.config, c.samples)
+    folder = runs.Folder(c.samples.sparkSession, c.config["output_dir"]) if c.config.values.get("output_dir") else None
+    done = train(c.config, c.samples, folder)
     whole = _whole_sequences(c)
     predictions = measured(done.best.fitted.predict(c.samples.where("role not in ('train', 'val')")), whole)
     found = {"splits": done.metrics, "average": done.average, "best_split": done.best.name, "best_parameters": done.best.parameters,

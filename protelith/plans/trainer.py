@@ -78,6 +78,7 @@ class State:
 
     def after(self, fit: Fit, now: np.ndarray, steps: float, training: float, check: float) -> State:
         """The state after an epoch. ``check`` was measured with the parameters that the epoch began with, which are kept if it is the best by a share of ``epsilon``."""
+        training, check = float(training), float(check)
         loss = training if math.isnan(check) else check
         better = loss < self.best_loss * (1 - fit.epsilon) if math.isfinite(self.best_loss) else math.isfinite(loss)
         kept = {"best": self.now[0].copy(), "best_epoch": self.epoch, "best_loss": loss, "left": fit.patience} if better else {"left": self.left - 1}

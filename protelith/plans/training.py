@@ -4,7 +4,8 @@ Networks are fitted together: all splits, and in a nested search all parameters
 Other models are fitted in a loop over plans of the splits, a Spark job each. Rows are never collected. Metrics of all splits are rows (split_name, metric, value).
 """
 
-from collections.abc import Callable, Iterator
+import json
+from collections.abc import Iterator
 from dataclasses import dataclass, field
 from functools import reduce
 from typing import Any
@@ -14,7 +15,7 @@ from pyspark.sql import functions as F
 
 from ..functions.hashing import hash_int
 from ..operators import metrics, results, splits
-from . import models, trainer
+from . import models, runs, trainer
 from .config import Config, ConfigError, is_classification, search_space
 from .models import Fitted, chosen
 
@@ -186,8 +187,9 @@ def _fit_all(config: Config, rows: DataFrame, width: int, names: tuple[str, ...]
     return [models.network_fitted(o["model_choice"], width, names, o, s) for o, s in zip(options, found)], found
 
 
-def together(config: Config, samples: DataFrame, states=None, commit: Callable[[int, list[trainer.State]], None] | None = None) -> Trained:
-    """All splits' networks in one scan an epoch; with a nested search first those of all inner folds and parameters, likewise. ``states`` and ``commit`` are the trainer's, for the outer splits."""
+def together(config: Config, samples: DataFrame, folder=None) -> Trained:
+    """All splits' networks in one scan an epoch; with a nested search first those of all inner folds and parameters, likewise. In a run's ``folder`` the choice of the search, the states
+    after every few epochs of the outer splits, and the finished models are committed, and what is there is not done again."""
     protocol, cv, choose_by = config["protocol"], config.cross_validation, choose(config)
     from ..operators.splits import parameter_values
 
@@ -196,7 +198,11 @@ def together(config: Config, samples: DataFrame, states=None, commit: Callable[[
     rows, outer = _codes(config, samples)
     ready, width = models.prepared(rows, parameter_values(config["model_choice"])[0], names)
     best, seen = {name: {} for name, _ in outer}, []
-    if cv.get("nested"):
+    if folder and all(folder.has(f"models/{name}") for name, _ in outer):
+        return _chosen([_loaded(folder, name) for name, _ in outer], choose_by, _searched(folder)[1], folder)
+    if folder and folder.has("searched"):
+        best, seen = _searched(folder)
+    elif cv.get("nested"):
         grid = splits.parameter_grid(search_space(config))
         if cv["search_method"] == "random_search":
             grid = splits.random_subset(grid, cv["n_max_evaluations_random"], config["seed"])
@@ -217,10 +223,51 @@ def together(config: Config, samples: DataFrame, states=None, commit: Callable[[
             if not best[name] or _better(choose_by, mean, best[name][1]):
                 best[name] = (parameters, mean)
         best = {name: b[0] for name, b in best.items()}
+        if folder:
+            rows = [(name, json.dumps(p), float(m), best[name] == p) for name, p, m in seen]
+            folder.write("searched", samples.sparkSession.createDataFrame(rows, "split_name string, parameters string, mean double, best boolean"))
     plan = [Planned(name, best[name], None, code) for name, code in outer]
-    fitted_all, _ = _fit_all(config, ready, width, names, plan, states, commit)
-    done = [SplitResult(p.split, p.parameters, metrics.evaluated(measured(f.predict(ready.where(p.code == trainer.CHECK)), per_position), protocol).cache(), f) for p, f in zip(plan, fitted_all)]
-    return _chosen(done, choose_by, seen)
+    def commit(epoch: int, states: list[trainer.State]) -> None:
+        if (epoch + 1) % runs.EVERY == 0:
+            folder.keep_states(epoch, states)
+
+    states = folder.states() if folder else None
+    if states is None and (path := config.values.get("pretrained_model")):
+        states = [_pretrained(ready.sparkSession, path, config, plan[0], width, names)]
+    fitted_all, _ = _fit_all(config, ready, width, names, plan, states, commit if folder else None)
+    done = [_finished(p.split, p.parameters, metrics.evaluated(measured(f.predict(ready.where(p.code == trainer.CHECK)), per_position), protocol), f, folder) for p, f in zip(plan, fitted_all)]
+    return _chosen(done, choose_by, seen, folder)
+
+
+def _pretrained(spark, path: str, config: Config, one: Planned, width: int, names: tuple[str, ...]) -> trainer.State:
+    """A first state with the parameters of a finished run's best network, which must have the same shape."""
+    model = runs.Run(spark, path).trained()
+    o = config.values | one.parameters
+    fit = models.network_fit(o["model_choice"], one.split, width, names, o | {"use_class_weights": False})
+    if (model.choice, model.features, model.names, len(model.parameters)) != (o["model_choice"], width, names, fit.network.size):
+        raise ConfigError(f"{path} holds another network than the one to train")
+    state = trainer.State.first(fit)
+    state.now[0], state.best = model.parameters, model.parameters.copy()
+    return state
+
+
+def _finished(name: str, parameters: dict[str, Any], found: DataFrame, fitted: Fitted, folder) -> SplitResult:
+    """The result, committed where there is a folder and the model can be saved."""
+    if folder and isinstance(fitted.model, models.Trained):
+        found = folder.keep_model(name, parameters, fitted, found)
+    return SplitResult(name, parameters, found.cache(), fitted)
+
+
+def _loaded(folder, name: str) -> SplitResult:
+    parameters, fitted, found = folder.model(name)
+    return SplitResult(name, parameters, found, fitted)
+
+
+def _searched(folder) -> tuple[dict[str, Any], list[tuple[str, dict[str, Any], float]]]:
+    if not folder.has("searched"):
+        return {}, []
+    rows = folder.read("searched").collect()
+    return {r["split_name"]: json.loads(r["parameters"]) for r in rows if r["best"]}, [(r["split_name"], json.loads(r["parameters"]), r["mean"]) for r in rows]
 
 
 def measured(predicted: DataFrame, per_position: bool) -> DataFrame:
@@ -232,7 +279,7 @@ def measured(predicted: DataFrame, per_position: bool) -> DataFrame:
     return each.select(F.concat_ws("/", "seq_hash", "position").alias("seq_hash"), *kept, "position", F.get("label", "position").alias("label"), "pred")
 
 
-def _chosen(done: list[SplitResult], choose_by: str, seen: list) -> Trained:
+def _chosen(done: list[SplitResult], choose_by: str, seen: list, folder=None) -> Trained:
     if not done:
         raise ValueError("there is no split to train on")
     best, best_value = None, None
@@ -240,20 +287,26 @@ def _chosen(done: list[SplitResult], choose_by: str, seen: list) -> Trained:
         value = _value(result, choose_by)
         if best is None or _better(choose_by, value, best_value):
             best, best_value = result, value
+    if folder and isinstance(best.fitted.model, models.Trained):
+        folder.write("best", folder.spark.createDataFrame([(best.name,)], "split_name string"))
+        folder.drop("states")
     every = reduce(DataFrame.unionByName, [r.metrics.select(F.lit(r.name).alias("split_name"), "metric", "value") for r in done])
     return Trained(done, best, every, results.average_over_splits(every), seen)
 
 
-def train(config: Config, samples: DataFrame, states=None, commit=None) -> Trained:
-    """Fits every split; the best one by the chosen metric is kept for the test sets."""
+def train(config: Config, samples: DataFrame, folder=None) -> Trained:
+    """Fits every split; the best one by the chosen metric is kept for the test sets. ``folder`` (a ``runs.Folder``) gets each finished split, and gives those that are finished."""
     if can_train_together(config):
-        return together(config, samples, states, commit)
+        return together(config, samples, folder)
     nested, choose_by, done, seen = bool(config.cross_validation.get("nested")), choose(config), [], []
     for i, split in enumerate(planned(config, samples)):
+        if folder and folder.has(f"models/{split.name}"):
+            done.append(_loaded(folder, split.name))
+            continue
         parameters = {}
         if nested:
             parameters, more = searched(config, split, i + 1)
             seen += more
         result = fitted(config, parameters, split)
-        done.append(SplitResult(result.name, parameters, result.metrics.cache(), result.fitted))
-    return _chosen(done, choose_by, seen)
+        done.append(_finished(result.name, parameters, result.metrics, models.savable(result.fitted), folder))
+    return _chosen(done, choose_by, seen, folder)
