@@ -12,7 +12,7 @@ whole sets. Equal sets are collapsed. Then
 3. all pairs that meet and are still in different components are compared.
 
 Before sets are compared, bitmaps of ``SKETCH`` bits are: each bit that only one of them has stands for a shingle that only one set has, so pairs with more
-such bits than similar sets allow are dropped without loss.
+such bits than similar sets allow are dropped without loss; in the last step the join itself does so.
 
 The second and third step are exact for every pair, so groups of near copies are found whole without being enumerated.
 Which shingles count as common is found in a sample. It changes the cost only: any order finds every pair.
@@ -83,12 +83,30 @@ def _sketch(found: np.ndarray) -> np.ndarray:
     return np.packbits(bits, bitorder="little").view(np.int64)
 
 
+def _allowed(a: str, b: str, n: Column, s: Fraction) -> Column:
+    """Whether two sketches allow the similarity of sets of ``n`` shingles together."""
+    apart = sum((F.bit_count(F.col(a)[i].bitwiseXOR(F.col(b)[i])) for i in range(1, SKETCH // 64)), F.bit_count(F.col(a)[0].bitwiseXOR(F.col(b)[0])))
+    return (s.numerator + s.denominator) * apart <= (s.denominator - s.numerator) * n
+
+
 def _possible(pairs: DataFrame, sets: DataFrame, s: Fraction) -> DataFrame:
     """The pairs (a, b) of nodes whose sketches allow the similarity; ``sets`` has node, n and sketch."""
     of = lambda side: sets.select(F.col("node").alias(side), F.col("n").alias(f"n{side}"), F.col("sketch").alias(f"s{side}"))
     both = pairs.join(of("a"), "a").join(of("b"), "b")
-    apart = sum((F.bit_count(F.col("sa")[i].bitwiseXOR(F.col("sb")[i])) for i in range(1, SKETCH // 64)), F.bit_count(F.col("sa")[0].bitwiseXOR(F.col("sb")[0])))
-    return cut(both.where((s.numerator + s.denominator) * apart <= (s.denominator - s.numerator) * (F.col("na") + F.col("nb"))).select("a", "b"))
+    return cut(both.where(_allowed("sa", "sb", F.col("na") + F.col("nb"), s)).select("a", "b"))
+
+
+def met_apart(postings: DataFrame, sets: DataFrame, s: Fraction) -> DataFrame:
+    """Pairs (a, b) of nodes of different roots that meet under a token of ``postings`` (token, node, at, root) and may be similar.
+
+    The sketches stand in the join's own condition: of a large group of near copies that are not similar enough, pairs that can't be are never made into rows.
+    """
+    known = postings.join(sets.select("node", "sketch"), "node")
+    a, b = (known.select("token", *[F.col(c).alias(f"{x}_{c}") for c in ("node", "at", "root", "sketch")]) for x in "ab")
+    size = _place("a_at")[0] + _place("b_at")[0]
+    on = ((a["token"] == b["token"]) & (F.col("a_node") < F.col("b_node")) & (F.col("a_root") != F.col("b_root")) & _enough(_place("a_at"), _place("b_at"), s)
+          & _allowed("a_sketch", "b_sketch", size, s))
+    return a.join(b, on).select(F.col("a_node").alias("a"), F.col("b_node").alias("b")).distinct()
 
 
 def _enough(a: tuple[Column, Column], b: tuple[Column, Column], s: Fraction) -> Column:
@@ -169,10 +187,8 @@ def similar_components(docs: DataFrame, shingle: int = 5, similarity: float = 0.
     placed = rooted(met.select("token", "node", "at"))
     apart = placed.groupBy("token").agg(F.min("root").alias("r0"), F.max("root").alias("r1")).where("r0 < r1").select("token")
     apart = cut(placed.join(apart, "token", "left_semi"))
-    a, b = (apart.select("token", *[F.col(c).alias(f"{x}_{c}") for c in ("node", "at", "root")]) for x in "ab")
-    rest = a.join(b, "token").where((F.col("a_node") < F.col("b_node")) & (F.col("a_root") != F.col("b_root")) & _enough(_place("a_at"), _place("b_at"), s))
-    rest = rest.select(F.col("a_node").alias("a"), F.col("b_node").alias("b")).distinct().join(ahead, ["a", "b"], "left_anti")
-    found = components(links.unionByName(_verified(_possible(rest, sets, s), texts, shingle, s)))
+    rest = cut(met_apart(apart, sets, s).join(ahead, ["a", "b"], "left_anti"))
+    found = components(links.unionByName(_verified(rest, texts, shingle, s)))
     top = classes.join(found, "node", "left").withColumn("root", F.coalesce("root", "node"))
     least = top.groupBy("root").agg(F.min("doc_id").alias("component_id"))
     return prints.select(*row, "key").join(top.select("key", "root").join(least, "root"), "key").select(*row, "component_id")

@@ -1,3 +1,4 @@
+import random
 from collections import defaultdict
 
 import numpy as np
@@ -187,3 +188,26 @@ def test_chains_over_groups_are_closed(spark):
     sets, pairs = brute_similar(rows)
     got = {r.doc_id: r.component_id for r in similar.similar_components(docs).collect()}
     assert got == closed(sets, pairs) and len(set(got.values())) < 40
+
+
+def test_unlike_near_copies_make_few_rows(spark, monkeypatch):
+    """Of 500 members that lie at 0.5 to 0.8 of each other, pairs are not made into rows."""
+    r = random.Random(4)
+    base = [f"w{i}" for i in range(160)]
+    rows = []
+    for d in range(500):
+        words = list(base)
+        for p in r.sample(range(160), r.randint(3, 5)):
+            words[p] = f"x{d}y{p}"
+        rows.append((d, " ".join(words)))
+    docs, made, real = spark.createDataFrame(rows, "doc_id long, text string"), [], similar.met_apart
+
+    def counted(*given):
+        pairs = real(*given).cache()
+        made.append(pairs.count())
+        return pairs
+
+    monkeypatch.setattr(similar, "met_apart", counted)
+    got = {x.doc_id: x.component_id for x in similar.similar_components(docs).collect()}
+    sets, pairs = brute_similar(rows)
+    assert got == closed(sets, pairs) and made[0] < 2 * 500 < 500 * 499 / 200
