@@ -810,4 +810,4 @@ def _plain(found: DataFrame) -> DataFrame:
     return found.withColumns({"start": F.col("start").cast("timestamp_ntz"), "end": F.col("end").cast("timestamp_ntz"), "total": r6(F.col("total"), 4)})
 
 
-from . import queries_results, queries_sequences  # noqa: E402, F401  they register their queries here
+from . import queries_models, queries_results, queries_sequences  # noqa: E402, F401  they register their queries here
