@@ -30,10 +30,13 @@ def read_scales(spark: SparkSession, path: str) -> DataFrame:
     """(letter, values) of a matrix or table of residue scales in text form: a first line with the columns' names, then a letter and its numbers in each line.
 
     That is the format in which substitution matrices such as BLOSUM62 are distributed; lines that start with ``#`` are comments. Columns that are
-    letters outside of the alphabet are left out, those of the alphabet come in its order; other columns keep theirs.
+    letters outside of the alphabet are left out, those of the alphabet come in its order; other columns keep theirs. A letter with two lines is an error.
     """
-    lines = [x.split() for x in (r["value"] for r in spark.read.text(path).limit(1000).collect()) if x.strip() and not x.startswith("#")]  # a table of a row per letter
-    header = lines[0]
+    whole = spark.read.text(path, wholetext=True).first()["value"]  # a line for each letter
+    lines = [x.split() for x in whole.splitlines() if x.strip() and not x.startswith("#")]
+    header, known = lines[0], [x[0] for x in lines[1:]]
+    if twice := sorted({x for x in known if known.count(x) > 1}):
+        raise ValueError(f"{path} has several lines for {', '.join(twice)}")
     by_letter = all(len(h) == 1 for h in header)
     order = [header.index(a) for a in ALPHABET if a in header] if by_letter else list(range(len(header)))
     return spark.createDataFrame([(x[0], [float(x[1 + i]) for i in order]) for x in lines[1:] if x[0] in ALPHABET], "letter string, values array<double>")

@@ -29,8 +29,10 @@ def pseudo_log_likelihood(sequences: DataFrame, log_probs: DataFrame, key: str =
 
 def against_wild_type(scores: DataFrame, wild_type: DataFrame, columns: tuple[str, ...] = ("pppl", "perplexity")) -> DataFrame:
     """Each score of a variant minus that of its wild type (one row); of perplexities small ones are good, the sign stays."""
+    if wild_type.limit(2).count() > 1:
+        raise ValueError("there are several wild types")
     one = wild_type.select(*[F.col(c).alias(f"_{c}") for c in columns])
-    return scores.join(F.broadcast(one.limit(1))).withColumns({c: F.col(c) - F.col(f"_{c}") for c in columns}).drop(*[f"_{c}" for c in columns])
+    return scores.join(F.broadcast(one)).withColumns({c: F.col(c) - F.col(f"_{c}") for c in columns}).drop(*[f"_{c}" for c in columns])
 
 
 def matched_scores(predicted: DataFrame, actual: DataFrame, key: str = "variant") -> DataFrame:

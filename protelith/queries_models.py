@@ -103,12 +103,12 @@ def convolution_words(spark, d):
 
 _COUNTS = """c AS (SELECT substr(t, i, 1) AS l, substr(t, i + 1, 1) AS x, substr(t, i + 2, 1) AS r, count(*) AS n FROM
   (SELECT t, unnest(range(1, length(t) - 1)) AS i FROM (SELECT regexp_replace(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^a-z]', ' ', 'g') AS t FROM documents WHERE length(text) > 2)) GROUP BY ALL),
-p AS (SELECT p_partkey, p_name, 1 + p_partkey % length(p_name) AS at FROM part),
-v AS (SELECT p_partkey, substr(' ' || p_name || ' ', at, 1) AS l, substr(p_name, at, 1) AS wt, substr(' ' || p_name || ' ', at + 2, 1) AS r, chr(97 + (p_partkey % 26)::INTEGER) AS mt, at FROM p)"""
+p AS (SELECT p_partkey, p_name, 1 + p_partkey % length(p_name) AS pos FROM part),
+v AS (SELECT p_partkey, substr(' ' || p_name || ' ', pos, 1) AS l, substr(p_name, pos, 1) AS wt, substr(' ' || p_name || ' ', pos + 2, 1) AS r, chr(97 + (p_partkey % 26)::INTEGER) AS mt, pos FROM p)"""
 
 
 @query(f"""WITH {_COUNTS}
-SELECT v.p_partkey, wt || at || mt AS variant, round(ln(coalesce(m.n, 0) + 1) - ln(coalesce(w.n, 0) + 1), 6) AS score FROM v
+SELECT v.p_partkey, wt || pos || mt AS variant, round(ln(coalesce(m.n, 0) + 1) - ln(coalesce(w.n, 0) + 1), 6) AS score FROM v
 LEFT JOIN c m ON m.l = v.l AND m.r = v.r AND m.x = v.mt LEFT JOIN c w ON w.l = v.l AND w.r = v.r AND w.x = v.wt WHERE wt BETWEEN 'a' AND 'z'""")
 def zero_shot_masked_marginals(spark, d):
     """One variant of each part name, scored with a model counted from ``documents`` by masking each place."""
@@ -116,7 +116,7 @@ def zero_shot_masked_marginals(spark, d):
 
 
 @query(f"""WITH {_COUNTS}
-SELECT v.p_partkey, wt || at || mt AS variant, round(ln(coalesce(m.n, 0) + 1) - ln(coalesce(w.n, 0) + 1), 6) AS score FROM v
+SELECT v.p_partkey, wt || pos || mt AS variant, round(ln(coalesce(m.n, 0) + 1) - ln(coalesce(w.n, 0) + 1), 6) AS score FROM v
 LEFT JOIN c m ON m.l = v.l AND m.r = v.r AND m.x = v.mt LEFT JOIN c w ON w.l = v.l AND w.r = v.r AND w.x = v.wt WHERE wt BETWEEN 'a' AND 'z'""")
 def zero_shot_wild_type_marginals(spark, d):
     """The same from one pass of each name without masks, which a model that looks at neighbours only can't tell apart."""

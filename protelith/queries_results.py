@@ -141,10 +141,11 @@ def assays_unmatched(spark, d):
     return results.unmatched(a.where(~F.col("assay").endswith("7")), r.where(~F.col("assay").endswith("3")))
 
 
-@query("SELECT text AS seq, lang AS target, CASE source WHEN 'src0' THEN 'train' WHEN 'src1' THEN 'val' WHEN 'src2' THEN 'test' ELSE 'test-extra' END AS set FROM documents WHERE source IN ('src0', 'src1', 'src2', 'src3')")
+@query("SELECT text AS seq, lang AS target, CASE source WHEN 'src0' THEN 'train' WHEN 'src1' THEN 'val' WHEN 'src2' THEN 'test' ELSE 'test-extra' END AS set FROM documents")
 def subsets_as_records(spark, d):
     docs = read(spark, d, "documents")
-    parts = {name: docs.where(F.col("source") == s) for name, s in (("Train_1", "src0"), ("validation", "src1"), ("TEST", "src2"), ("extra", "src3"))}
+    own = {"Train_1": "src0", "validation": "src1", "TEST": "src2"}
+    parts = {name: docs.where(F.col("source") == s) for name, s in own.items()} | {"extra": docs.where(~F.coalesce(F.col("source").isin(*own.values()), F.lit(False)))}
     return tables.union_subsets(parts, "text", "lang").select("seq", "target", "set")
 
 

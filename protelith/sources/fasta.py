@@ -7,6 +7,11 @@ from pyspark.sql import functions as F
 ATTRIBUTE = r"([A-Z_]+)=([^ ]+)"
 
 
+def _stripped(text: Column) -> Column:
+    """Without white space of any kind at either end."""
+    return F.regexp_replace(text, r"^\s+|\s+$", "")
+
+
 def parse_records(records: DataFrame, multiline: str = "concat") -> DataFrame:
     """seq_id, seq, attributes from rows ``value`` that each hold a record without its ``>``.
 
@@ -14,10 +19,10 @@ def parse_records(records: DataFrame, multiline: str = "concat") -> DataFrame:
     """
     if multiline not in ("concat", "last"):
         raise ValueError(multiline)
-    lines = F.filter(F.split("value", r"\r?\n"), lambda x: F.trim(x) != "")
+    lines = F.filter(F.split("value", r"\r?\n"), lambda x: _stripped(x) != "")
     body = F.slice("lines", 2, F.greatest(F.size("lines") - 1, F.lit(0)))
-    seq = F.array_join(F.transform(body, F.trim), "") if multiline == "concat" else F.when(F.size("lines") > 1, F.trim(F.element_at("lines", -1))).otherwise("")
-    return (records.withColumn("lines", lines).where(F.size("lines") > 0).withColumn("header", F.trim(F.col("lines")[0]))
+    seq = F.array_join(F.transform(body, _stripped), "") if multiline == "concat" else F.when(F.size("lines") > 1, _stripped(F.element_at("lines", -1))).otherwise("")
+    return (records.withColumn("lines", lines).where(F.size("lines") > 0).withColumn("header", _stripped(F.col("lines")[0]))
             .select(F.regexp_extract("header", r"^\S+", 0).alias("seq_id"), seq.alias("seq"), attributes(F.col("header")).alias("attributes")))
 
 
@@ -30,7 +35,7 @@ def attributes(header: Column) -> Column:
 
 def read_fasta(spark: SparkSession, path: str, multiline: str = "concat") -> DataFrame:
     """seq_id, seq, attributes, and the columns target, set, mask, interactor. ``>`` may stand at line starts only."""
-    raw = spark.read.option("lineSep", "\n>").text(path).select(F.regexp_replace("value", "^>", "").alias("value")).where(F.trim("value") != "")
+    raw = spark.read.option("lineSep", "\n>").text(path).select(F.regexp_replace("value", "^>", "").alias("value")).where(_stripped(F.col("value")) != "")
     return promoted(parse_records(raw, multiline))
 
 

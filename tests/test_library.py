@@ -328,3 +328,23 @@ def test_stream_matches_batch(spark, tmp_path):
     finally:
         q.stop()
     assert {(r.start, r.event_type): r.n for r in spark.table("counts").collect()} == batch
+
+
+def test_fasta_with_any_line_ends_and_tabs(spark, tmp_path):
+    path = tmp_path / "crlf.fasta"
+    path.write_bytes(b">a TARGET=x SET=train\t\r\nACD\r\nEF\r\n\r\n>b\r\n GH\t\r\n\t\r\n>c TARGET=y\r\nKL\r\n")
+    got = {r.seq_id: (r.seq, r.target, r.set) for r in fasta.read_fasta(spark, str(path)).collect()}
+    assert got == {"a": ("ACDEF", "x", "train"), "b": ("GH", None, None), "c": ("KL", "y", None)}
+    assert {r.seq_id: r.seq for r in fasta.read_fasta(spark, str(path), "last").collect()} == {"a": "EF", "b": "GH", "c": "KL"}
+
+
+def test_scales_and_wild_types_that_are_not_one(spark, tmp_path):
+    path = tmp_path / "scale.txt"
+    path.write_text("# a comment\n" * 2000 + "x y\nA 1 2\nC 3 4\n")
+    assert {r.letter: r["values"] for r in embedders.read_scales(spark, str(path)).collect()} == {"A": [1.0, 2.0], "C": [3.0, 4.0]}
+    path.write_text("x\nA 1\nC 2\nA 3\n")
+    with pytest.raises(ValueError, match="several lines for A"):
+        embedders.read_scales(spark, str(path))
+    rows = spark.createDataFrame([(1.0, 2.0), (3.0, 4.0)], "pppl double, perplexity double")
+    with pytest.raises(ValueError, match="several wild types"):
+        variants.against_wild_type(rows, rows)
