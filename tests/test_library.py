@@ -340,9 +340,9 @@ def test_fasta_with_any_line_ends_and_tabs(spark, tmp_path):
 
 def test_scales_and_wild_types_that_are_not_one(spark, tmp_path):
     path = tmp_path / "scale.txt"
-    path.write_text("# a comment\n" * 2000 + "x y\nA 1 2\nC 3 4\n")
+    path.write_text("# a comment\n" * 2000 + "first second\nA 1 2\nC 3 4\n")
     assert {r.letter: r["values"] for r in embedders.read_scales(spark, str(path)).collect()} == {"A": [1.0, 2.0], "C": [3.0, 4.0]}
-    path.write_text("x\nA 1\nC 2\nA 3\n")
+    path.write_text("first\nA 1\nC 2\nA 3\n")
     with pytest.raises(ValueError, match="several lines for A"):
         embedders.read_scales(spark, str(path))
     rows = spark.createDataFrame([(1.0, 2.0), (3.0, 4.0)], "pppl double, perplexity double")
