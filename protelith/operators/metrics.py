@@ -2,7 +2,7 @@
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .splits import running_before
@@ -116,13 +116,44 @@ SUITES = {
 }
 
 
+def _long(found: DataFrame, keys: list[str]) -> DataFrame:
+    values = [c for c in found.columns if c not in keys]
+    return found.select(*keys, F.explode(F.array(*[F.struct(F.lit(v).alias("metric"), F.col(v).cast("double").alias("value")) for v in values])).alias("m")).select(*keys, "m.*")
+
+
+def class_suite(matrix: DataFrame, keys: list[str] = ()) -> DataFrame:
+    """keys, metric, value of a confusion matrix: what ``classification`` gives, micro averages, accuracy, precision, recall and f1 of each class, the rank correlation of the classes in
+    order of name, and where at most two classes occur precision, recall and f1_score with the later one as positive. All come from the counts by pair of classes."""
+    keys = list(keys)
+    overall = classification(matrix, keys)
+    micro = overall.select(*keys, *[F.col("accuracy").alias(f"micro_{c}") for c in ("precision", "recall", "f1")])
+    classes = per_class(matrix, keys)
+    names = {"accuracy": "recall", "precision": "precision", "recall": "recall", "f1": "f1"}
+    each = classes.select(*keys, F.explode(F.array(*[F.struct(F.concat(F.lit(f"{m} class "), F.col("class").cast("string")).alias("metric"), F.col(c).alias("value")) for m, c in names.items()])).alias("m")).select(*keys, "m.*")
+    two = classes.groupBy(*keys).agg(F.count("*").alias("_n"), *[F.max_by(c, "class").alias(out) for c, out in (("precision", "precision"), ("recall", "recall"), ("f1", "f1_score"))]).where("_n <= 2").drop("_n")
+    ranks = matrix
+    for side in ("label", "pred"):
+        counted = matrix.groupBy(*keys, side).agg(F.sum("n").alias("_c"))
+        before = F.coalesce(F.sum("_c").over(Window.partitionBy(*keys).orderBy(side).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))  # a row for each class
+        counted = counted.select(*[F.col(k).alias(f"_k{i}") for i, k in enumerate(keys)], F.col(side).alias("_v"), (before + (F.col("_c") + 1) / 2.0).alias(f"_{side}"))
+        same = F.col(side).eqNullSafe(F.col("_v"))
+        for i, k in enumerate(keys):
+            same = same & F.col(k).eqNullSafe(F.col(f"_k{i}"))
+        ranks = ranks.join(counted, same).drop("_v", *[f"_k{i}" for i in range(len(keys))])
+    a, b, n = F.col("_label"), F.col("_pred"), F.col("n")
+    sums = ranks.groupBy(*keys).agg(F.sum(n).alias("n"), *[F.sum(n * x).alias(out) for x, out in ((a, "a"), (b, "b"), (a * b, "ab"), (a * a, "aa"), (b * b, "bb"))])
+    spread = lambda x: F.col(f"{x}{x}") * F.col("n") - F.col(x) * F.col(x)
+    rank = sums.select(*keys, F.coalesce(F.try_divide(F.col("ab") * F.col("n") - F.col("a") * F.col("b"), F.sqrt(spread("a")) * F.sqrt(spread("b"))), F.lit(0.0)).alias("spearman"))
+    return reduce(DataFrame.unionByName, [*(_long(x, keys) for x in (overall, micro, two, rank)), each])
+
+
 def evaluated(rows: DataFrame, protocol: str, keys: list[str] = (), key: str = "seq_hash") -> DataFrame:
-    """keys, metric, value: the suite of the protocol over label and pred, a row per metric; two classes 0 and 1 also get the binary metrics."""
+    """keys, metric, value: the suite of the protocol over label and pred, a row per metric."""
     keys, parts = list(keys), []
     used = rows.where("label is not null")
     for kind in SUITES[protocol]:
-        found = {"classification": lambda: classification(confusion(used, keys), keys), "regression": lambda: regression(used, keys),
-                 "spearman": lambda: spearman(used, keys), "ndcg": lambda: ndcg(used, keys, key)}[kind]()
-        values = [c for c in found.columns if c not in keys]
-        parts.append(found.select(*keys, F.explode(F.array(*[F.struct(F.lit(v).alias("metric"), F.col(v).cast("double").alias("value")) for v in values])).alias("m")).select(*keys, "m.*"))
+        if kind == "classification":
+            parts.append(class_suite(confusion(used, keys), keys))
+            continue
+        parts.append(_long({"regression": lambda: regression(used, keys), "spearman": lambda: spearman(used, keys), "ndcg": lambda: ndcg(used, keys, key)}[kind](), keys))
     return reduce(DataFrame.unionByName, parts)

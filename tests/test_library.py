@@ -348,3 +348,25 @@ def test_scales_and_wild_types_that_are_not_one(spark, tmp_path):
     rows = spark.createDataFrame([(1.0, 2.0), (3.0, 4.0)], "pppl double, perplexity double")
     with pytest.raises(ValueError, match="several wild types"):
         variants.against_wild_type(rows, rows)
+
+
+@pytest.mark.parametrize("classes", ["ab", "abc"])
+def test_class_suite_from_counts(spark, classes):
+    r = np.random.default_rng(3)
+    label, pred = (r.choice(list(classes), 60) for _ in "lp")
+    rows = spark.createDataFrame([("k" if i % 4 else "other", a if i else None, b) for i, (a, b) in enumerate(zip(label.tolist(), pred.tolist()))], "grp string, label string, pred string")
+    got = {(x.grp, x.metric): x.value for x in metrics.evaluated(rows, "sequence_to_class", ["grp"]).collect()}
+    for grp, keep in (("k", np.arange(60) % 4 > 0), ("other", np.arange(60) % 4 == 0)):
+        keep = keep & (np.arange(60) > 0)
+        a, b = label[keep], pred[keep]
+        acc = (a == b).mean()
+        assert all(abs(got[grp, m] - acc) < 1e-12 for m in ("accuracy", "micro_precision", "micro_recall", "micro_f1"))
+        for c in classes:
+            tp, of, said = ((a == c) & (b == c)).sum(), (a == c).sum(), (b == c).sum()
+            want = {"precision": tp / max(said, 1), "recall": tp / max(of, 1), "accuracy": tp / max(of, 1), "f1": 2 * tp / max(of + said, 1)}
+            assert all(abs(got[grp, f"{m} class {c}"] - v) < 1e-12 for m, v in want.items())
+            if classes == "ab" and c == "b":
+                assert all(abs(got[grp, m] - want[n]) < 1e-12 for m, n in (("precision", "precision"), ("recall", "recall"), ("f1_score", "f1")))
+        assert ((grp, "f1_score") in got) == (classes == "ab")
+        rank = lambda v: np.array([(v < x).sum() + ((v == x).sum() + 1) / 2 for x in v])
+        assert abs(got[grp, "spearman"] - np.corrcoef(rank(a), rank(b))[0, 1]) < 1e-9
