@@ -11,8 +11,8 @@ hashed in both forms, in one pass, and joined with the benchmark's windows. A do
   stay distinct. Any capitalised word may be a name, so that names at the start of a sentence or of the text count; what is
   no name must stand for itself as any value must.
 
-Hashes of the benchmark's windows, eight bytes each, are broadcast to drop all other windows if there are at most ``BROADCAST``
-of them, else joined by a shuffle; the windows that are left meet the benchmark's in a shuffled join, and are compared word by word.
+A bitmap of the hashes of the benchmark's windows, of one size whatever their number, is broadcast and drops most other windows beside their text; of those that are left only the
+window's own words move to a shuffled join with the benchmark's windows, where they are compared word by word. So a row that moves has a bounded size, however long its text.
 
 Rows: null or short texts have no windows; texts of any length are read whole; an item shorter than a window is one window of
 its own length; an item without a word never matches, null item ids are skipped, and several items may be leaked at once; rows are judged by their own
@@ -25,9 +25,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut
+from .common import cut, possibly_among
 
-WINDOW, COVERAGE, BROADCAST = 8, 0.5, 2_000_000
+WINDOW, COVERAGE = 8, 0.5
 BREAK = r"[^\p{L}\p{N}]+"
 NUMBER, NAME, UNIT = "zznumber", "zzname", "zzunit"
 NUMBERS = ("zero|one|two|three|four|five|six|seven|eight|nine|ten|eleven|twelve|thirteen|fourteen|fifteen|sixteen|seventeen|eighteen|nineteen|"
@@ -75,7 +75,7 @@ def _items(benchmark: DataFrame, item_id: str, text: str) -> DataFrame:
                                               F.struct(F.lit("template").alias("form"), hashed("template").alias("h")))).alias("f")).select("*", "f.*").drop("f")
 
 
-def _hits(docs: DataFrame, windows: DataFrame, lengths: list[int], n: int) -> DataFrame:
+def _hits(docs: DataFrame, windows: DataFrame, lengths: list[int]) -> DataFrame:
     """``docs`` (keys and text): keys, pos, the document's words there, and the item's window, for each window in common in either form."""
     keys = [c for c in docs.columns if c != "text"]
     body = joined_numbers(F.coalesce(F.col("text"), F.lit("")))
@@ -84,8 +84,7 @@ def _hits(docs: DataFrame, windows: DataFrame, lengths: list[int], n: int) -> Da
     both = [F.struct(F.lit(k).alias("length"), F.when(F.col("pos") + k <= F.size("p"), _hash(c, "pos", k)).alias("h")) for k in lengths for c in "pt"]
     keep = F.array_distinct(F.array(*both)) if len(lengths) > 1 else F.array(*both)
     each = each.select("*", F.explode(keep).alias("w")).select(*keys, "p", "t", "pos", "w.length", "w.h").where("h is not null")
-    known = windows.select(F.col("h").alias("_h")).distinct()
-    met = each.join(F.broadcast(known) if n <= BROADCAST else known, F.col("h") == F.col("_h"), "left_semi")
+    met = possibly_among(each, "h", windows.select("h"))
     there = lambda c: F.slice(F.col(c), F.col("pos") + 1, F.col("length"))
     met = met.select(*keys, "pos", "h", there("p").alias("theirs"), there("t").alias("their_form")).distinct()
     found = met.join(windows, "h")
@@ -104,8 +103,8 @@ def _leaks(docs: DataFrame, benchmark: DataFrame, coverage: float, item_id: str,
     """keys, item_id, form, n_matched, n_words, coverage of ``docs`` (keys and text)."""
     keys = [c for c in docs.columns if c != "text"]
     windows = cut(_items(benchmark, item_id, item_text))
-    sizes = windows.groupBy("length").agg(F.count("*").alias("n")).collect()  # at most WINDOW rows
-    hits = cut(_hits(docs, windows, sorted(r["length"] for r in sizes) or [WINDOW], sum(r["n"] for r in sizes)))
+    lengths = sorted(r["length"] for r in windows.select("length").distinct().collect())  # at most WINDOW rows
+    hits = cut(_hits(docs, windows, lengths or [WINDOW]))
     spot = F.collect_set(F.struct("wpos", "length"))  # as many as the item has windows, at most
     tallied = [_covered(spot).alias("covered"), F.countDistinct("wpos").alias("n_matched"), F.max("n_words").alias("n_words")]
     enough = F.col("covered") >= coverage * F.col("n_words")

@@ -4,7 +4,7 @@ from collections import defaultdict
 
 import pytest
 
-from protelith.llm import decontaminate
+from protelith.llm import common, decontaminate
 
 from .conftest import SMALL
 
@@ -81,9 +81,10 @@ def test_plain_coverage(spark):
     assert leaked(spark, ["say hello, there (world) now"], [item, "hello there world"]) == {(0, 1): "plain"}
 
 
-@pytest.mark.parametrize("bound", [0, decontaminate.BROADCAST])
-def test_query_matches_brute_force(spark, plain, monkeypatch, bound):
-    monkeypatch.setattr(decontaminate, "BROADCAST", bound)
+@pytest.mark.parametrize("bits", [7, common.BITMAP_BITS])
+def test_query_matches_brute_force(spark, plain, monkeypatch, bits):
+    """With a bitmap that is full, and so drops nothing, too."""
+    monkeypatch.setattr(common, "BITMAP_BITS", bits)
     items = {r.item_id: r.text for r in spark.read.parquet(f"{SMALL}/benchmark.parquet").collect()}
     want = brute(dict(plain), items)
     got = {(r.doc_id, r.item_id): r.form for r in decontaminate.query(spark, SMALL).collect()}
@@ -122,3 +123,12 @@ def test_rows_are_judged_by_their_own_text(spark):
     docs = spark.createDataFrame([(1, " ".join(words[:15])), (1, " ".join(words[20:35])), (None, " ".join(words)), (2, " ".join(words[:20]))], "doc_id long, text string")
     bench = spark.createDataFrame([(1, " ".join(words))], "item_id long, text string")
     assert [(r.doc_id, len(r.text.split())) for r in decontaminate.drop_leaks(docs, bench).collect()] == [(1, 15), (1, 15)]
+
+
+def test_long_texts_move_as_windows_only(spark, monkeypatch):
+    """Nothing is dropped by the bitmap, and what is shuffled is still eight words a position, not the text."""
+    monkeypatch.setattr(common, "BITMAP_BITS", 7)
+    words = [f"word{i % 9973}x{i % 31}" for i in range(30_000)]
+    docs = spark.createDataFrame([(i, " ".join(words[i:] + words[:i])) for i in range(4)], "doc_id long, text string")
+    bench = spark.createDataFrame([(1, " ".join(words[500:530])), (2, "none of these words is there at all in any text")], "item_id long, text string")
+    assert sorted((r.doc_id, r.item_id, r.n_matched) for r in decontaminate.leaks(docs, bench).where("form = 'plain'").collect()) == [(i, 1, 23) for i in range(4)]
