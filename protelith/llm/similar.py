@@ -138,6 +138,16 @@ def _verified(pairs: DataFrame, docs: DataFrame, length: int, s: Fraction) -> Da
     return cut(pairs.join(right, "b").join(left, "a").where(similar("ta", "tb")).select("a", "b"))
 
 
+def _joined(roots: DataFrame, pairs: DataFrame) -> DataFrame:
+    """(node, root) after more links (a, b) of nodes: only the roots that they join are met again, however many links there are."""
+    of = lambda side: roots.select(F.col("node").alias(side), F.col("root").alias(f"r{side}"))
+    between = pairs.join(of("a"), "a", "left").join(of("b"), "b", "left").select(F.coalesce("ra", "a").alias("a"), F.coalesce("rb", "b").alias("b")).where("a <> b").distinct()
+    above = components(between)
+    fresh = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct().join(roots, "node", "left_anti").select("node", F.col("node").alias("root"))
+    top = above.select(F.col("node").alias("root"), F.col("root").alias("top"))
+    return cut(roots.unionByName(fresh).join(top, "root", "left").select("node", F.coalesce("top", "root").alias("root")))
+
+
 def similar_components(docs: DataFrame, shingle: int = 5, similarity: float = 0.8) -> DataFrame:
     """doc_id, _k1, _k2 (hashes of the text), component_id (the smallest doc_id reachable over similar pairs) for every row of ``docs`` (doc_id, text).
 
@@ -181,14 +191,13 @@ def similar_components(docs: DataFrame, shingle: int = 5, similarity: float = 0.
     rooted = lambda df: df.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
     root_of = lambda side: roots.select(F.col("node").alias(side), F.col("root").alias(f"r{side}"))
     others = ahead.join(root_of("a"), "a", "left").join(root_of("b"), "b", "left").where(F.coalesce("ra", "a") != F.coalesce("rb", "b")).select("a", "b")
-    links = links.unionByName(_verified(_possible(others, sets, s), texts, shingle, s))
-    roots = components(links)
+    roots = _joined(roots, _verified(_possible(others, sets, s), texts, shingle, s))
 
     placed = rooted(met.select("token", "node", "at"))
     apart = placed.groupBy("token").agg(F.min("root").alias("r0"), F.max("root").alias("r1")).where("r0 < r1").select("token")
     apart = cut(placed.join(apart, "token", "left_semi"))
     rest = cut(met_apart(apart, sets, s).join(ahead, ["a", "b"], "left_anti"))
-    found = components(links.unionByName(_verified(rest, texts, shingle, s)))
+    found = _joined(roots, _verified(rest, texts, shingle, s))
     top = classes.join(found, "node", "left").withColumn("root", F.coalesce("root", "node"))
     least = top.groupBy("root").agg(F.min("doc_id").alias("component_id"))
     return prints.select(*row, "key").join(top.select("key", "root").join(least, "root"), "key").select(*row, "component_id")
