@@ -341,19 +341,24 @@ def continuous_bins(spark, d):
     return splits.continuous_bins(read(spark, d, "events"), "value").groupBy(F.col("bin").cast("long").alias("bin")).agg(F.count("*").alias("n"))
 
 
-_HP = {"model": ["CNN", "FNN"], "learning_rate": "[0.001, 0.0001]", "num_epochs": "range(10, 40, 10)"}
-_HP_SQL = """SELECT (row_number() OVER (ORDER BY i, j, k) - 1)::INTEGER AS hp_id, m AS model, l AS learning_rate, e AS num_epochs
-FROM (VALUES (0, 'CNN'), (1, 'FNN')) a(i, m), (VALUES (0, '0.001'), (1, '0.0001')) b(j, l), (VALUES (0, '10'), (1, '20'), (2, '30')) c(k, e)"""
+_HP_SQL = """SELECT (row_number() OVER (ORDER BY m, l, e) - 1)::INTEGER AS hp_id, m AS model, l AS learning_rate, e AS num_epochs
+FROM (SELECT DISTINCT event_type AS m FROM events), (SELECT DISTINCT lang AS l FROM documents), (SELECT DISTINCT source AS e FROM documents)"""
+
+
+def _hp(spark, d) -> DataFrame:
+    """The grid of what stands for three hyper-parameters in the tables: the product of their distinct values, which are few."""
+    of = {"model": ("events", "event_type"), "learning_rate": ("documents", "lang"), "num_epochs": ("documents", "source")}
+    return splits.grid_table(spark, {k: sorted(r[0] for r in read(spark, d, t).select(c).distinct().collect()) for k, (t, c) in of.items()})
 
 
 @query(_HP_SQL)
 def hp_grid(spark, d):
-    return splits.grid_table(spark, _HP).select("hp_id", *[F.col("parameters")[k].alias(k) for k in _HP])
+    return _hp(spark, d).select("hp_id", *[F.col("parameters")[k].alias(k) for k in ("model", "learning_rate", "num_epochs")])
 
 
 @query(f"SELECT hp_id FROM ({_HP_SQL}) ORDER BY {sql_hash(chr(39) + '42' + chr(39), 'hp_id')}, hp_id LIMIT 5")
 def hp_random(spark, d):
-    return splits.random_rows(splits.grid_table(spark, _HP), 5, "hp_id").select("hp_id")
+    return splits.random_rows(_hp(spark, d), 5, "hp_id").select("hp_id")
 
 
 LOSSES = f"loss AS (SELECT user_id, row_number() OVER (PARTITION BY user_id ORDER BY event_id) - 1 AS epoch, value AS loss FROM events)"
