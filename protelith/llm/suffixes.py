@@ -16,7 +16,9 @@ length (6 of 31 residues) takes 19 %. The steps:
 Samples and strings travel as packed arrays, one row for each task's flush and range of names (answers: for
 each range and home of the texts they go back to), and each
 flush keeps one entry for equal samples, so a passage shared by very many documents arrives once a
-flush. Whatever text is shuffled is compressed before. Strings are compared by two 64-bit hashes (over 100 effective bits).
+flush. Names travel as their upper five bytes: names that agree by chance only bring strings to step 3 that find no equal there.
+Texts are dealt once by doc_id and version, compressed; the same shuffle files serve the strings around samples and the cut at the end.
+Strings are compared by two 64-bit hashes (over 100 effective bits).
 
 Rows: null texts count as empty; a null doc_id is neither smaller nor larger than another, so such rows
 neither lose nor cause removals; rows with equal doc_id never remove from each other, so ties stay; repeated rows are
@@ -41,6 +43,9 @@ NAMES_PER_RANGE, STRINGS_PER_RANGE = 1 << 20, 1 << 15
 U64 = np.uint64
 K1, K2, K3 = (U64(k) for k in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9))
 ONE, HIGH, LOW = U64(1), U64(0xFFFFFFFF00000000), U64(0xFFFFFFFF)
+NAME_BYTES = 5  # of a name's eight that are sent, the upper ones
+SENT = ~((ONE << U64(64 - 8 * NAME_BYTES)) - ONE)
+SEVERAL = ONE << U64(64 - 8 * NAME_BYTES)  # the lowest bit sent says: found in several documents
 
 
 def _loads(data: np.ndarray, kind: str, n: int, at: int) -> np.ndarray:
@@ -108,6 +113,18 @@ def chunks(texts: pa.Array, match: int = MATCH):
         i = j
 
 
+def _sent(names: np.ndarray) -> bytes:
+    return np.ascontiguousarray(names.astype("<u8").view(np.uint8).reshape(-1, 8)[:, 8 - NAME_BYTES:]).tobytes()
+
+
+def _received(parts) -> np.ndarray:
+    """The names of several _sent() in turn; what was not sent is zero."""
+    sent = np.frombuffer(b"".join(parts), np.uint8).reshape(-1, NAME_BYTES)
+    names = np.zeros((len(sent), 8), np.uint8)
+    names[:, 8 - NAME_BYTES:] = sent
+    return names.view("<u8").ravel()
+
+
 def _by(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """A stable order that sorts ``keys``, and where each new key starts in it."""
     order = np.argsort(keys, kind="stable")
@@ -129,7 +146,7 @@ def _by_home(version: np.ndarray, name: np.ndarray, homes: int) -> list[tuple[in
     for rows in np.split(order, at[1:]):
         v = version[rows]
         cuts = np.flatnonzero(np.r_[True, v[1:] != v[:-1]])
-        out.append((int(home[rows[0]]), name[rows].tobytes(), v[cuts].tobytes(), np.diff(np.r_[cuts, len(v)]).astype(np.int32).tobytes()))
+        out.append((int(home[rows[0]]), _sent(name[rows]), v[cuts].tobytes(), np.diff(np.r_[cuts, len(v)]).astype(np.int32).tobytes()))
     return out
 
 
@@ -145,17 +162,17 @@ def _sampler(ranges: int):
         doc_sorted = doc[order]
         many = np.minimum.reduceat(doc_sorted, at) != np.maximum.reduceat(doc_sorted, at)
         known = order[np.repeat(many, size)]
-        out = [(home, *packed) for home, *packed in ((h, h, *rest) for h, *rest in _by_home(doc[known], name[known], ranges))]
+        out = [(home, *packed) for home, *packed in ((h, h, *rest) for h, *rest in _by_home(doc[known], name[known] | SEVERAL, ranges))]
         first = order[at]
-        sent = np.where(many, name[first], name[first] ^ ONE)  # the lowest bit says: found in several documents
+        sent = np.where(many, name[first] | SEVERAL, name[first] & ~SEVERAL)
         back = np.argsort(first, kind="stable")
         first, sent = first[back], sent[back]
-        bucket = ((sent >> ONE) % U64(ranges)).astype(np.int64)
+        bucket = ((name[first] >> ONE) % U64(ranges)).astype(np.int64)
         order, at = _by(bucket)
         for rows in np.split(order, at[1:]):
             d = doc[first[rows]]
             cuts = np.flatnonzero(np.r_[True, d[1:] != d[:-1]])
-            out.append((int(bucket[rows[0]]), None, sent[rows].tobytes(), d[cuts].tobytes(), np.diff(np.r_[cuts, len(d)]).astype(np.int32).tobytes()))
+            out.append((int(bucket[rows[0]]), None, _sent(sent[rows]), d[cuts].tobytes(), np.diff(np.r_[cuts, len(d)]).astype(np.int32).tobytes()))
         return _table(out, SAMPLES)
 
     def run(batches):
@@ -197,13 +214,13 @@ def _shared(ranges: int):
         out = [(int(h), *packed) for h, *packed in group.loc[ready, ["home", "names", "versions", "counts"]].itertuples(index=False)]
         rest = group[~ready]
         if len(rest):
-            name = np.concatenate([np.frombuffer(x, U64) for x in rest["names"]])
+            name = _received(rest["names"])
             doc = _unpacked(rest["versions"], rest["counts"])
-            order, at = _by(name | ONE)
+            order, at = _by(name | SEVERAL)
             doc_sorted = doc[order]
-            many = (np.minimum.reduceat(doc_sorted, at) != np.maximum.reduceat(doc_sorted, at)) | np.logical_or.reduceat((name[order] & ONE) == ONE, at)
+            many = (np.minimum.reduceat(doc_sorted, at) != np.maximum.reduceat(doc_sorted, at)) | np.logical_or.reduceat((name[order] & SEVERAL) == SEVERAL, at)
             found = order[np.repeat(many, np.diff(np.r_[at, len(name)]))]
-            out += _by_home(doc[found], name[found] | ONE, ranges)
+            out += _by_home(doc[found], name[found] | SEVERAL, ranges)
             del name, doc, doc_sorted, order, at, found
         release()
         return pd.DataFrame(out, columns=[c.split()[0] for c in FOUND.split(", ")])
@@ -213,9 +230,9 @@ def _shared(ranges: int):
 
 def _gathered(group: pd.DataFrame) -> pd.DataFrame:
     """The shared names of each text of a home."""
-    version, name = _unpacked(group["versions"], group["counts"]), np.concatenate([np.frombuffer(x, U64) for x in group["names"]])
+    version, name = _unpacked(group["versions"], group["counts"]), _received(group["names"])
     order, at = _by(version)
-    return pd.DataFrame([(int(version[rows[0]]), np.unique(name[rows]).tobytes()) for rows in np.split(order, at[1:])], columns=["version", "names"])
+    return pd.DataFrame([(int(version[rows[0]]), _sent(np.unique(name[rows]))) for rows in np.split(order, at[1:])], columns=["version", "names"])
 
 
 _powers: dict = {}
@@ -280,13 +297,13 @@ def _stringer(ranges: int):
             batch = whole.slice(at, 1000)
             ids, versions = (batch.column(i).to_numpy(zero_copy_only=False) for i in (0, 1))
             texts = pa.array([unpack(t) for t in batch.column(2).to_pylist()], pa.large_binary())
-            wanted = [np.frombuffer(x, U64) for x in batch.column(3).to_pylist()]
-            wanted = np.unique(np.concatenate(wanted)) if wanted else np.empty(0, U64)
+            wanted = np.unique(_received(batch.column(3).to_pylist()))
             for data, starts, ends, rows, base in chunks(texts):
                 name, i, first, last = cover(data, starts, ends)
                 if not len(name):
                     continue
-                hit = np.flatnonzero(wanted[np.minimum(np.searchsorted(wanted, name), len(wanted) - 1)] == name)
+                known = name & SENT | SEVERAL
+                hit = np.flatnonzero(wanted[np.minimum(np.searchsorted(wanted, known), len(wanted) - 1)] == known)
                 if len(hit):
                     name, i, first, end = name[hit], i[hit], first[hit], last[hit] + MATCH
                     length = end - first
@@ -387,38 +404,39 @@ def _lost(g: pd.DataFrame) -> tuple[np.ndarray, ...]:
     return none, none, none, none
 
 
-def repeated_spans(rows: DataFrame) -> DataFrame:
+def repeated_spans(rows: DataFrame, texts: DataFrame) -> DataFrame:
     """doc_id, version, spans (packed pairs of 64-bit offsets) and whole (true: the text has an earlier copy): the bytes to
     remove.
 
-    ``rows`` has doc_id long, version and check long (hashes of the text), text binary and packed binary (the text compressed),
-    none null.
+    ``rows`` has doc_id long, version and check long (hashes of the text) and text binary, none null and no text shorter than a string;
+    ``texts`` has doc_id, version and packed binary (the text compressed) of each of them, dealt by doc_id and version.
     """
-    rows = rows.where(F.octet_length("text") >= MATCH)
     firsts = cut(rows.groupBy("version", "check").agg(F.min("doc_id").alias("first")))
     size = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     ranges = max(1, round(size / 16 / NAMES_PER_RANGE))
     samples = rows.select("version", "text").mapInArrow(_sampler(ranges), SAMPLES)
     found = samples.groupBy("bucket").applyInPandas(_shared(ranges), FOUND)
     names = cut(found.groupBy("home").applyInPandas(_gathered, "version long, names binary"))
-    ranges = max(1, round((names.agg(F.sum(F.octet_length("names"))).first()[0] or 0) / 8 / STRINGS_PER_RANGE))
-    wanted = names.join(firsts, "version").select(F.col("first").alias("doc_id"), "version", "check", "names")
-    strings = rows.select("doc_id", "version", "check", "packed").join(wanted, ["doc_id", "version", "check"]).select("doc_id", "version", "packed", "names")
+    ranges = max(1, round((names.agg(F.sum(F.octet_length("names"))).first()[0] or 0) / NAME_BYTES / STRINGS_PER_RANGE))
+    wanted = names.join(firsts, "version").select(F.col("first").alias("doc_id"), "version", "names")
+    strings = texts.join(wanted, ["doc_id", "version"]).select("doc_id", "version", "packed", "names")
     pairs = strings.mapInArrow(_stringer(ranges), STRINGS).groupBy("bucket").applyInPandas(_compare(ranges), PAIRS)
-    spans = cut(pairs.groupBy("home").applyInPandas(_merged_spans, SPANS))
+    spans = pairs.groupBy("home").applyInPandas(_merged_spans, SPANS)  # not cut: the files of ``texts`` serve again only within one plan
     copies = rows.select("doc_id", "version", "check").join(firsts, ["version", "check"]).where("doc_id > first")
     return spans.withColumn("whole", F.lit(False)).unionByName(
         copies.select("doc_id", "version", F.lit(None).cast("binary").alias("spans"), F.lit(True).alias("whole")))
 
 
-def _kept(texts: pd.Series, spans: pd.Series) -> pd.DataFrame:
-    """What is left of the texts that lose something; None for the others."""
+def _kept(packed: pd.Series, spans: pd.Series) -> pd.DataFrame:
+    """What is left of each text; None where there is none."""
+    unpack = zstandard.ZstdDecompressor().decompress
     removed, runs, kept = [], [], []
-    for text, packed in zip(texts, spans):
-        if text is None:
-            removed.append(0), runs.append(0), kept.append(None)
+    for body, lost in zip(packed, spans):
+        text = None if body is None else unpack(body)
+        if text is None or lost is None or not len(lost):
+            removed.append(0), runs.append(0), kept.append(text)
             continue
-        s = np.concatenate([np.frombuffer(x, np.int64).reshape(-1, 2) for x in packed])
+        s = np.concatenate([np.frombuffer(x, np.int64).reshape(-1, 2) for x in lost])
         s = s[np.argsort(s[:, 0], kind="stable")]
         s = merged(s[:, 0], s[:, 1])
         removed.append(int((s[:, 1] - s[:, 0]).sum())), runs.append(len(s))
@@ -433,19 +451,23 @@ def remove_repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text")
     Columns of ``docs`` with these four names are replaced.
     """
     body = F.coalesce(F.col(text).cast("binary"), F.lit(b""))
-    packed = F.pandas_udf(_pack, "binary")(body)
-    version, check = F.xxhash64(body), F.xxhash64(F.lit(MATCH), body)
-    rows = docs.where(F.col(doc_id).isNotNull()).select(
-        F.col(doc_id).cast("long").alias("doc_id"), version.alias("version"), check.alias("check"), body.alias("text"), packed.alias("packed"))
-    spans = repeated_spans(rows).groupBy(F.col("doc_id").alias("_d"), F.col("version").alias("_v")).agg(
+    key, version, check = F.col(doc_id).cast("long"), F.xxhash64(body), F.xxhash64(F.lit(MATCH), body)
+    taken = key.isNotNull() & (F.octet_length(body) >= MATCH)
+    rows = docs.where(taken)
+    texts = rows.select(key.alias("doc_id"), version.alias("version"), F.pandas_udf(_pack, "binary")(body).alias("packed")).repartition("doc_id", "version")
+    spans = repeated_spans(rows.select(key.alias("doc_id"), version.alias("version"), check.alias("check"), body.alias("text")), texts)
+    spans = spans.groupBy(F.col("doc_id").alias("_d"), F.col("version").alias("_v")).agg(
         F.collect_list("spans").alias("_spans"), F.max("whole").alias("_whole"))
+    once = texts.dropDuplicates(["doc_id", "version"]).toDF("_td", "_tv", "_packed")
     digest = ("_n_bytes", "_n_removed", "_n_spans", "_kept")
     others = [c for c in docs.columns if c not in (text, *digest)]
-    keyed = docs.select(F.struct(*others).alias("row"), F.col(doc_id).cast("long").alias("key"), version.alias("version"), body.alias("body"), F.octet_length(body).cast("long").alias("size"))
+    keyed = docs.select(F.struct(*others).alias("row"), key.alias("key"), version.alias("version"),
+                        F.when(~taken, body).alias("body"), F.octet_length(body).cast("long").alias("size"))
     keep = F.pandas_udf(_kept, "n_removed long, n_spans long, kept binary")
-    some, whole = F.size("_spans") > 0, F.coalesce("_whole", F.lit(False))
+    whole = F.coalesce("_whole", F.lit(False))
     return (keyed.join(spans, (keyed["key"] == spans["_d"]) & (keyed["version"] == spans["_v"]), "left")
-            .withColumn("cut", keep(F.when(some & ~whole, F.col("body")), F.when(some & ~whole, F.col("_spans"))))
+            .join(once, (keyed["key"] == once["_td"]) & (keyed["version"] == once["_tv"]), "left")
+            .withColumn("cut", keep(F.when(~whole, F.col("_packed")), F.when(~whole, F.col("_spans"))))
             .select(*[F.col(f"row.`{c}`") for c in others], F.col("size").alias("_n_bytes"),
                     F.when(whole, F.col("size")).otherwise(F.col("cut.n_removed")).alias("_n_removed"),
                     F.when(whole, F.lit(1).cast("long")).otherwise(F.col("cut.n_spans")).alias("_n_spans"),

@@ -79,3 +79,41 @@ def test_edge_cases(spark, edge, empty):
     assert len(rows) == 12 and by[1]._n_removed == 0 and by[2]._n_removed == by[2]._n_bytes == 87
     assert sum(r._n_removed for r in rows if r.doc_id is None) == 0 and by[7]._n_bytes - by[7]._n_removed <= len(" tail")
     assert suffixes.remove_repeats(empty).count() == 0
+
+
+def shuffled(spark) -> int:
+    """Bytes that the session's stages have written to shuffle files so far."""
+    spark.sparkContext._jsc.sc().listenerBus().waitUntilEmpty(30_000)
+    gateway = spark.sparkContext._gateway
+    stages = spark.sparkContext._jsc.sc().statusStore().stageList(None, False, False, gateway.new_array(gateway.jvm.double, 0), gateway.jvm.java.util.ArrayList())
+    return sum(stages.apply(i).shuffleWriteBytes() for i in range(stages.size()))
+
+
+def test_texts_are_shuffled_once_and_compressed(spark, monkeypatch):
+    # a fifth of each text recurs; words drawn from many, so that texts shrink by little
+    rng = random.Random(3)
+    words = ["".join(rng.choices("abcdefghijklmnopqrstuvwxyz", k=7)) for _ in range(5000)]
+    shared = [" ".join(rng.choices(words, k=60)) for _ in range(40)]
+    docs = [(i, " ".join(rng.choices(words, k=240)) + rng.choice(shared)) for i in range(1500)]
+    frame = spark.createDataFrame(docs, "doc_id long, text string").repartition(4).localCheckpoint()
+    packed = sum(len(x) for x in suffixes._pack([t.encode() for _, t in docs]))
+    before = shuffled(spark)
+    rows = suffixes.remove_repeats(frame).select("doc_id", "_n_removed").collect()
+    assert sum(r._n_removed > 0 for r in rows) == 1460
+    assert shuffled(spark) - before < 2.5 * packed
+
+
+def test_names_lose_only_their_lower_bytes():
+    names = np.random.default_rng(2).integers(1 << 63, size=50, dtype=np.uint64)
+    got = suffixes._received([suffixes._sent(names[:20]), suffixes._sent(names[20:20]), suffixes._sent(names[20:])])
+    assert (got == names & suffixes.SENT).all() and suffixes.SEVERAL & suffixes.SENT == suffixes.SEVERAL
+
+
+def test_repeated_rows_and_ids_with_several_texts(spark):
+    long = "a stretch of text that is longer than fifty bytes and stands in more than one row; "
+    docs = [(1, long), (2, "first " + long), (2, "first " + long), (2, "second, " + long + "tail"), (3, "short"), (None, long), (None, long), (4, long)]
+    rows = suffixes.remove_repeats(spark.createDataFrame(docs, "doc_id long, text string")).collect()
+    got = sorted((r.doc_id or 0, r._n_bytes, r._n_removed, bytes(r._kept).decode()) for r in rows)
+    n = len(long)
+    assert got == sorted([(1, n, 0, long), (2, n + 6, n, "first "), (2, n + 6, n, "first "), (2, n + 12, n, "second, tail"), (3, 5, 0, "short"), (0, n, 0, long),
+                          (0, n, 0, long), (4, n, n, "")])
