@@ -132,7 +132,7 @@ def _zero_shot(spark, d, masked: bool):
     at = (1 + F.col("p_partkey") % F.length("seq")).cast("int")
     wt = F.substring("seq", at, F.lit(1))
     assays = names.select("p_partkey", F.concat(wt, at, F.chr(97 + F.col("p_partkey") % 26)).alias("variant")).where(wt.between("a", "z"))
-    found = (zeroshot.masked_log_probs if masked else zeroshot.log_probs)(names, model, "p_partkey", "seq")
+    found = (zeroshot.masked_log_probs if masked else zeroshot.log_probs)(names, model, "p_partkey", "seq", at=zeroshot.places(assays, "p_partkey"))
     return zeroshot.marginal_scores(assays, found, model, "p_partkey").select("p_partkey", "variant", r6(F.col("score")).alias("score"))
 
 
