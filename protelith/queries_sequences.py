@@ -200,7 +200,7 @@ SELECT p_partkey, round(m.pppl - w.pppl, 6) AS pppl, round(m.perplexity - w.perp
 def scores_against_wild_type(spark, d):
     grid = spark.range(50).select(F.col("id").cast("int").alias("position"), F.explode(F.split(F.lit(LETTERS), "")).alias("aa"))
     grid = grid.where("aa <> ''").withColumn("log_p", -5 * uniform(F.col("position"), F.col("aa")) - 0.1)
-    score = lambda rows: variants.pseudo_log_likelihood(rows, rows.select("p_partkey").join(F.broadcast(grid)), "p_partkey", "seq")  # noqa: E731  a grid of 50 x 20
+    score = lambda rows: variants.pseudo_log_likelihood(rows, F.broadcast(grid), "p_partkey", "seq")  # noqa: E731  a grid of 50 x 20
     m = mutants(spark, d).select("p_partkey", "seq")
     wild = score(spark.createDataFrame([(0, WILD_TYPE)], "p_partkey long, seq string"))
     return variants.against_wild_type(score(m), wild).select("p_partkey", r6(F.col("pppl")).alias("pppl"), r6(F.col("perplexity")).alias("perplexity"))
