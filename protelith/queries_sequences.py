@@ -183,9 +183,7 @@ def nucleotide_unigrams(spark, d):
 SELECT triplet, round(count(*) / (SELECT count(*) FROM nu) / 50, 6) AS share FROM t GROUP BY triplet""")
 def nucleotide_triplets(spark, d):
     """The mean vector of shares, without the triplets that don't occur."""
-    n = nucleotides(spark, d).select(F.posexplode(codons.triplet_shares(F.col("nucleotides"))).alias("i", "x"))
-    found = n.groupBy("i").agg(F.avg("x").alias("share")).where("share > 0")
-    return found.select(F.element_at(F.array(*map(F.lit, codons.TRIPLETS)), F.col("i") + 1).alias("triplet"), r6(F.col("share")).alias("share"))
+    return codons.mean_triplet_shares(nucleotides(spark, d)).select("triplet", r6(F.col("share")).alias("share"))
 
 
 # --- variant scores ------------------------------------------------------------------------------------------------
