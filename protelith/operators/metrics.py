@@ -121,11 +121,13 @@ def _long(found: DataFrame, keys: list[str]) -> DataFrame:
     return found.select(*keys, F.explode(F.array(*[F.struct(F.lit(v).alias("metric"), F.col(v).cast("double").alias("value")) for v in values])).alias("m")).select(*keys, "m.*")
 
 
-def class_suite(matrix: DataFrame, keys: list[str] = ()) -> DataFrame:
+def class_suite(matrix: DataFrame, keys: list[str] = (), only: str | None = None) -> DataFrame:
     """keys, metric, value of a confusion matrix: what ``classification`` gives, micro averages, accuracy, precision, recall and f1 of each class, the rank correlation of the classes in
     order of name, and where at most two classes occur precision, recall and f1_score with the later one as positive. All come from the counts by pair of classes."""
     keys = list(keys)
     overall = classification(matrix, keys)
+    if only in overall.columns and only not in keys:
+        return _long(overall.select(*keys, only), keys)
     micro = overall.select(*keys, *[F.col("accuracy").alias(f"micro_{c}") for c in ("precision", "recall", "f1")])
     classes = per_class(matrix, keys)
     names = {"accuracy": "recall", "precision": "precision", "recall": "recall", "f1": "f1"}
@@ -147,13 +149,17 @@ def class_suite(matrix: DataFrame, keys: list[str] = ()) -> DataFrame:
     return reduce(DataFrame.unionByName, [*(_long(x, keys) for x in (overall, micro, two, rank)), each])
 
 
-def evaluated(rows: DataFrame, protocol: str, keys: list[str] = (), key: str = "seq_hash") -> DataFrame:
-    """keys, metric, value: the suite of the protocol over label and pred, a row per metric."""
+def evaluated(rows: DataFrame, protocol: str, keys: list[str] = (), key: str = "seq_hash", only: str | None = None) -> DataFrame:
+    """keys, metric, value: the suite of the protocol over label and pred, a row per metric. With ``only`` that metric at least, from its part of the suite where there is one: each part
+    reads the rows again."""
     keys, parts = list(keys), []
     used = rows.where("label is not null")
     for kind in SUITES[protocol]:
         if kind == "classification":
-            parts.append(class_suite(confusion(used, keys), keys))
+            parts.append(class_suite(confusion(used, keys), keys, only))
             continue
-        parts.append(_long({"regression": lambda: regression(used, keys), "spearman": lambda: spearman(used, keys), "ndcg": lambda: ndcg(used, keys, key)}[kind](), keys))
+        found = {"regression": lambda: regression(used, keys), "spearman": lambda: spearman(used, keys), "ndcg": lambda: ndcg(used, keys, key)}[kind]()
+        if only in found.columns and only not in keys:
+            return _long(found.select(*keys, only), keys)
+        parts.append(_long(found, keys))
     return reduce(DataFrame.unionByName, parts)

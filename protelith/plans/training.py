@@ -103,6 +103,17 @@ def _value(result: SplitResult, choose_by: str) -> float:
     return found["value"]
 
 
+def _values(predicted: list[DataFrame], protocol: str, choose_by: str) -> list[float]:
+    """The metric to choose by of each table of predictions, all measured together."""
+    rows = [p.select(F.lit(i).alias("_fit"), "seq_hash", "label", "pred") for i, p in enumerate(predicted)]
+    every = reduce(DataFrame.unionByName, rows).persist()
+    found = {r["_fit"]: r["value"] for r in metrics.evaluated(every, protocol, ["_fit"], only=choose_by).where(F.col("metric") == choose_by).collect()}
+    every.unpersist()
+    if len(found) < len(predicted):
+        raise ConfigError(f"choose_by: {choose_by} is no metric of this protocol")
+    return [found[i] for i in range(len(predicted))]
+
+
 def _better(choose_by: str, a: float, b: float) -> bool:
     return a < b if choose_by in metrics.ASCENDING else a > b
 
@@ -197,6 +208,7 @@ def together(config: Config, samples: DataFrame, folder=None) -> Trained:
     names = models.class_names(samples.where("role in ('train', 'val')"), per_position) if is_classification(protocol) else ()
     rows, outer = _codes(config, samples)
     ready, width = models.prepared(rows, parameter_values(config["model_choice"])[0], names)
+    ready = ready.persist()
     best, seen = {name: {} for name, _ in outer}, []
     if folder and all(folder.has(f"models/{name}") for name, _ in outer):
         return _chosen([_loaded(folder, name) for name, _ in outer], choose_by, _searched(folder)[1], folder)
@@ -211,9 +223,10 @@ def together(config: Config, samples: DataFrame, folder=None) -> Trained:
             inner_rows = _fold_column(inner_rows, code == trainer.TRAIN, cv["nested_k"], 1, 0, bool(cv.get("stratified")), config["seed"], f"_inner{n}")
             for parameters in grid:
                 plan += [Planned(name, parameters, i, F.when(F.col(f"_inner{n}") == i, trainer.CHECK).when(F.col(f"_inner{n}").isNotNull(), trainer.TRAIN).otherwise(0)) for i in range(cv["nested_k"])]
+        inner_rows = inner_rows.persist()  # else each use of them deals all folds again
         fitted_all, _ = _fit_all(config, inner_rows, width, names, plan)
-        values = [_value(SplitResult(p.split, p.parameters, metrics.evaluated(measured(f.predict(inner_rows.where(p.code == trainer.CHECK)), per_position), protocol), f), choose_by)
-                  for p, f in zip(plan, fitted_all)]
+        values = _values([measured(f.predict(inner_rows.where(p.code == trainer.CHECK)), per_position) for p, f in zip(plan, fitted_all)], protocol, choose_by)
+        inner_rows.unpersist()
         means = {}
         for p, v in zip(plan, values):
             means.setdefault((p.split, repr(p.parameters)), (p.parameters, []))[1].append(v)

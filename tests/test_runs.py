@@ -188,3 +188,22 @@ def test_pretrained_networks_go_on(spark, records_of, tmp_path):
     assert more.results["epochs"][0][2] <= first.results["epochs"][-1][2] + 0.1 < first.results["epochs"][0][2]
     with pytest.raises(config.ConfigError, match="another network"):
         pipeline.run(config.verified(GOOD | FAST | {"model_choice": "DeeperFNN", "pretrained_model": a}), records_of)
+
+
+def test_fits_of_a_search_are_measured_together(spark, records_of, monkeypatch):
+    """One evaluation for all inner fits, with the values that each has by itself; folds are dealt once for all uses."""
+    tables = [spark.createDataFrame([(f"k{i}", a, b) for i, (a, b) in enumerate(x)], "seq_hash string, label string, pred string") for x in ([("a", "a"), ("b", "a"), (None, "a"), ("c", "c")], [("a", "b"), ("b", "b")])]
+    for metric in ("accuracy", "macro_f1", "spearman"):
+        want = [value(training.metrics.evaluated(t, "sequence_to_class"), metric) for t in tables]
+        assert np.allclose(training._values(tables, "sequence_to_class", metric), want)
+    numbers = [spark.createDataFrame([(f"k{i}", float(a), float(b)) for i, (a, b) in enumerate(x)], "seq_hash string, label double, pred double") for x in ([(1, 2), (3, 3), (5, 9)], [(4, 4), (2, 1), (0, 3)])]
+    for metric in ("rmse", "spearman"):
+        assert np.allclose(training._values(numbers, "sequence_to_value", metric), [value(training.metrics.evaluated(t, "sequence_to_value"), metric) for t in numbers])
+    with pytest.raises(config.ConfigError, match="no metric"):
+        training._values(tables, "sequence_to_class", "nonsense")
+    samples = records_of.select(F.col("seq_id").alias("seq_hash"), F.col("set").alias("role"), F.col("target").alias("label"), F.array(F.length("seq").cast("double"), F.crc32("seq") / 2e9).alias("features")).cache()
+    calls, real = [], training.metrics.evaluated
+    monkeypatch.setattr(training.metrics, "evaluated", lambda *a, **o: calls.append(1) or real(*a, **o))
+    done = training.train(config.verified(GOOD | FAST | {"model_choice": "FNN", "num_epochs": 1, "bottleneck_dim": [4, 8], "cross_validation_config": {
+        "method": "k_fold", "k": 2, "nested": True, "nested_k": 2, "search_method": "grid_search", "choose_by": "accuracy"}}), samples)
+    assert len(calls) == 1 + 2 and len(done.searched) == 4
